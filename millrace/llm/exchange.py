@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes of a chunk, and hashes of a bucket, about.
-CHUNK_BYTES, BUCKET_HASHES = 12 << 20, 3 << 20
+CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 3 << 19
 SENT = "bucket int, chunk long, once binary, often binary, least binary"
 TOLD = "chunk long, hashes binary, least binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("once", pa.binary()), ("often", pa.binary()), ("least", pa.binary())])

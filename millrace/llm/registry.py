@@ -1,11 +1,19 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import substring_dedup
+from . import bpe, html_extract, language_id, license_scan, line_dedup, media, substring_dedup, url_filter
 
 QUERIES = {
+    "op2_media": media.op2_media,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_html_extract": html_extract.op4_html_extract,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_license_scan": license_scan.op8_license_scan,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLE_SQL = {
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
 }
