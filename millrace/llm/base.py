@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of words whose hashes a Python worker keeps.
-WORD_CACHE = 400_000
+#: Bytes of words hashed at once: the length of the power tables.
+SPAN = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,20 +47,6 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; forgets everything once it holds WORD_CACHE words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def word_hashes(words: list[bytes], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (bijective)."""
     h = h ^ (h >> np.uint64(33))
@@ -83,3 +72,51 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out += words[j : j + m] * np.uint64(COEFS[j])
     return mix(out)
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, and the powers of an odd number and of its inverse modulo 2**64."""
+    odd = 0x9E3779B97F4A7C15
+    up, down = np.full(SPAN + 1, odd, np.uint64), np.full(SPAN + 1, pow(odd, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)), np.cumprod(up), np.cumprod(down)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words (runs of bytes other than ASCII white space) of an array of strings, and where each string's begin; null: none."""
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    words, offsets = lists.flatten(), np.asarray(lists.offsets)
+    some = pc.greater(pc.binary_length(words), 0)
+    counts = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some), counts[offsets - offsets[0]]
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial in its bytes by prefix sums over SPAN bytes at once, then mixed."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    byte, up, down = _tables()
+    out, i = np.empty(len(words), np.uint64), 0
+    while i < len(words):
+        j = int(np.searchsorted(offsets, offsets[i] + SPAN, "right")) - 1
+        if j == i:  # a word of more than SPAN bytes
+            out[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes())
+            i += 1
+            continue
+        part = data[offsets[i] : offsets[j]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte[part] * up[: len(part)])])
+        at = offsets[i : j + 1] - offsets[i]
+        out[i:j] = (sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]] + np.diff(at).astype(np.uint64)
+        i = j
+    return mix(out)
+
+
+def places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of consecutive texts: its text's number, its place in that text, and how many words follow it there."""
+    n = np.diff(offsets)
+    text = np.repeat(np.arange(len(n)), n)
+    at = np.arange(offsets[-1]) - offsets[text]
+    return text, at, n[text] - at - 1

@@ -8,8 +8,6 @@ carry packed arrays, no row per hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,9 +64,9 @@ def _tell_shared(t: pa.Table) -> pa.Table:
     shared = np.union1d(u[c > 1], np.concatenate(often))
     out = []
     for chunk, a, b in zip(t["chunk"].to_pylist(), once, often):
-        found = np.union1d(a[np.isin(a, shared, assume_unique=True)], b)
-        if len(found):
-            out.append((chunk, found.tobytes(), None))
+        mine = np.union1d(a[found(a, shared)], b)
+        if len(mine):
+            out.append((chunk, mine.tobytes(), None))
     return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 3, _TOLD.types)], schema=_TOLD)
 
 
@@ -99,8 +97,14 @@ def told(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return h[order], i[order] if len(i) else i
 
 
-def texts(t: pa.Table) -> Iterator[tuple[int | None, bytes]]:
-    """doc_id and text of a chunk's rows; a null text is empty."""
-    for block in t.select(["doc_id", "text"]).to_batches(max_chunksize=256):
-        for d, x in zip(block.column(0).to_pylist(), block.column(1).cast(pa.binary()).to_pylist()):
-            yield d, x or b""
+def column(t: pa.Table, name: str) -> pa.Array:
+    """A column of a chunk as one array."""
+    c = t[name]
+    return c.chunk(0) if c.num_chunks == 1 else c.combine_chunks() if c.num_chunks else pa.array([], c.type)
+
+
+def found(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each hash, whether the sorted ``known`` has it."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h

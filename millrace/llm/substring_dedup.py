@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,29 +23,16 @@ LAST = np.iinfo(np.int64).max
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def _words(text: bytes, cache: base.WordHashes) -> tuple[list[bytes], np.ndarray]:
-    words = text.split()  # bytes: splits at \x20 and \x09-\x0D alone
-    return words, base.word_hashes(words, cache)
+def _ids(t: pa.Table) -> np.ndarray:
+    return exchange.column(t, "doc_id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _anchor_places(n_words: int, anchor: int) -> np.ndarray:
-    at = np.arange(max(0, n_words - anchor + 1))
-    return at[np.isin(at % PERIOD, COVER)]
-
-
-def _windows_at(hit: np.ndarray, n_windows: int) -> np.ndarray:
-    """The starts of the windows that hold an anchor of ``hit``: those up to PERIOD - 1 words before it."""
-    mark = np.zeros(n_windows + PERIOD + 1, np.int64)
+def _windows_at(hit: np.ndarray, n_words: int) -> np.ndarray:
+    """Of all starts, those of windows that hold an anchor of ``hit``: up to PERIOD - 1 words before it."""
+    mark = np.zeros(n_words + 1, np.int64)
     np.add.at(mark, np.maximum(hit - PERIOD + 1, 0), 1)
-    np.add.at(mark, np.minimum(hit + 1, n_windows + PERIOD), -1)
-    return np.flatnonzero(np.cumsum(mark)[:n_windows] > 0)
-
-
-def _found(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return known[at] == h
+    np.add.at(mark, hit + 1, -1)
+    return np.cumsum(mark)[:n_words] > 0
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -61,46 +49,45 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     chunks = exchange.chunked(docs, total)
     n_anchor, n_window = exchange.buckets(total // 12), exchange.buckets(total // 48)
 
+    def anchors(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, place, after = base.places(offsets)
+        at = np.flatnonzero(np.isin(place % PERIOD, COVER) & (after >= anchor - 1))
+        return at, base.gram_hashes(words, anchor)[at]
+
     def send_anchors(key: tuple, t: pa.Table) -> pa.Table:
-        cache, found = base.WordHashes(), [np.empty(0, np.uint64)]
-        for _, text in exchange.texts(t):
-            w = _words(text, cache)[1]
-            found.append(base.gram_hashes(w, anchor)[_anchor_places(len(w), anchor)])
-        return exchange.send(key[0].as_py(), np.concatenate(found), n_anchor)
+        words, offsets = base.split_words(exchange.column(t, "text"))
+        return exchange.send(key[0].as_py(), anchors(base.hash_words(words), offsets)[1], n_anchor)
 
     def send_windows(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
-        cache, (shared, _) = base.WordHashes(), exchange.told(replies)
-        found, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for d, text in exchange.texts(t) if len(shared) else ():
-            w = _words(text, cache)[1]
-            if len(w) >= window:
-                at = _anchor_places(len(w), anchor)
-                hit = at[_found(base.gram_hashes(w, anchor)[at], shared)]
-                if len(hit):
-                    h = base.gram_hashes(w, window)[_windows_at(hit, len(w) - window + 1)]
-                    found.append(h)
-                    ids.append(np.full(len(h), LAST if d is None else d))
-        return exchange.send(key[0].as_py(), np.concatenate(found), n_window, np.concatenate(ids))
+        (shared, _), none = exchange.told(replies), np.empty(0, np.uint64)
+        if not len(shared):
+            return exchange.send(key[0].as_py(), none, n_window, none.astype(np.int64))
+        words, offsets = base.split_words(exchange.column(t, "text"))
+        words = base.hash_words(words)
+        text, _, after = base.places(offsets)
+        at, h = anchors(words, offsets)
+        near = np.flatnonzero(_windows_at(at[exchange.found(h, shared)], len(words)) & (after >= window - 1))
+        grams = base.gram_hashes(words, window)[near] if len(near) else none
+        return exchange.send(key[0].as_py(), grams, n_window, _ids(t)[text[near]])
 
     def cut(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
-        cache, (known, least) = base.WordHashes(), exchange.told(replies)
-        out: list[list] = [[], [], [], []]
-        for d, text in exchange.texts(t):
-            words, h = _words(text, cache)
-            keep = np.ones(len(words), bool)
-            if len(known) and len(words) >= window:
-                g = base.gram_hashes(h, window)
-                at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                gone = np.flatnonzero((known[at] == g) & (least[at] < (LAST if d is None else d)))
-                if len(gone):
-                    mark = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(mark, gone, 1)
-                    np.add.at(mark, gone + window, -1)
-                    keep = np.cumsum(mark)[:-1] == 0
-            kept = words if keep.all() else [x for x, k in zip(words, keep.tolist()) if k]
-            for col, v in zip(out, (d, len(words), len(words) - len(kept), b" ".join(kept))):
-                col.append(v)
-        return pa.Table.from_arrays([pa.array(c, pa.binary()).cast(f.type) if f.type == pa.string() else pa.array(c, f.type) for c, f in zip(out, _OUT)], schema=_OUT)
+        known, least = exchange.told(replies)
+        words, offsets = base.split_words(exchange.column(t, "text"))
+        keep = np.ones(len(words), bool)
+        if len(known) and len(words) >= window:
+            text, _, after = base.places(offsets)
+            at = np.flatnonzero(after >= window - 1)
+            grams = base.gram_hashes(base.hash_words(words), window)[at]
+            same = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            gone = at[(known[same] == grams) & (least[same] < _ids(t)[text[at]])]
+            mark = np.zeros(len(words) + 1, np.int64)
+            np.add.at(mark, gone, 1)
+            np.add.at(mark, gone + window, -1)
+            keep = np.cumsum(mark)[:-1] == 0
+        left = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), words.filter(pa.array(keep))), " ")
+        n = np.diff(offsets)
+        return pa.Table.from_arrays([exchange.column(t, "doc_id"), pa.array(n), pa.array(n - np.diff(left)), kept], schema=_OUT)
 
     shared = exchange.tell(chunks.groupBy("chunk").applyInArrow(send_anchors, exchange.SENT))
     windows = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send_windows, exchange.SENT)
