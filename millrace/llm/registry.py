@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import bpe, html_extract, language_id, license_scan, line_dedup, media, substring_dedup, url_filter
+from . import bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, media, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_media": media.op2_media,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_html_extract": html_extract.op4_html_extract,
@@ -10,6 +11,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
