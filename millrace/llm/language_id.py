@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import base
 
@@ -102,21 +103,28 @@ class Ranker:
         return self.langs[k], float(1 - d[k] / (self.top * len(own)))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = PROFILE) -> DataFrame:
-    """doc_id, lang_pred, score for each row of ``docs`` (doc_id, text; others are ignored), from the whole text alone.
+def predict_rows(docs: DataFrame, profiles: dict[str, list[int]], top: int = PROFILE) -> DataFrame:
+    """All columns of ``docs`` with lang_pred and score, from the whole text alone (columns of these names are replaced).
 
     ``und`` with score 0 where the text is null or has no letter.  Copies get equal results.
     """
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles, top)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                langs, scores = zip(*map(ranker.predict, b.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                langs, scores = zip(*map(ranker.predict, b.column(keep.index("text")).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+
+    return docs.select(*keep).mapInArrow(run, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = PROFILE) -> DataFrame:
+    """doc_id, lang_pred, score for each row of ``docs`` (doc_id, text; others are ignored)."""
+    return predict_rows(docs.select("doc_id", "text"), profiles, top).select("doc_id", "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):
