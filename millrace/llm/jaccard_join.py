@@ -223,7 +223,8 @@ def _large(members: DataFrame, share: int, shingles: int) -> DataFrame:
         pivots = base.save(rest.withColumn("r", rank).where(F.col("r") <= BLOCK).select("label", "id"))
         if pivots.isEmpty():
             return state.select("id", "component")
-        block = pivots.join(cut.select("id", "shingles"), "id").join(slices, "label").select("label", "id", "shingles", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        spread = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+        block = base.save(pivots.join(cut.select("id", "shingles"), "id").join(slices, "label").select("label", "id", "shingles", spread))
         found = cut.groupBy("label", "slice").cogroup(block.groupBy("label", "slice")).applyInArrow(_against(share), "u long, v long")
         names = state.select(F.col("id"), F.col("component"))
         edges = found.join(names.withColumnsRenamed({"id": "u", "component": "a"}), "u").join(names.withColumnsRenamed({"id": "v", "component": "b"}), "v")
