@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import base, exchange
 from .components import components
 
-WORDS, SHARE, EXTRA = 5, 75, 15
+WORDS, SHARE, EXTRA, WHOLE = 5, 75, 15, 96
 #: Members and shingles of a region that one task joins; pivots of a local step and of a distributed round.
 MEMBERS, SHINGLES, PIVOTS, BLOCK, SALTS = 6_000, 3 << 20, 8, 64, 16
 _SETS = "doc_id long, n long, f1 long, f2 long, shingles binary, common array<long>"
@@ -36,8 +36,8 @@ def least_overlap(n, share: int):
 
 
 def extra(n):
-    """How many shingles beyond the shortest possible the prefix of a set of ``n`` holds."""
-    return np.maximum(1, n * EXTRA // 100)
+    """How many shingles beyond the shortest possible the prefix of a set of ``n`` holds; small sets are taken whole."""
+    return np.minimum(np.maximum(1, least_overlap(n, 75)), np.maximum(WHOLE, n * EXTRA // 100))
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,8 @@ def regions_of(reps: DataFrame, share: int = SHARE) -> DataFrame:
     counts = rows.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
     lists = rows.join(counts, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("l"))
     need = F.expr(f"(n * {share} + 99) div 100")
-    rarest = F.size("l") - F.greatest(F.lit(1), F.floor(need * EXTRA / 100)).cast("int") + 1
+    spare = F.least(F.greatest(F.lit(1), F.floor((need * 75 + 99) / 100)), F.greatest(F.lit(WHOLE), F.floor(need * EXTRA / 100)))
+    rarest = F.size("l") - spare.cast("int") + 1
     few = lists.where(rarest > 0).select("id", F.explode(F.transform(F.slice("l", 1, rarest), lambda x: x["shingle"])).alias("shingle"))
     few = base.save(few)
     heads = few.groupBy("shingle").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1")
