@@ -21,16 +21,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNITS = "kg|g|mg|lb|lbs|km|m|cm|mm|mi|mile|miles|ft|inch|inches|l|ml|h|hr|hrs|hour|hours|min|minutes|s|sec|seconds|day|days|week|weeks|year|years|percent|dollars|euros|usd|eur|kb|mb|gb|hz|khz|mhz|ghz|w|kw|v|c|f|k"
 
 
-def tokens_of(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased; ``num0``, ``nam0`` and ``uni0`` stand before numbers, names and units."""
-    t = F.coalesce(text, F.lit(""))
+def with_tokens(rows: DataFrame) -> DataFrame:
+    """Puts ``tok`` in place of ``text``: its words, A-Z lower-cased; ``num0``, ``nam0`` and ``uni0`` stand before numbers, names and units."""
+    t = F.col("text")
     named = F.when(F.rlike(t, F.lit("[a-z,;] [A-Z][a-z]")), F.regexp_replace(t, "([a-z,;] )([A-Z][a-z]+)", "$1nam0$2")).otherwise(t)
-    low = F.translate(named, UPPER, LOWER)
-    counted = F.regexp_replace(F.regexp_replace(low, "([0-9]+)", "num0$1"), "nam" + "num0" + "0", "nam0")
+    rows = rows.withColumn("text", F.translate(named, UPPER, LOWER))
+    counted = F.replace(F.regexp_replace(t, "([0-9]+)", "num0$1"), F.lit("namnum00"), F.lit("nam0"))
     measured = F.regexp_replace(counted, rf"(num0[0-9]+ ?)({UNITS})\b", "$1 uni0$2")
-    full = F.when(F.rlike(low, F.lit("[0-9]")), measured).otherwise(low)
-    clean = F.trim(F.regexp_replace(full, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    rows = rows.withColumn("text", F.when(F.rlike(t, F.lit("[0-9]")), measured).otherwise(t))
+    rows = rows.withColumn("text", F.trim(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
+    return rows.withColumn("tok", F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))).drop("text")
 
 
 def _slot(x: Column) -> Column:
@@ -38,9 +38,10 @@ def _slot(x: Column) -> Column:
 
 
 def _templates(rows: DataFrame) -> DataFrame:
-    """Adds ``marked`` (some token is a placeholder) and ``tpl``, the tokens without the placeholders' values, to ``tok``."""
+    """Adds ``marked`` (some token is a placeholder) and ``tpl``, the hashes of the tokens without the placeholders' values, to ``tok``."""
     rows = rows.withColumn("marked", F.exists("tok", _slot))
-    return rows.withColumn("tpl", F.when(F.col("marked"), F.transform("tok", lambda x: F.when(_slot(x), F.substring(x, 1, 4)).otherwise(x))).otherwise(F.col("tok")))
+    plain = F.transform("tok", lambda x: F.xxhash64(x))
+    return rows.withColumn("tpl", F.when(F.col("marked"), F.transform("tok", lambda x: F.xxhash64(F.when(_slot(x), F.substring(x, 1, 4)).otherwise(x)))).otherwise(plain))
 
 
 def _windows(width: int, stride: int) -> Column:
@@ -64,7 +65,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     placeholders aren't consistent keep their literal windows alone.  Null texts and ids match nothing; repeated rows of
     a doc_id count as one document; an empty table on either side gives no rows.
     """
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", tokens_of(F.col("text")).alias("tok")).where(F.size("tok") >= LEAST)
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    items = with_tokens(items).where(F.size("tok") >= LEAST)
     items = _templates(items.withColumn("n", F.size("tok")))
     whole = WINDOW + STRIDE - 1
     short = [r["n"] for r in items.where(F.col("n") < whole).select("n").distinct().collect()]  # below WINDOW + STRIDE values
@@ -72,14 +74,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for n in short:
         index = index.unionAll(items.where(F.col("n") == n).select("item_id", "n", F.inline(_windows(n, n))))
     index = base.save(index.select("hash", "item_id", "n", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")))
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", tokens_of(F.col("text")).alias("tok"))
-    rows = _templates(rows)
+    rows = _templates(with_tokens(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")))
     every = _windows(WINDOW, STRIDE)
     for n in short:
         every = F.concat(every, _windows(n, 1))
     found = rows.select("doc_id", F.inline(every))
     joined = found.join(F.broadcast(index) if index.count() <= BROADCAST else index, "hash")
-    joined = joined.where(F.col("slots").isNull() == F.col("item_slots").isNull())
+    joined = base.save(joined.where(F.col("slots").isNull() == F.col("item_slots").isNull()))
     literal = joined.where(F.col("slots").isNull() | (F.array_join("slots", " ") == F.array_join("item_slots", " "))).select("doc_id", "item_id", "n", "item_at", F.lit(True).alias("literal"))
     varied = joined.where(F.array_join("slots", " ") != F.array_join("item_slots", " "))
     pairs = varied.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.inline(F.arrays_zip("item_slots", "slots")))

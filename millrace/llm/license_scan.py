@@ -66,14 +66,14 @@ def rules() -> list[tuple[str, int, str, str]]:
     for label, rank, keyword, pattern in (
         ("cc0-1.0", 80, "cc0", "cc0(?: 1 0)?"),
         ("cc0-1.0", 80, "creative commons zero", "creative commons zero(?: v?1 0)?"),
-        ("mit", 70, "mit", "(?:the )?mit licen[sc]e"),
+        ("mit", 70, "mit licen", "(?:the )?mit licen[sc]e"),
         ("mit", 72, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
         ("bsd-2-clause", 75, "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[sc]e)?"),
         ("bsd-3-clause", 75, "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[sc]e)?"),
         ("bsd-4-clause", 75, "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?"),
         ("bsd", 45, "bsd", "bsd(?: style)? licen[sc]e"),
         ("bsd", 44, "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
-        ("isc", 70, "isc", "isc licen[sc]e"),
+        ("isc", 70, "isc licen", "isc licen[sc]e"),
         ("isc", 72, "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
         ("zlib", 70, "zlib", "zlib(?: libpng)? licen[sc]e"),
         ("unlicense", 70, "unlicense", "(?:the )?unlicense"),
@@ -132,8 +132,9 @@ def scan(docs: DataFrame, extra: list[tuple[str, int, str, str]] | None = None)
         lasts.append(F.when(there, _blanks(F.substr(w, F.lit(1), F.length(w) - F.length(F.substring_index(w, f" {phrase} ", -1)) - F.length(padded)))))
         base_labels.append(F.when(there, F.lit(label)))
     literal = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(p).alias("rank"), F.lit(k).alias("keyword"), F.lit(f" (?:{r})(?= )").alias("regex")) for a, p, k, r in table])
-    keywords = sorted({k for _, _, k, _ in table})
-    gate = F.rlike(w, F.lit("|".join(k for k in keywords)))
+    gate = F.lit(False)
+    for k in sorted({k for _, _, k, _ in table}):
+        gate = gate | F.contains(w, F.lit(k))
     alive = F.filter(literal, lambda r: F.contains(w, r["keyword"]))
     empty = F.array().cast("array<struct<label:string,rank:int,a:int,b:int>>")
     places = F.when(gate, F.flatten(F.transform(alive, lambda r: _places(w, F.transform(F.regexp_extract_all(w, r["regex"], F.lit(0)), lambda m: F.concat(m, F.lit(" "))), r)))).otherwise(empty)
