@@ -116,8 +116,7 @@ def blocks(page: str) -> list[Block]:
                 here = here.parent
             here = Element(tag, m[4], here)
     if at < len(page):
-        rest = page[at:]
-        add(rest if not re.match(r"</?[a-zA-Z][^>]*\Z", rest) else "")
+        add(re.sub(r"</?[a-zA-Z][^<>]*\Z", "", page[at:]))  # a tag that the end of the page cuts
     flush()
     return out
 
