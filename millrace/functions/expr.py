@@ -22,7 +22,7 @@ TOKEN = re.compile(
     |(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')
     |(?P<col>\$(?:\d+|[A-Za-z_]\w*))
     |(?P<name>[A-Za-z_]\w*)
-    |(?P<op><=>|==|!=|<=|>=|=~|!~|&&|\|\||[-+*/%<>!?:.,;()\[\]{}|=$]))""",
+    |(?P<op><=>|==|!=|<=|>=|=~|!~|&&|\|\||\+\+|--|[-+*/%]=|[-+*/%<>!?:.,;()\[\]{}|=$]))""",
     re.X,
 )
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
@@ -33,8 +33,8 @@ CASTS = ("bool", "int", "uint", "intlist", "real", "string", "datetime", "date",
 class Parser:
     """Precedence climbing over the tokens; the tree is made of tuples (kind, ...)."""
 
-    def __init__(self, source: str):
-        self.source, self.tokens, self.at = source, [], 0
+    def __init__(self, source: str, loops: bool = False):
+        self.source, self.tokens, self.at, self.loops = source, [], 0, loops
         pos, source = 0, source.rstrip()
         while pos < len(source):
             if self.expects_operand() and (m := re.compile(r"\s*/((?:[^/\\\n]|\\.)+)/(i?)").match(source, pos)):
@@ -74,20 +74,45 @@ class Parser:
         while not (self.tokens[self.at][0] == "end" or self.peek(stop)):
             if self.take(";"):
                 continue
-            if self.peek("for", "while", "break", "continue"):
-                raise PlanError(f"{self.tokens[self.at][1]} has no column form")
-            if self.take("if"):
-                out.append(self.branch())
-            elif self.take("return"):
-                out.append(("return", self.expression()))
-            elif self.tokens[self.at][0] == "name" and self.tokens[self.at + 1] == ("op", "="):
-                name = self.tokens[self.at][1]
-                self.at += 2
-                out.append(("let", name, self.expression()))
-            else:
-                out.append(self.expression())
+            out.append(self.statement())
         return ("block", out)
 
+    def statement(self) -> tuple:
+        if self.peek("for", "while", "break", "continue"):
+            if not self.loops:
+                raise PlanError(f"{self.tokens[self.at][1]} has no column form")
+            return self.loop()
+        if self.take("if"):
+            return self.branch()
+        if self.take("return"):
+            return ("return", self.expression())
+        name, after = self.tokens[self.at], self.tokens[self.at + 1] if self.at + 1 < len(self.tokens) else ("end", "")
+        if name[0] == "name" and after[0] == "op" and (after[1] in ("=", "++", "--") or len(after[1]) == 2 and after[1] in ("+=", "-=", "*=", "/=", "%=")):
+            self.at += 2
+            if after[1] == "=":
+                return ("let", name[1], self.expression())
+            right = ("lit", 1) if after[1] in ("++", "--") else self.expression()
+            return ("let", name[1], ("op", after[1][0], ("name", name[1]), right))
+        return self.expression()
+
+    def loop(self) -> tuple:
+        word = self.tokens[self.at][1]
+        self.at += 1
+        if word in ("break", "continue"):
+            return (word,)
+        self.need("(")
+        first = ("block", [])
+        if word == "for":
+            first = self.statement() if not self.peek(";") else first
+            self.need(";")
+        test = self.expression() if not self.peek(";", ")") else ("lit", True)
+        step = ("block", [])
+        if word == "for":
+            self.need(";")
+            step = self.statement() if not self.peek(")") else step
+        self.need(")")
+        return ("loop", first, test, step, self.body())
+
     def branch(self) -> tuple:
         self.need("(")
         test = self.expression()
@@ -103,7 +128,7 @@ class Parser:
             out = self.statements("}")
             self.need("}")
             return out
-        out = ("return", self.expression()) if self.take("return") else self.expression()
+        out = self.statement()
         self.take(";")
         return ("block", [out])
 

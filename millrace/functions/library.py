@@ -383,3 +383,106 @@ def _rowcells(c: Compiler, a: list) -> Typed:
 @function("input_name")
 def _input_name(c: Compiler, a: list) -> Typed:
     return Typed(F.input_file_name(), "string")
+
+
+# text and number functions of the older formula languages
+
+
+def _text(name: str, make, dtype: str = "string") -> None:
+    FUNCTIONS[name] = lambda c, a: Typed(make(*[F.coalesce(to_text(x), F.lit("")) for x in a]), dtype)
+
+
+_text("len", lambda s: F.length(s).cast("bigint"), "bigint")
+_text("equal", lambda a, b: a == b, "boolean")
+_text("inequal", lambda a, b: a != b, "boolean")
+_text("hasnt", lambda a, b: ~F.contains(a, b), "boolean")
+_text("contains", lambda a, b: F.contains(a, b), "boolean")
+_text("concat", F.concat)
+_text("after", lambda s, x: F.when(F.contains(s, x), F.substr(s, F.call_function("locate", x, s) + F.length(x))).otherwise(F.lit("")))
+_text("before", lambda s, x: F.when(F.contains(s, x), F.substr(s, F.lit(1), F.call_function("locate", x, s) - 1)).otherwise(s))
+_text("cmp", lambda a, b: F.when(a < b, -1).when(a > b, 1).otherwise(0).cast("bigint"), "bigint")
+_text("cnt", lambda s, x: F.when(x == "", 0).otherwise((F.length(s) - F.length(F.replace(s, x, F.lit("")))) / F.length(x)).cast("bigint"), "bigint")
+_text("search", lambda s, x: (F.call_function("locate", x, s) - 1).cast("bigint"), "bigint")
+_text("replace", F.replace)
+_text("upper", F.upper)
+_text("lower", F.lower)
+_text("cleanends", F.trim)
+_text("cleanmarkup", lambda s: F.regexp_replace(s, "<[^>]*>", ""))
+_text("crlf", lambda s: F.regexp_replace(s, "\r\n?", "\n"))
+_text("reverse", F.reverse)
+
+
+@function("repeat")
+def _repeat(c: Compiler, a: list) -> Typed:
+    return Typed(F.repeat(F.coalesce(to_text(a[0]), F.lit("")), V.num(a[1].col, a[1].dtype).cast("int")), "string")
+
+
+@function("skip")
+def _skip(c: Compiler, a: list) -> Typed:
+    return Typed(F.substr(F.coalesce(to_text(a[0]), F.lit("")), V.num(a[1].col, a[1].dtype).cast("int") + 1), "string")
+
+
+@function("printf")
+def _printf(c: Compiler, a: list) -> Typed:
+    return Typed(F.format_string(str(a[0].const), *[x.col for x in a[1:]]), "string")
+
+
+for _n, _make in {
+    "lg10": lambda x: F.when(x > 0, F.log10(x)), "lg2": lambda x: F.when(x > 0, F.log2(x)), "ln": lambda x: F.when(x > 0, F.ln(x)), "neg": lambda x: -x,
+    "inv": lambda x: F.when(x == 0, F.lit(float("inf"))).otherwise(F.call_function("try_divide", F.lit(1.0), x)), "plus": lambda x, y: x + y, "minus": lambda x, y: x - y, "mult": lambda x, y: x * y,
+    "div": lambda x, y: F.when(y == 0, F.lit(float("inf"))).otherwise(F.call_function("try_divide", x, y)), "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan,
+    "ceiling": lambda x: F.ceil(x).cast("double"),
+}.items():
+    _real(_n, _make)
+
+
+@function("sigma")
+def _sigma(c: Compiler, a: list) -> Typed:
+    """Population deviation of a list's numbers."""
+    n = numbers(as_list(a))
+    mean = F.aggregate(n, F.lit(0.0), lambda s, v: s + v) / F.size(n)
+    square = F.aggregate(n, F.lit(0.0), lambda s, v: s + v * v) / F.size(n)
+    return Typed(F.when(F.size(n) > 0, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))), "double")
+
+
+@function("RMS")
+def _rms(c: Compiler, a: list) -> Typed:
+    n = numbers(as_list(a))
+    return Typed(F.when(F.size(n) > 0, F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, v: s + v * v) / F.size(n))), "double")
+
+
+@function("rand")
+def _rand(c: Compiler, a: list) -> Typed:
+    return Typed(F.rand(int(a[0].const)) if a else F.rand(), "double")
+
+
+@function("irand")
+def _irand(c: Compiler, a: list) -> Typed:
+    """A whole number from the first up to, not with, the second."""
+    low, high = double(a[0]), double(a[1])
+    return Typed(F.floor(low + F.rand() * (high - low)).cast("bigint"), "bigint")
+
+
+@function("clust")
+def _clust(c: Compiler, a: list) -> Typed:
+    """list.clust({activity | distance, distalgo, clustalgo}): the rows' tree in Newick form.
+
+    The list holds rows of numbers, or with ``distance: 1`` a distance matrix.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..operators.numeric import distances, linkage
+
+    options = a[1].const if len(a) > 1 and isinstance(a[1].const, dict) else {}
+    kind, how = options.get("distalgo") or "euclidean", {"single-link": "single", "complete-link": "complete", "nj": "nj", "fast-nj": "nj"}.get(options.get("clustalgo") or "nj")
+    if how is None:
+        raise PlanError(f"no clustering {options.get('clustalgo')!r}")
+    given = bool(options.get("distance"))
+
+    def tree(rows) -> str:
+        m = np.array([list(r) for r in rows], float)
+        return linkage(m if given else distances(m, kind), [str(i) for i in range(len(m))], how)[0]
+
+    run = F.pandas_udf(lambda s: pd.Series([None if x is None else tree(x) for x in s]), "string", F.PandasUDFType.SCALAR)
+    return Typed(run(a[0].col.cast("array<array<double>>")), "string")

@@ -181,7 +181,7 @@ class Pipeline:
         if op == "load":
             more = self.source(arg.get("concat") or arg.get("tbl") or arg, arg.get("order"))
             return more if t is None else concat(t, more)
-        if t is None:
+        if t is None and op not in ("ionwander", "load-SNPprofile"):
             raise PlanError(f"{op} needs a table")
         if op == "collapserows":
             return t
@@ -305,6 +305,27 @@ class Pipeline:
     def op_transpose(self, t: Table, arg: dict) -> Table:
         return transpose(t, arg.get("topHeader", True), arg.get("leftHeader", True))
 
+    # other stores
+
+    def op_ionwander(self, t: Table | None, arg: dict) -> Table:
+        """The printed rows of a traversal over the sources as relations: {qry, qryParams, cnt}; appended to a table at hand."""
+        from .relations import Traversal
+
+        names = arg.get("relations") or re.findall(r"\.(\w+)\s*\(", arg["qry"])
+        known = {n: self.sources.get(n) for n in names if self.sources.get(n) is not None}
+        out = Traversal(self.spark, known).run(arg["qry"], arg.get("qryParams"))
+        made = Table.of(out.limit(int(arg["cnt"])) if arg.get("cnt") else out)
+        return made if t is None else concat(t, made)
+
+    def op_load_SNPprofile(self, t: Table | None, arg: dict) -> Table:  # noqa: N802
+        """One subject's rows of a profile (columns sub, pos, ...), by position; gaps are filled unless autoAddMissingRows is false."""
+        rows = self.source(arg.get("tbl") or arg.get("obj"))
+        i, p = rows.index("sub"), rows.index("pos")
+        found = renumbered(rows.df.where(V.text(rows.col(i), rows.types[i]) == str(arg["sub"])), rows.names, [f"c{p}"])
+        if arg.get("autoAddMissingRows", True):
+            found = COMMANDS["addMissingRows"](found, {"abscissa": {"col": p}, "add": [{"col": i, "value": arg["sub"]}]})
+        return found if t is None else concat(t, found)
+
     # joins
 
     def op_glue(self, t: Table, arg: dict) -> Table:

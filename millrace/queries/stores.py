@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, ranges, sequences
+from ..operators import annotations, graph, ranges, sequences
 from ..plans.objects import Catalog
 from ..plans.relations import Traversal
 from ..streaming import events
@@ -315,3 +315,63 @@ def _(t: Sources) -> DataFrame:
 def _(t: Sources) -> DataFrame:
     out = events.sessions(t["events"].withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("tqs_ionwander", "SELECT n_name AS b_n_name FROM nation WHERE n_regionkey = 2")
+def _(t: Sources) -> DataFrame:
+    from ..plans.pipeline import Pipeline
+
+    stages = [{"op": "ionwander", "arg": {"qry": "a=find.region(r_regionkey==$id); b=find.nation(n_regionkey==a.r_regionkey); printCSV(b.n_name);", "qryParams": {"id": 2}}}]
+    return Pipeline(t.spark, t).run(stages).result()
+
+
+@query(
+    "dom_load_profile",
+    f"""WITH {_PILE}, p2 AS (SELECT pos::BIGINT AS pos FROM c WHERE sub = 'R' AND pos NOT BETWEEN 10 AND 20)
+       SELECT 'R' AS sub, pos, true AS known FROM p2 UNION ALL SELECT 'R', x, NULL FROM (SELECT unnest([10, 20])::BIGINT AS x) WHERE EXISTS (SELECT 1 FROM p2 WHERE pos > 20) AND EXISTS (SELECT 1 FROM p2 WHERE pos < 10)""",
+)
+def _(t: Sources) -> DataFrame:
+    from ..operators import commands  # noqa: F401
+    from ..plans.pipeline import Pipeline
+
+    profile = _pileup(t).where("not (sub = 'R' and pos between 10 and 20)").select("sub", "pos", F.lit(True).alias("known"))
+    return Pipeline(t.spark, {"p": profile}).run([{"op": "load-SNPprofile", "arg": {"tbl": "p", "sub": "R"}}]).result()
+
+
+@query(
+    "dom_codon_table",
+    "SELECT codon, n FROM (SELECT sum(p_size)::BIGINT AS \"AAA\", sum(p_partkey % 7)::BIGINT AS \"ACG\" FROM part WHERE p_partkey % 3 = 1) UNPIVOT (n FOR codon IN (\"AAA\", \"ACG\"))",
+)
+def _(t: Sources) -> DataFrame:
+    usage = t["part"].select(F.col("p_partkey").alias("taxid"), F.col("p_size").cast("bigint").alias("AAA"), (F.col("p_partkey") % 7).alias("ACG"))
+    out = annotations.codon_table(usage, t["part"].where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("taxid")))
+    return out
+
+
+@query("dom_saturation", "WITH f AS (SELECT user_id AS pos, min(event_id) AS r FROM events GROUP BY 1), e AS (SELECT min(event_id) AS a, max(event_id) + 1 AS b FROM events), s AS (SELECT floor((r - a) * 20 / (b - a))::BIGINT AS step, count(*) AS new FROM f, e GROUP BY 1) SELECT step, (sum(new) OVER (ORDER BY step))::BIGINT AS positions FROM s")
+def _(t: Sources) -> DataFrame:
+    return annotations.saturation(t["events"].select(F.col("user_id").alias("pos"), F.col("event_id").alias("read")), 20)
+
+
+@query("dom_annotation_types", "SELECT p_brand AS type, count(*) AS n, count(DISTINCT p_type) AS ids FROM part WHERE regexp_matches(p_brand, 'brand#1', 'i') GROUP BY 1")
+def _(t: Sources) -> DataFrame:
+    a = t["part"].select(F.lit("s").alias("sub"), F.col("p_partkey").alias("start"), F.col("p_partkey").alias("end"), F.col("p_type").alias("id"), F.col("p_brand").alias("type"))
+    return annotations.id_types(annotations.search(a, "brand#1", ("type",)))
+
+
+@query("sql_log_read", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup') AND user_id = 46 AND value >= 5 ORDER BY event_id DESC")
+def _(t: Sources) -> DataFrame:
+    return t["events"].where("event_type in ('error', 'signup') and user_id = 46 and value >= 5").orderBy(F.desc("event_id")).select("event_id", "event_type")
+
+
+@query("sql_group_progress", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5) GROUP BY 1")
+def _(t: Sources) -> DataFrame:
+    group = t["customer"].where("c_nationkey = 5")
+    o = t["orders"]
+    return o.join(group, o["o_custkey"] == group["c_custkey"], "left_semi").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
+
+
+@query("sql_usage_by_path", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE starts_with(c_name, 'Customer#0000001') OR c_name = 'Customer#000000007' GROUP BY 1")
+def _(t: Sources) -> DataFrame:
+    paths = F.startswith("c_name", F.lit("Customer#0000001")) | (F.col("c_name") == "Customer#000000007")
+    return t["customer"].where(paths).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))

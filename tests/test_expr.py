@@ -24,7 +24,7 @@ CASES = [
     ('"a,b;c".split(",",";")', ["a", "b", "c"]), ('"ab".split("")', ["a", "b"]), ('" x\t".strip()', "x"), ('["a","b"].join("-")', "a-b"), ('cat("a",1)', "a1"),
     ("clamp(5,0,3)", 3.0), ("min(3,1)", 1.0), ("mean([1,2])", 1.5), ("log10(1000)", pytest.approx(3.0)), ("log(0)", None),
     ('strptime("2020-01-02","%Y-%m-%d").strftime("%d/%m/%Y")', "02/01/2020"), ('strptime("x","%Y").isnull()', True), ('aa3letter("K")', "Lys"), ('aa1letter("lys")', "K"),
-    ('x=3; if(x>2){return "big";} return "small";', "big"), ('isnumeric("12")', True), ('isnumeric("a")', False), ("islist([1])", True), ('[["a",1],["b",2]].dic().keys()', ["a", "b"]),
+    ('x=3; if(x>2){return "big";} return "small";', "big"), ('isnumeric("12")', True), ('isnumeric("a")', False), ("islist([1])", True), ('"a.b".after(".")', "b"), ('"a.b".before(".")', "a"), ('"abab".cnt("ab")', 2), ('"ab".repeat(2)', "abab"), ("inv(0)", math.inf), ("sigma([1,3])", 1.0), ("RMS([3,4,5])", pytest.approx(math.sqrt(50 / 3))), ('printf("%d-%s", 5, "x")', "5-x"), ('[[0,0],[0,1],[9,9]].clust({clustalgo:"single-link"})', "(2:6.0208,(0:0.5,1:0.5):5.5208);"), ('[["a",1],["b",2]].dic().keys()', ["a", "b"]),
 ]
 
 
@@ -48,3 +48,16 @@ def test_columns_by_index_name_and_homonym(spark):
     with pytest.raises(PlanError):
         t.index("z")
     assert t.indexes({"name": "z", "optional": True}) == []
+
+
+def test_scripts_with_loops(spark):
+    from millrace.functions.script import script
+
+    t = Table.of(spark.createDataFrame([(4, "a"), (None, "b"), (0, None)], "n long, s string").coalesce(1))
+    run = lambda source, kind="double": [r[0] for r in t.df.orderBy("_row").select(script(source, t, kind)).collect()]
+    assert run("s=0; for(i=1;i<=$n;i++){ if(i==3){continue;} s+=i; } return s;") == [7.0, 0.0, 0.0]
+    assert run('x=""; while(x.dim() < 3){ x = cat(x, $s); if($s == null){break;} } x', "string") == ["aaa", "bbb", ""]
+    assert run("f=function(a){return a*2;}; f(3)/0", "double") == [math.inf] * 3
+    assert run("$n == null", "boolean") == [False, True, True]
+    with pytest.raises(Exception, match="too long"):
+        run("while(1){}")
