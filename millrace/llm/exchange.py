@@ -22,7 +22,7 @@ _TOLD = pa.schema([("chunk", pa.int64()), ("hashes", pa.binary()), ("least", pa.
 
 
 def chunked(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """doc_id, text and the chunk of each row: dealt by both, so neither a hot id nor a hot text fills a chunk... alone."""
+    """doc_id, text and the chunk of each row, dealt by both: a hot text under many ids spreads, and so does a hot id with many texts."""
     n = max(1, -(-total_bytes // CHUNK_BYTES))
     return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk")).repartition("chunk")
 

@@ -16,6 +16,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_jaccard_join": jaccard_join.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_url_filter": url_filter.ORACLE_SQL,
 }

@@ -103,3 +103,47 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     outcomes = pages.join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), "page_id").select(host_of(F.col("url")).alias("host"), "bad")
     return judge(pages, outcomes)
+
+
+def _level(name: str, units: str, key: str, parent: str, above: str) -> str:
+    mean = "coalesce(p.m, s.x / s.n)" if parent else "s.x / s.n"
+    join = f"LEFT JOIN {parent} p ON p.{above} = u.{above}" if parent else ""
+    return f"""{name}_s AS (
+    SELECT sum(bad)::DOUBLE AS x, sum(n)::DOUBLE AS n, sum(n) FILTER (WHERE n > 1)::DOUBLE AS n2, sum(n * (bad / n) ** 2) FILTER (WHERE n > 1) AS q, sum(bad) FILTER (WHERE n > 1)::DOUBLE AS x2, count(*) FILTER (WHERE n > 1) AS k FROM {units}
+), {name}_k AS (
+    SELECT *, CASE WHEN n2 IS NULL OR k <= 1 THEN {STRENGTH} WHEN b > 0 AND v > 0 THEN least({MOST}, greatest({LEAST}, v / b - 1)) ELSE {MOST} END AS strength
+    FROM (SELECT *, x2 / n2 * (1 - x2 / n2) AS v, greatest(0, q / n2 - (x2 / n2) ** 2) - x2 / n2 * (1 - x2 / n2) / (n2 / k) AS b FROM {name}_s)
+), {name} AS (
+    SELECT *, a / (a + b) AS m FROM (
+        SELECT u.*, least(greatest({mean}, 1e-6), 1 - 1e-6) * s.strength + u.bad AS a, (1 - least(greatest({mean}, 1e-6), 1 - 1e-6)) * s.strength + u.n - u.bad AS b
+        FROM {units} u CROSS JOIN {name}_k s {join})
+)"""
+
+
+_CASES = " ".join(
+    f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{act} {name}/{rest}'"
+    for act, name, rest in sorted(((a, *r.split("/", 1)) for a, r in RULES), key=lambda x: -len(x[1] + x[2]))
+)
+
+ORACLE_SQL = rf"""
+WITH u AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+    SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), outcomes AS (
+    SELECT host, quality = 0 OR toxic = 1 AS bad FROM split JOIN labels ON doc_id = page_id WHERE host <> '' AND (quality = 0 OR toxic = 1) IS NOT NULL
+), hosts AS (
+    SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*)::DOUBLE AS n, count(*) FILTER (WHERE bad)::DOUBLE AS bad FROM outcomes GROUP BY host
+), domains AS (
+    SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix
+), suffixes AS (
+    SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
+), {_level("l1", "suffixes", "suffix", "", "")}, {_level("l2", "domains", "domain", "l1", "suffix")}, {_level("l3", "hosts", "host", "l2", "domain")},
+bad AS (
+    SELECT host FROM l3 WHERE a / (a + b) - {BOUND} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {LIMIT}
+), judged AS (
+    SELECT page_id, host, path, CASE {_CASES} END AS fit FROM split
+)
+SELECT page_id, j.host, path, split_part(fit, ' ', 2) AS rule, coalesce(split_part(fit, ' ', 1), CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM judged j LEFT JOIN bad ON bad.host = j.host
+"""
