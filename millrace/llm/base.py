@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import cache
+from inspect import isgeneratorfunction
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,46 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that Spark sends to Python, where the session says nothing.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that long texts don't add up; a setting other than the default stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(f):
+    """A function of Arrow tables or batches that gives memory back when it is done; as many arguments as ``f``, which Spark counts."""
+
+    def table(*args):
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    def batches(it):
+        try:
+            yield from f(it)
+        finally:
+            give_back()
+
+    if isgeneratorfunction(f):
+        return batches
+    return {1: lambda t: table(t), 2: lambda k, t: table(k, t), 3: lambda k, t, u: table(k, t, u)}[f.__code__.co_argcount]
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])

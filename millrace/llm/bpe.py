@@ -123,6 +123,7 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", into:
     keep = [c for c in docs.columns if c != into]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False), False)])
 
+    @base.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pat = PieceIds(load_ranks(path)), regex.compile(pattern)
         for whole in batches:
@@ -136,6 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", into:
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat or [np.empty(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], ids], names=[*keep, into])
 
+    base.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -144,6 +146,7 @@ def decode(rows: DataFrame, path: str, column: str = "ids", into: str = "decoded
     keep = [c for c in rows.columns if c != into]
     schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField(into, T.BinaryType())])
 
+    @base.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = load_tokens(path)
         for whole in batches:
@@ -154,6 +157,7 @@ def decode(rows: DataFrame, path: str, column: str = "ids", into: str = "decoded
                     out.append(b"".join(map(tokens.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else None)
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(out, pa.binary())], names=[*keep, into])
 
+    base.small_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

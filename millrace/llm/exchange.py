@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import base
+
 #: Text bytes of a chunk, and hashes of a bucket, about.
-CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 3 << 19
+CHUNK_BYTES, BUCKET_HASHES = 3 << 20, 1 << 20
 SENT = "bucket int, chunk long, once binary, often binary, least binary"
 TOLD = "chunk long, hashes binary, least binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("once", pa.binary()), ("often", pa.binary()), ("least", pa.binary())])
@@ -58,6 +60,7 @@ def _uint64(blob: bytes | None) -> np.ndarray:
     return np.frombuffer(blob or b"", np.uint64)
 
 
+@base.tidy
 def _tell_shared(t: pa.Table) -> pa.Table:
     once, often = [_uint64(x) for x in t["once"].to_pylist()], [_uint64(x) for x in t["often"].to_pylist()]
     u, c = np.unique(np.concatenate(once + often), return_counts=True)
@@ -70,6 +73,7 @@ def _tell_shared(t: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 3, _TOLD.types)], schema=_TOLD)
 
 
+@base.tidy
 def _tell_least(t: pa.Table) -> pa.Table:
     once = [_uint64(x) for x in t["once"].to_pylist()]
     ids = [np.frombuffer(x or b"", np.int64) for x in t["least"].to_pylist()]

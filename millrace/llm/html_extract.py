@@ -204,6 +204,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html; others are ignored); each page by itself."""
 
+    @base.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -211,6 +212,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(x) for x in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    base.small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

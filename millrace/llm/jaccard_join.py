@@ -72,10 +72,12 @@ def sets_of(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFram
     chunks = exchange.chunked(docs, total)
     n_buckets = exchange.buckets(total // 14)
 
+    @base.tidy
     def send(key: tuple, t: pa.Table) -> pa.Table:
         grams, offsets = shingle_sets(exchange.column(t, "text"), words)
         return exchange.send(key[0].as_py(), grams[_prefix(offsets, share)], n_buckets)
 
+    @base.tidy
     def survivors(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
         known, _ = exchange.told(replies)
         grams, offsets = shingle_sets(exchange.column(t, "text"), words)
@@ -176,6 +178,7 @@ def _read(blobs: list[bytes]) -> list[np.ndarray]:
 def _local(share: int):
     """Joins whole regions: id, component for the members of a bucket of regions."""
 
+    @base.tidy
     def run(key: tuple, t: pa.Table) -> pa.Table:
         label, ids = t["label"].to_numpy(), t["id"].to_numpy()
         order = np.lexsort((ids, label))
@@ -194,6 +197,7 @@ def _local(share: int):
 def _against(share: int):
     """Compares a slice of a region with a block of pivots: the links as u, v."""
 
+    @base.tidy
     def run(key: tuple, slice_: pa.Table, block: pa.Table) -> pa.Table:
         u, v = [], []
         if slice_.num_rows and block.num_rows:

@@ -65,6 +65,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, top: int = PROFILE) -> dict[str
     near = rows.withColumn("_k", key).where((F.pmod(F.col("_k.h"), F.lit(1 << 20)) / (1 << 20)) < share)
     cut = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_k"))).where(F.col("_r") <= sample)
 
+    @base.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -111,6 +112,7 @@ def predict_rows(docs: DataFrame, profiles: dict[str, list[int]], top: int = PRO
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    @base.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles, top)
         for whole in batches:
@@ -119,6 +121,7 @@ def predict_rows(docs: DataFrame, profiles: dict[str, list[int]], top: int = PRO
                 langs, scores = zip(*map(ranker.predict, b.column(keep.index("text")).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
+    base.small_batches(docs.sparkSession)
     return docs.select(*keep).mapInArrow(run, schema)
 
 

@@ -153,6 +153,7 @@ def store(docs: DataFrame, level: int = 6, kind: int = 0) -> DataFrame:
     A null text is empty; the payload is the text's bytes and bytes 0 up to a positive multiple of WIDTH.
     """
 
+    @base.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -161,6 +162,7 @@ def store(docs: DataFrame, level: int = 6, kind: int = 0) -> DataFrame:
                 media = [write_png(x + b"\0" * (-len(x) % WIDTH if x else WIDTH), kind=kind, level=level) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
+    base.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
@@ -182,6 +184,7 @@ def features(stored: DataFrame, column: str = "media") -> DataFrame:
         payload = image.tobytes()
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image)
 
+    @base.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -189,6 +192,7 @@ def features(stored: DataFrame, column: str = "media") -> DataFrame:
                 cols = zip(*map(row, part.column(part.schema.get_field_index(column)).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in keep], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=names)
 
+    base.small_batches(stored.sparkSession)
     return stored.mapInArrow(run, schema)
 
 

@@ -54,10 +54,12 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         at = np.flatnonzero(np.isin(place % PERIOD, COVER) & (after >= anchor - 1))
         return at, base.gram_hashes(words, anchor)[at]
 
+    @base.tidy
     def send_anchors(key: tuple, t: pa.Table) -> pa.Table:
         words, offsets = base.split_words(exchange.column(t, "text"))
         return exchange.send(key[0].as_py(), anchors(base.hash_words(words), offsets)[1], n_anchor)
 
+    @base.tidy
     def send_windows(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
         (shared, _), none = exchange.told(replies), np.empty(0, np.uint64)
         if not len(shared):
@@ -70,6 +72,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         grams = base.gram_hashes(words, window)[near] if len(near) else none
         return exchange.send(key[0].as_py(), grams, n_window, _ids(t)[text[near]])
 
+    @base.tidy
     def cut(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
         known, least = exchange.told(replies)
         words, offsets = base.split_words(exchange.column(t, "text"))
