@@ -359,9 +359,9 @@ def _(t: Sources) -> DataFrame:
     return annotations.id_types(annotations.search(a, "brand#1", ("type",)))
 
 
-@query("sql_log_read", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup') AND user_id = 46 AND value >= 5 ORDER BY event_id DESC")
+@query("sql_log_read", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup') AND user_id % 46 = 3 AND value >= 5 ORDER BY event_id DESC")
 def _(t: Sources) -> DataFrame:
-    return t["events"].where("event_type in ('error', 'signup') and user_id = 46 and value >= 5").orderBy(F.desc("event_id")).select("event_id", "event_type")
+    return t["events"].where("event_type in ('error', 'signup') and user_id % 46 = 3 and value >= 5").orderBy(F.desc("event_id")).select("event_id", "event_type")
 
 
 @query("sql_group_progress", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5) GROUP BY 1")
