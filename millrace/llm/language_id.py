@@ -49,12 +49,12 @@ def ranked(g: np.ndarray, n: np.ndarray, top: int = PROFILE) -> np.ndarray:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, top: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles by language from rows with text and lang: at most ``sample`` texts of a language, those of least hash of the text.
+    """Profiles by language from rows with text and lang: at most ``sample`` different texts of a language, those of least hash.
 
-    Rows with a null text or lang are left out.  Copies of a text count as rows.  More than LANGUAGES languages: an error.
+    Rows with a null text or lang are left out.  Copies of a text count once, so a large group of them can't fill the
+    sample.  More than LANGUAGES languages: an error.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    key = F.struct(F.xxhash64("text").alias("h"), F.col("doc_id").alias("d"))
     first = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()
     if len(first) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -62,7 +62,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, top: int = PROFILE) -> dict[str
     share = F.lit(None).cast("double")
     for r in first:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4.0 * sample / r["n"]))).otherwise(share)
-    near = rows.withColumn("_k", key).where((F.pmod(F.col("_k.h"), F.lit(1 << 20)) / (1 << 20)) < share)
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("_k"))
+    near = hashed.where((F.pmod(F.xxhash64("_k"), F.lit(1 << 20)) / (1 << 20)) < share).dropDuplicates(["lang", "_k"])
     cut = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_k"))).where(F.col("_r") <= sample)
 
     @base.tidy
