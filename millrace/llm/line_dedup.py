@@ -2,9 +2,12 @@
 
 A line's place in the tree is fixed by depth: its token count, then its leading LEAD tokens, then its template; in
 all of them a variable field (a token with a digit or an @) is the placeholder ``<*>``.  A template is recurring when
-it stands in at least ``min_docs`` documents with different neighbour lines: what counts is the number of different
-first documents over its contexts (templates of the line before and after), so whole copies of a document do not make
-its lines recurring, while notices, headings and other lines strewn over documents do.  Recurring lines are dropped.
+it stands in at least ``min_docs`` different texts, wherever it stands in them and however short it is; blank lines
+never recur.  Exact copies are one text, and all texts of which more than NEAR is lines shared by ``min_docs`` texts
+count as one together, so whole copies and near copies do not make their lines recurring, while notices, footers,
+headings and other lines strewn over documents do.  Recurring lines are dropped.
+
+op7's SQL is narrower: there a template recurs by its neighbour lines (``contexts``), from MIN_TOKENS tokens on.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from . import base
 
 LEAD, MIN_TOKENS, MIN_DOCS = 2, 3, 5
+#: Share of a text in shared lines: two texts with it in common have Jaccard 0.75, where op1 calls them near copies.
+NEAR = 6 / 7
 #: Recurring templates that are broadcast at most (16 bytes each); beyond, the join deals both sides by template.
 BROADCAST = 500_000
 SALTS = 16
@@ -33,13 +38,36 @@ def _masked(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(fields, r"\s+", " ")).otherwise(fields))
 
 
-def templates_of(text: Column) -> Column:
-    """For each line its hash in the tree, and null below MIN_TOKENS tokens (such lines are never recurring)."""
+def templates_of(text: Column, least: int = 1) -> Column:
+    """For each line its hash in the tree, and null for blank lines and below ``least`` tokens (such lines are never recurring)."""
     counted = F.transform(F.transform(lines_of(text), _masked), lambda m: F.struct(m.alias("m"), (F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1).alias("n")))
-    return F.transform(counted, lambda x: F.when(x["n"] >= MIN_TOKENS, F.xxhash64(x["n"], F.substring_index(x["m"], " ", LEAD), x["m"])))
+    return F.transform(counted, lambda x: F.when((x["n"] >= least) & (x["m"] != ""), F.xxhash64(x["n"], F.substring_index(x["m"], " ", LEAD), x["m"])))
+
+
+def _among(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose template is one of ``found``; ``key`` tells rows of a hot template apart."""
+    if found.count() <= BROADCAST:
+        return rows.join(F.broadcast(found), "template")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    return salted.join(found.select("template", salt), ["template", "salt"]).drop("salt")
 
 
 def recurring(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """template (long): of ``rows`` (doc_id, copy: hash of the text, t: templates and z: lengths by line) those in at least ``min_docs`` different texts."""
+    texts = base.save(rows.where(F.col("doc_id").isNotNull()).select("copy", "t", "z").dropDuplicates(["copy"]))
+    pairs = texts.select("copy", F.explode(F.array_distinct(F.array_compact("t"))).alias("template"))
+    shared = base.save(pairs.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template"))
+    held = _among(texts.select("copy", F.inline(F.arrays_zip("t", "z"))).where(F.col("t").isNotNull()).withColumnRenamed("t", "template"), shared, "copy")
+    total = F.aggregate("z", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    sums = texts.select("copy", total.alias("total")).join(held.groupBy("copy").agg(F.sum("z").alias("held")), "copy")
+    near = base.save(sums.where(F.col("held") > NEAR * F.col("total")).select("copy", F.lit(1).alias("near")))
+    counted = _among(pairs, shared, "copy").join(near, "copy", "left").groupBy("template")
+    n = F.count("*") - F.count("near") + F.coalesce(F.max("near"), F.lit(0))
+    return counted.agg(n.alias("n")).where(F.col("n") >= min_docs).select("template")
+
+
+def recurring_by_context(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """template (long): of ``rows`` (doc_id, t: templates by line) those in at least ``min_docs`` documents with different neighbours."""
     edge, n = F.array(F.lit(0).cast("bigint")), F.size("t")
     around = rows.select("doc_id", "t", F.concat(edge, F.slice("t", 1, n - 1)).alias("p"), F.concat(F.slice("t", 2, n - 1), edge).alias("q"))
@@ -50,33 +78,29 @@ def recurring(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return firsts.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = (), contexts: bool = False) -> DataFrame:
     """doc_id, text, n_lines, n_removed, kept_text and the columns ``carry`` for each row of ``docs``.
 
     Lines end at \\n; what is kept is joined by \\n in order.  A null text is one empty line.  Rows with a null doc_id
-    count for no template, but lose their recurring lines.  Ties and repeated rows: copies have the same neighbours
-    and count once.
+    count for no template, but lose their recurring lines.  Ties and repeated rows: copies count once.  ``contexts``:
+    as op7's SQL has it, by neighbour lines.
     """
     docs = docs.select("doc_id", "text", *carry)
-    trees = base.save(docs.select("doc_id", templates_of(F.col("text")).alias("t")))
-    found = base.save(recurring(trees, min_docs))
-    small = found.count() <= BROADCAST
-    rows = trees.select("doc_id", F.explode(F.array_distinct(F.array_compact("t"))).alias("template"))
-    if small:
-        marked = rows.join(F.broadcast(found), "template")
-    else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        marked = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(found.select("template", salt), ["template", "salt"])
+    least, text = MIN_TOKENS if contexts else 1, F.col("text")
+    trees = docs.select("doc_id", templates_of(text, least).alias("t"), *([] if contexts else [F.xxhash64("text").alias("copy"), F.transform(lines_of(text), F.length).alias("z")]))
+    trees = base.save(trees)
+    found = base.save((recurring_by_context if contexts else recurring)(trees, min_docs))
+    marked = _among(trees.select("doc_id", F.explode(F.array_distinct(F.array_compact("t"))).alias("template")), found, "doc_id")
     gone = marked.groupBy("doc_id").agg(F.collect_set("template").alias("gone")).withColumnRenamed("doc_id", "_id")
     both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left")
-    lines = lines_of(F.col("text"))
-    keep = F.when(F.col("gone").isNull(), lines).otherwise(F.array_compact(F.zip_with(lines, templates_of(F.col("text")), lambda x, t: F.when(~F.coalesce(F.array_contains("gone", t), F.lit(False)), x))))
+    lines = lines_of(text)
+    keep = F.when(F.col("gone").isNull(), lines).otherwise(F.array_compact(F.zip_with(lines, templates_of(text, least), lambda x, t: F.when(~F.coalesce(F.array_contains("gone", t), F.lit(False)), x))))
     out = both.select("doc_id", "text", *carry, F.size(lines).cast("long").alias("n_lines"), keep.alias("keep"))
     return out.select("doc_id", "text", *carry, "n_lines", (F.col("n_lines") - F.size("keep")).cast("long").alias("n_removed"), F.array_join("keep", "\n").alias("kept_text"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drop_recurring(base.table(spark, sf_dir, "documents"))
+    kept = drop_recurring(base.table(spark, sf_dir, "documents"), contexts=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 

@@ -199,6 +199,16 @@ def test_line_dedup(spark, hostile, empty):
     assert len(own) == hostile.count() and all(r.n_lines == (r.text or "").count("\n") + 1 for r in own)
 
 
+def test_line_dedup_in_any_place(spark):
+    own = lambda i, k: f"paragraph {'abcdefghij'[i]} of the text {'abcdefghij'[k]} stands in this document alone"
+    rows = [(i, f"{own(i, 0)}\n\nThis notice recurs everywhere.\n\n{own(i, 1)}\nRead more\nfirst footer line\nsecond footer line\nthird footer line") for i in range(8)]
+    near = [(100 + i, "\n".join("edited" if i == k else f"near copy line {'abcdefghij'[k]} with words" for k in range(10))) for i in range(10)]
+    docs = spark.createDataFrame(rows + near + [(200 + i, rows[0][1]) for i in range(3)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_recurring(docs).collect()}
+    assert all(got[i].kept_text == f"{own(i, 0)}\n\n\n{own(i, 1)}" for i in range(8)) and got[200].kept_text == got[0].kept_text
+    assert all(got[100 + i].n_removed == 0 for i in range(10))  # left to the near-duplicate stage
+
+
 def test_decontamination(spark, hostile, empty):
     item = "In 2001 a train left Berlin at 33 km per hour and reached Wien after 33 minutes of travel time in total."
     docs = spark.createDataFrame(
