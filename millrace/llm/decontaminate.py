@@ -1,10 +1,9 @@
 """Benchmark decontamination by template windows, in DataFrame functions alone.
 
-Numbers, names inside sentences and units after numbers become typed placeholders; windows of WINDOW tokens of this
-template text are hashed, at every place of a benchmark item and at every STRIDE-th of a document, so that any run of
-WINDOW + STRIDE - 1 equal tokens meets.  Documents and items are joined on the hashes.  A window with placeholders
-also carries their values: a pair counts as re-parameterised only if each value of the item goes with one value of
-the document throughout; windows without placeholders are literal matches.
+Numbers, names and units after numbers become typed placeholders.  Windows of WINDOW tokens are hashed at every place of
+documents and items, as they are (case aside) and, where they hold placeholders, as templates; both sides are joined on
+the hashes, so a run of RUN equal tokens is found however it is aligned.  Template windows carry the placeholders'
+values: a pair counts as re-parameterised only if each value of the item goes with one value of the document throughout.
 """
 
 from __future__ import annotations
@@ -14,7 +13,9 @@ from pyspark.sql import functions as F
 
 from . import base
 
-WINDOW, STRIDE, LEAST = 8, 4, 5
+WINDOW, RUN, LONG, LEAST = 8, 11, 15, 5
+#: Tokens beside the placeholders that a template window needs: placeholders alone tell nothing.
+LITERAL = 2
 #: Benchmark windows that are broadcast at most (about 40 bytes each).
 BROADCAST = 400_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,60 +38,71 @@ def _slot(x: Column) -> Column:
     return F.substring(x, 1, 4).isin("num0", "nam0", "uni0")
 
 
-def _templates(rows: DataFrame) -> DataFrame:
-    """Adds ``marked`` (some token is a placeholder) and ``tpl``, the hashes of the tokens without the placeholders' values, to ``tok``."""
+def _hashes(rows: DataFrame) -> DataFrame:
+    """Adds ``lit``, the hashes of the tokens, and ``tpl``, those without the placeholders' values, to ``tok``; ``tpl`` is null without placeholders."""
     rows = rows.withColumn("marked", F.exists("tok", _slot))
     plain = F.transform("tok", lambda x: F.xxhash64(x))
-    return rows.withColumn("tpl", F.when(F.col("marked"), F.transform("tok", lambda x: F.xxhash64(F.when(_slot(x), F.substring(x, 1, 4)).otherwise(x)))).otherwise(plain))
+    bare = F.transform("tok", lambda x: F.xxhash64(F.when(_slot(x), F.substring(x, 5, 1 << 30)).otherwise(x)))
+    masked = F.transform("tok", lambda x: F.xxhash64(F.when(_slot(x), F.substring(x, 1, 4)).otherwise(x)))
+    return rows.withColumn("lit", F.when(F.col("marked"), bare).otherwise(plain)).withColumn("tpl", F.when(F.col("marked"), masked)).drop("marked")
 
 
-def _windows(width: int, stride: int) -> Column:
-    """Over tok, tpl and marked, array<struct<hash, at, slots>>: slots are the placeholders' values in order, null where the window has none."""
-    starts = F.when(F.size("tok") >= width, F.sequence(F.lit(0), F.size("tok") - width, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+def _windows(width: int, lane: str) -> Column:
+    """array<struct<hash, at>> over every place of ``lit`` or ``tpl``; empty for a null lane."""
+    size = F.size(lane)
+    starts = F.when(size >= width, F.sequence(F.lit(0), size - width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit(width), F.lit(lane), F.slice(lane, i + 1, width)).alias("hash"), i.alias("at")))
 
-    def one(i: Column) -> Column:
-        values = F.when(F.col("marked"), F.filter(F.slice("tok", i + 1, width), _slot))
-        slots = F.when(F.size(values) > 0, values)
-        return F.struct(F.xxhash64(F.lit(width), F.slice("tpl", i + 1, width)).alias("hash"), i.alias("at"), slots.alias("slots"))
 
-    return F.transform(starts, one)
+def _slots(at: Column, width: Column) -> Column:
+    return F.filter(F.slice("tok", at + 1, width), _slot)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, consistent for each document and item that share enough windows.
+    """doc_id, item_id, n_windows, literal for each document and item that share enough.
 
-    ``docs``: doc_id, text; ``benchmark``: item_id, text (other columns are ignored).  Enough: two different windows of
-    the item, or one where it is shorter than WINDOW + 2 * STRIDE - 1 tokens; an item of fewer than WINDOW + STRIDE - 1
-    tokens is looked for whole, at every place; one of fewer than LEAST tokens is never found.  Pairs whose windows with
-    placeholders aren't consistent keep their literal windows alone.  Null texts and ids match nothing; repeated rows of
-    a doc_id count as one document; an empty table on either side gives no rows.
+    ``docs``: doc_id, text; ``benchmark``: item_id, text (other columns are ignored).  Enough: matched windows that cover
+    RUN tokens of the item, or WINDOW where it is shorter than LONG tokens; an item of fewer than RUN tokens is looked for
+    whole, one of fewer than LEAST literally.  A template window needs LITERAL tokens beside its placeholders.  Pairs whose
+    windows with placeholders aren't consistent keep their literal windows alone.  Null texts and ids match nothing;
+    repeated rows of a doc_id count as one document; an empty table on either side gives no rows.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    items = with_tokens(items).where(F.size("tok") >= LEAST)
-    items = _templates(items.withColumn("n", F.size("tok")))
-    whole = WINDOW + STRIDE - 1
-    short = [r["n"] for r in items.where(F.col("n") < whole).select("n").distinct().collect()]  # below WINDOW + STRIDE values
-    index = items.where(F.col("n") >= whole).select("item_id", "n", F.inline(_windows(WINDOW, 1)))
-    for n in short:
-        index = index.unionAll(items.where(F.col("n") == n).select("item_id", "n", F.inline(_windows(n, n))))
-    index = base.save(index.select("hash", "item_id", "n", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")))
-    rows = _templates(with_tokens(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")))
-    every = _windows(WINDOW, STRIDE)
-    for n in short:
-        every = F.concat(every, _windows(n, 1))
-    found = rows.select("doc_id", F.inline(every))
-    joined = found.join(F.broadcast(index) if index.count() <= BROADCAST else index, "hash")
-    joined = base.save(joined.where(F.col("slots").isNull() == F.col("item_slots").isNull()))
-    literal = joined.where(F.col("slots").isNull() | (F.array_join("slots", " ") == F.array_join("item_slots", " "))).select("doc_id", "item_id", "n", "item_at", F.lit(True).alias("literal"))
-    varied = joined.where(F.array_join("slots", " ") != F.array_join("item_slots", " "))
-    pairs = varied.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.inline(F.arrays_zip("item_slots", "slots")))
-    values = pairs.groupBy("doc_id", "item_id", "shift", "item_slots").agg(F.min("slots").alias("lo"), F.max("slots").alias("hi"))
-    steady = values.groupBy("doc_id", "item_id", "shift").agg(F.min(F.col("lo") == F.col("hi")).alias("steady")).where("steady").drop("steady")
-    moved = varied.withColumn("shift", F.col("at") - F.col("item_at")).join(steady, ["doc_id", "item_id", "shift"], "left_semi").select("doc_id", "item_id", "n", "item_at", F.lit(False).alias("literal"))
-    places = literal.unionAll(moved).groupBy("doc_id", "item_id", "n", "item_at").agg(F.max("literal").alias("literal"))
-    counted = places.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_windows"), F.min("literal").alias("literal"))
-    enough = F.when(F.col("n") >= WINDOW + 2 * STRIDE - 1, 2).otherwise(1)
-    return counted.where(F.col("n_windows") >= enough).select("doc_id", "item_id", "n_windows", "literal")
+    items = base.save(_hashes(with_tokens(items).where(F.size("tok") > 0).withColumn("n", F.size("tok"))))
+    short = [r["n"] for r in items.where(F.col("n") < RUN).select("n").distinct().collect()]  # below RUN values
+    index = None
+    for width, some in [(WINDOW, F.col("n") >= RUN), *((n, F.col("n") == n) for n in short)]:
+        for lane in ("lit", "tpl") if width >= LEAST else ("lit",):
+            part = items.where(some).select("item_id", "n", "tok", F.inline(_windows(width, lane)))
+            part = part.select("hash", "item_id", "n", F.lit(width).alias("width"), F.lit(lane).alias("lane"), F.col("at").alias("item_at"), _slots(F.col("at"), F.lit(width)).alias("item_slots"))
+            if lane == "tpl":
+                part = part.where((F.size("item_slots") > 0) & (F.size("item_slots") <= width - LITERAL))
+            index = part if index is None else index.unionAll(part)
+    index = base.save(index)
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    every = F.concat(*[_windows(w, lane) for w in [WINDOW, *short] for lane in (("lit", "tpl") if w >= LEAST else ("lit",))])
+    found = _hashes(with_tokens(rows)).select("doc_id", "copy", F.inline(every))
+    joined = base.save(found.join(F.broadcast(index) if index.count() <= BROADCAST else index, "hash").drop("hash"))
+    place = ("item_id", "n", "width", "item_at")
+    literal = joined.where("lane = 'lit'").select("doc_id", *place, F.lit(True).alias("literal"))
+    masked = joined.where("lane = 'tpl'")
+    # the values of the few documents that meet a template, at the places where they do
+    wanted = masked.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("at", "width")).alias("want"))
+    again = with_tokens(rows.dropDuplicates(["doc_id", "copy"]).join(wanted, ["doc_id", "copy"]))
+    values = again.select("doc_id", "copy", F.inline(F.transform("want", lambda x: F.struct(x["at"].alias("at"), x["width"].alias("width"), _slots(x["at"], x["width"]).alias("slots")))))
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    varied = masked.join(values, ["doc_id", "copy", "at", "width"]).where(F.array_join("slots", " ") != F.array_join("item_slots", " "))
+    varied = base.save(varied.select("doc_id", *place, shift, "slots", "item_slots"))
+    pairs = varied.select("doc_id", "item_id", "shift", F.inline(F.arrays_zip("item_slots", "slots")))
+    ranges = pairs.groupBy("doc_id", "item_id", "shift", "item_slots").agg(F.min("slots").alias("lo"), F.max("slots").alias("hi"))
+    steady = ranges.groupBy("doc_id", "item_id", "shift").agg(F.min(F.col("lo") == F.col("hi")).alias("steady")).where("steady").drop("steady")
+    moved = varied.join(steady, ["doc_id", "item_id", "shift"], "left_semi").select("doc_id", *place, F.lit(False).alias("literal"))
+    places = literal.unionAll(moved).groupBy("doc_id", *place).agg(F.max("literal").alias("literal"))
+    counted = places.groupBy("doc_id", "item_id", "n", "width").agg(F.array_sort(F.collect_set("item_at")).alias("ats"), F.min("literal").alias("literal"))
+    none = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("end"))
+    covered = F.aggregate("ats", none, lambda acc, x: F.struct((acc["covered"] + x + F.col("width") - F.greatest(x, acc["end"])).alias("covered"), (x + F.col("width")).alias("end")), lambda acc: acc["covered"])
+    enough = F.when(F.col("n") >= LONG, RUN).when(F.col("n") >= RUN, WINDOW).otherwise(F.col("n"))
+    return counted.where(covered >= enough).select("doc_id", "item_id", F.size("ats").cast("long").alias("n_windows"), "literal")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -231,6 +231,15 @@ def test_decontamination(spark, hostile, empty):
     assert kept.count() == hostile.count() and set(kept.columns) == set(hostile.columns)
 
 
+def test_decontamination_at_every_alignment(spark):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe") for b in ("rt", "sd", "vg", "wb", "zx")][:22]
+    docs = [(100 * k + at, "pad " * at + " ".join(words[5 : 5 + k]) + " end") for k in (10, 11, 12) for at in range(8)]
+    docs += [(2000 + at, "pad " * at + " ".join(words[:10] + ["edited"] + words[11:])) for at in range(8)]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {100 * k + at for k in (11, 12) for at in range(8)} | {2000 + at for at in range(8)}
+
+
 def test_license_scan(spark, hostile):
     texts = ["CC BY cc by; all rights reserved", "GNU General Public License, version 3 or later", "Licensed under the Apache License, Version 2.0.", "MIT License, CC BY-NC-SA 4.0", "nothing", None, "(c) Copyright 2020 2021"]
     got = [r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
