@@ -1,6 +1,6 @@
 """Benchmark decontamination by template windows, in DataFrame functions alone.
 
-Numbers, names and units after numbers become typed placeholders.  Windows of WINDOW tokens are hashed at every place of
+Numbers, capitalised words and units after numbers become typed placeholders.  Windows of WINDOW tokens are hashed at every place of
 documents and items, as they are (case aside) and, where they hold placeholders, as templates; both sides are joined on
 the hashes, so a run of RUN equal tokens is found however it is aligned.  Template windows carry the placeholders'
 values: a pair counts as re-parameterised only if each value of the item goes with one value of the document throughout.
@@ -18,18 +18,20 @@ WINDOW, RUN, LONG, LEAST = 8, 11, 15, 5
 LITERAL = 2
 #: Benchmark windows that are broadcast at most (about 40 bytes each).
 BROADCAST = 400_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNITS = "kg|g|mg|lb|lbs|km|m|cm|mm|mi|mile|miles|ft|inch|inches|l|ml|h|hr|hrs|hour|hours|min|minutes|s|sec|seconds|day|days|week|weeks|year|years|percent|dollars|euros|usd|eur|kb|mb|gb|hz|khz|mhz|ghz|w|kw|v|c|f|k"
 
 
 def with_tokens(rows: DataFrame) -> DataFrame:
-    """Puts ``tok`` in place of ``text``: its words, A-Z lower-cased; ``num0``, ``nam0`` and ``uni0`` stand before numbers, names and units."""
+    """Puts ``tok`` in place of ``text``: its words, lower-cased; ``num0``, ``nam0`` and ``uni0`` stand before numbers, names and units.
+
+    Every word with a capital first letter is a name; points and commas between digits belong to the number.
+    """
     t = F.col("text")
-    named = F.when(F.rlike(t, F.lit("[a-z,;] [A-Z][a-z]")), F.regexp_replace(t, "([a-z,;] )([A-Z][a-z]+)", "$1nam0$2")).otherwise(t)
-    rows = rows.withColumn("text", F.translate(named, UPPER, LOWER))
-    counted = F.replace(F.regexp_replace(t, "([0-9]+)", "num0$1"), F.lit("namnum00"), F.lit("nam0"))
-    measured = F.regexp_replace(counted, rf"(num0[0-9]+ ?)({UNITS})\b", "$1 uni0$2")
-    rows = rows.withColumn("text", F.when(F.rlike(t, F.lit("[0-9]")), measured).otherwise(t))
+    rows = rows.withColumn("text", F.lower(F.regexp_replace(t, r"(?<![0-9A-Za-z\x{80}-\x{10FFFF}])(?=\p{Lu})", "nam0")))
+    whole = F.regexp_replace(F.regexp_replace(t, "(?<=[0-9])[.,](?=[0-9])", "\u00b7"), "([0-9]+(?:\u00b7[0-9]+)*)", "num0$1")
+    counted = F.replace(whole, F.lit("namnum00"), F.lit("nam0"))
+    measured = F.regexp_replace(counted, rf"(num0[0-9\u00b7]+ ?)({UNITS})\b", "$1 uni0$2")
+    rows = rows.withColumn("text", F.when(F.rlike(F.replace(t, F.lit("nam0"), F.lit("")), F.lit("[0-9]")), measured).otherwise(t))
     rows = rows.withColumn("text", F.trim(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
     return rows.withColumn("tok", F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))).drop("text")
 

@@ -248,6 +248,16 @@ def test_license_scan(spark, hostile):
     assert "apache-2.0" in got[2].labels and "apache" not in got[2].labels.split(",")
     assert {"mit", "cc-by-nc-sa-4.0", "cc-by"} <= set(got[3].labels.split(","))
     assert got[4].labels == "" == got[5].labels and got[5].n_words == 0 and got[5].first_word is None and "copyright" in got[6].labels
+def test_decontamination_of_names_and_numbers(spark):
+    item = "Tom Smith pays 950 coins to Élodie. Tom then gives 3.5 coins away and Élodie counts 12 more for Tom Smith."
+    told = item.replace("Tom", "Anna").replace("Smith", "van Dyk".title().replace(" ", "")).replace("950", "1,000").replace("3.5", "7").replace("Élodie", "Örjan")
+    docs = [(1, "So it began. " + told), (2, item.lower()), (3, "one may say forty two here"), (4, "forty three two"), (5, told.replace("Anna then", "Eve then").replace("more for Anna", "more for Eve"))]
+    bench = [(1, item), (2, "Forty two!"), (3, "Tom, Ann, Bob, Eve, Zoe, Max, Kim, Joe, Lea, Sam, Ida, Ben")]
+    docs += [(6, "Rom, Ulm, Bonn, Genf, Wien, Prag, Oslo, Kiel, Jena, Gera, Hof, Suhl")]
+    got = {(r.doc_id, r.item_id): r.literal for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(1, 1): False, (2, 1): True, (3, 2): True}
+
+
     pat = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = {d: len(pat.findall((t or "").encode().lower())) for d, t in pairs(hostile) if d}
     assert all(r.n_words == words[r.doc_id] and 0 <= r.score <= 1 for r in license_scan.scan(hostile).collect() if r.doc_id)
