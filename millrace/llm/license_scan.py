@@ -29,7 +29,8 @@ def rules() -> list[tuple[str, int, str, str]]:
             stop = "" if bare == words else "(?! [0-9])"
             out.append((f"{label}-{number}", 80, keyword, f"{name}(?: (?:v|version))? {shown}{stop}"))
             out.append((f"{label}-{number}", 82, keyword, f"version {shown} of the {name}"))
-            out.append((f"{label}-{number}", 80, keyword, f"{label.replace('-', ' ')} {words}"))
+            short = label.replace("-", " ") + " "
+            out.append((f"{label}-{number}", 80, short, short + words))
             if later:
                 out.append((f"{label}-{number}-or-later", 90, keyword, f"{name}(?: (?:v|version))? {shown} or (?:any|at your option any)? ?later(?: version)?"))
                 out.append((f"{label}-{number}-or-later", 90, keyword, f"version {shown} of the {name} or (?:at your option )?any later version"))

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -271,6 +272,38 @@ def test_empty_tables(empty, run):
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracles(spark, name):
+def _shortest(parsed):
+    """Texts that a rule's regex matches: each branch, each optional part left out."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            some = [chr(a) if str(o) == "LITERAL" else chr(a[0]) for o, a in arg]
+        elif name == "SUBPATTERN":
+            some = _shortest(arg[3])
+        elif name == "BRANCH":
+            some = [x for branch in arg[1] for x in _shortest(branch)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            some = [x * arg[0] for x in _shortest(arg[2])]
+        else:
+            assert name == "ASSERT_NOT"
+            some = [""]
+        out = sorted({x + y for x in out for y in some})
+    return out
+
+
+def test_license_rules_imply_their_keywords(spark):
+    for label, _, keyword, pattern in license_scan.rules():
+        # s or c in the word itself is the rule's own spelling
+        assert all(keyword in f" {x} " for x in _shortest(re._parser.parse(pattern))), (label, keyword, pattern)
+    texts = ["SPDX-License-Identifier: GPL-3.0", "released under MPL 2.0", "LGPL-2.1, AGPL 3.0", "EPL-2.0 CDDL 1.1 EUPL-1.2 OSL 3.0 AFL-3.0 OFL-1.1 BSL 1.0 CPL-1.0 ODbL 1.0 GFDL-1.3"]
+    got = [set(r.labels.split(",")) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[:3] == [{"gpl-3.0"}, {"mpl-2.0"}, {"lgpl-2.1", "agpl-3.0"}]
+    assert got[3] == {"epl-2.0", "cddl-1.1", "eupl-1.2", "osl-3.0", "afl-3.0", "ofl-1.1", "bsl-1.0", "cpl-1.0", "odbl-1.0", "gfdl-1.3"}
+
+
     db = duckdb.connect()
     for t in ("documents", "pages", "labels"):
         db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
