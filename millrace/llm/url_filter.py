@@ -3,7 +3,8 @@
 Labelled page outcomes (bad or not) are counted by host, registered domain (the last two labels of the host) and
 suffix (the last).  Each level's bad rate is shrunk towards its parent's by a beta prior whose mean is the parent's
 posterior mean and whose strength is fitted by moments over all units of the level: all pages -> suffix -> domain ->
-host.  A host is blocked when the lower bound of its posterior (mean - BOUND standard deviations) is above LIMIT.
+host.  A host is blocked when the lower bound of its posterior (mean - BOUND standard deviations) is above LIMIT; a host
+without outcomes is judged by what its registered domain, or else its suffix, predicts for a new host.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
 
 
 def _shrunk(units: DataFrame, parent: DataFrame | None, key: str, above: str | None) -> DataFrame:
-    """Adds the posterior (a, b) of each unit; the strength is fitted over all units in one pass of sums."""
+    """Adds the posterior (a, b) of each unit and the level's strength; the strength is fitted over all units in one pass of sums."""
     if parent is None:
         joined = units.withColumn("_m", F.lit(None).cast("double"))
     else:
@@ -60,38 +61,63 @@ def _shrunk(units: DataFrame, parent: DataFrame | None, key: str, above: str | N
         strength = min(MOST, max(LEAST, noise / between - 1)) if between > 0 and noise > 0 else MOST
     mean = F.coalesce(F.col("_m"), F.lit(rate))
     mean = F.least(F.greatest(mean, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return joined.withColumn("a", mean * strength + x).withColumn("b", (1 - mean) * strength + n - x).drop("_m")
+    return joined.withColumn("a", mean * strength + x).withColumn("b", (1 - mean) * strength + n - x).withColumn("strength", F.lit(strength)).drop("_m")
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n, a, b, bound for each host of ``outcomes`` (host, bad boolean); rows with nulls or an empty host are left out.
+def _bound(below: tuple[Column, ...] = ()) -> Column:
+    """mean - BOUND standard deviations of (a, b), or of a new unit under it, with the strengths of the levels ``below`` it."""
+    a, b = F.col("a"), F.col("b")
+    mean, var = a / (a + b), a * b / ((a + b) * (a + b) * (a + b + 1))
+    for strength in below:
+        var = var + (mean * (1 - mean) - var) / (strength + 1)
+    return mean - BOUND * F.sqrt(var)
+
+
+def _domain(host: Column) -> Column:
+    return F.substring_index(host, ".", -2)
+
 
-    With no row at all the result is empty.
+def _suffix(host: Column) -> Column:
+    return F.substring_index(host, ".", -1)
+
+
+def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The levels' posteriors from ``outcomes`` (host, bad boolean); rows with nulls or an empty host are left out.
+
+    host, n, a, b, bound for each host; domain, bound and suffix, bound for a new host under each domain and suffix.
+    With no row at all the results are empty.
     """
     rows = outcomes.where(F.col("bad").isNotNull() & (F.col("host") != ""))
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    hosts = hosts.withColumn("domain", _domain(F.col("host"))).withColumn("suffix", _suffix(F.col("host")))
     hosts = base.save(hosts)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     top = _shrunk(suffixes, None, "suffix", None)
     middle = _shrunk(domains, top, "domain", "suffix")
     final = _shrunk(hosts, middle, "host", "domain")
-    a, b = F.col("a"), F.col("b")
-    bound = a / (a + b) - BOUND * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return final.select("host", "n", "a", "b", bound.alias("bound"))
+    of = lambda level: level.agg(F.first("strength").alias("s")).first()["s"] or STRENGTH
+    under_host, under_domain = F.lit(of(final)), F.lit(of(middle))
+    return (
+        final.select("host", "n", "a", "b", _bound().alias("bound")),
+        middle.select("domain", _bound((under_host,)).alias("bound")),
+        top.select("suffix", _bound((under_domain, under_host)).alias("bound")),
+    )
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, limit: float = LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages`` (page_id, url; others are ignored).
 
-    A null url has an empty host and path, no rule, and is allowed; so are hosts without outcomes.  Repeated rows are
-    judged alike.  The join on hosts is salted: a host with a third of all pages meets SALTS tasks.
+    A null url has an empty host and path, no rule, and is allowed; so are hosts of a suffix without outcomes.  Repeated
+    rows are judged alike.  The join on hosts is salted: a host with a third of all pages meets SALTS tasks.
     """
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     text, action = rule_of(F.col("host"), F.col("path"), rules)
     split = split.withColumn("rule", text).withColumn("_act", action)
-    bad = reputation(outcomes).where(F.col("bound") > limit).select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_bad"))
+    by_host, by_domain, by_suffix = reputation(outcomes)
+    seen = split.where(F.col("host") != "").select("host").distinct().withColumn("domain", _domain(F.col("host"))).withColumn("suffix", _suffix(F.col("host")))
+    seen = seen.join(by_host.select("host", F.col("bound").alias("_h")), "host", "left").join(by_domain.withColumnRenamed("bound", "_d"), "domain", "left").join(by_suffix.withColumnRenamed("bound", "_s"), "suffix", "left")
+    bad = seen.where(F.coalesce("_h", "_d", "_s") > limit).select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_bad"))
     salted = split.withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     verdict = F.coalesce(F.col("_act"), F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow")))
     return salted.join(bad, ["host", "_salt"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))

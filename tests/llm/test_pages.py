@@ -44,3 +44,12 @@ def test_url_rules_and_reputation(spark):
     none = url_filter.judge(pages, outcomes.limit(0)).collect()
     assert len(none) == len(urls) and {r.verdict for r in none if r.rule is None} == {"allow"}
     assert url_filter.judge(pages.limit(0), outcomes).collect() == []
+
+
+def test_url_hosts_without_outcomes(spark):
+    urls = ["http://new.evil.com/p", "http://new.fine.com/p", "http://new.other.com/p", "http://new.some.bad/p", "http://a.never.seen/p", "http://s1.evil.com/p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = [(f"s{i}.evil.com", True) for i in range(20) for _ in range(9)] + [(f"s{i}.fine.com", False) for i in range(60) for _ in range(9)]
+    outcomes += [(f"s.d{i}.bad", True) for i in range(20) for _ in range(9)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, spark.createDataFrame(outcomes, "host string, bad boolean")).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "block"}
