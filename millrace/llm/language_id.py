@@ -49,22 +49,27 @@ def ranked(g: np.ndarray, n: np.ndarray, top: int = PROFILE) -> np.ndarray:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, top: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles by language from rows with text and lang: at most ``sample`` different texts of a language, those of least hash.
+    """Profiles by language from rows with doc_id, text and lang: at most ``sample`` different texts of a language, those of least hash.
 
     Rows with a null text or lang are left out.  Copies of a text count once, so a large group of them can't fill the
     sample.  More than LANGUAGES languages: an error.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    first = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()
+    hashed = rows.select("doc_id", "lang", "text", F.xxhash64("text").alias("_k"))
+    # a different text by its hash and the least doc_id that has it, so that copies cost no more than their hash
+    keys = base.save(hashed.groupBy("lang", "_k").agg(F.min("doc_id").alias("_first")))
+    first = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()
     if len(first) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     # a bound on the hash leaves a few times the sample, however large a language is, before the exact cut
     share = F.lit(None).cast("double")
     for r in first:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4.0 * sample / r["n"]))).otherwise(share)
-    hashed = rows.select("lang", "text", F.xxhash64("text").alias("_k"))
-    near = hashed.where((F.pmod(F.xxhash64("_k"), F.lit(1 << 20)) / (1 << 20)) < share).dropDuplicates(["lang", "_k"])
-    cut = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_k"))).where(F.col("_r") <= sample)
+    near = keys.where((F.pmod(F.xxhash64("_k"), F.lit(1 << 20)) / (1 << 20)) < share)
+    least = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_k"))).where(F.col("_r") <= sample).drop("_r")
+    least = least.select(F.col("lang").alias("_l"), F.col("_k").alias("_h"), "_first")
+    same = (F.col("lang") == F.col("_l")) & (F.col("_k") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_first"))
+    cut = hashed.join(F.broadcast(least), same).dropDuplicates(["lang", "_k"])  # LANGUAGES * sample keys at most
 
     @base.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

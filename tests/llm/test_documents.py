@@ -190,6 +190,13 @@ def test_language_id(spark, hostile, empty):
     assert language_id.ranked(np.array([1, 2, 3]), np.array([5, 9, 5])).tolist() == [2, 1, 3]
 
 
+def test_language_id_with_a_hot_group_of_copies(spark):
+    few = spark.range(20).selectExpr("id as doc_id", "concat('wort nummer ', id, ' der kleinen liste') as text", "'de' as lang")
+    hot = spark.range(30_000).selectExpr("id + 100 as doc_id", "concat('wort nummer ', id % 3, ' der kleinen liste') as text", "'de' as lang")
+    profiles = language_id.learn(few.unionAll(hot), sample=20)
+    assert profiles == language_id.learn(few, sample=20) and len(profiles["de"]) > 20
+
+
 def test_line_dedup(spark, hostile, empty):
     rows = [(i, f"unique beginning number words {'abcdefghijk'[i]}\nPosted {i} times by user{i}@mail\nending of this {'abcdefghijk'[i]} text") for i in range(8)]
     copies = [(100 + i, "the very same line\nand then the second one\nand a third line") for i in range(20)]
