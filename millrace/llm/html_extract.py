@@ -20,18 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from . import base
 
 #: Text in these elements is never shown as text.
-RAW = "script|style|noscript|template|title|textarea|iframe|svg|math|object|head"
+RAW = "script|style|noscript|template|title|textarea|iframe|svg|annotation-xml|annotation|object|head"
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|iframe|svg|math|object)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|title|textarea|iframe|svg|annotation-xml|annotation|object)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input math maction menclose merror mfrac mglyph mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and words of class, id or role that mark boilerplate or content.
-BAD_TAGS = frozenset("nav footer aside form menu dialog button select option fieldset figure".split())
+BAD_TAGS = frozenset("nav footer aside form menu dialog button select option fieldset".split())
 BAD_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer form gdpr header masthead menu modal nav navbar navigation navigationbar newsletter notice notification overlay pagination popup promo promoted promotion reader-comments related replies reply search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget complementary replylist responses".split()
 )

@@ -21,6 +21,11 @@ def test_main_text_of_hostile_pages(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+def test_figures_and_formulas_stay():
+    page = "<article><p>A long first paragraph of the article goes here.</p><figure><pre>code of the figure</pre><figcaption>Its caption</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>"
+    assert main_text(page) == "A long first paragraph of the article goes here.\ncode of the figure\nIts caption\nSo x=2 holds."
+
+
 def test_minimum_cut_is_minimal():
     rnd = random.Random(4)
     for _ in range(60):
