@@ -207,9 +207,10 @@ def b_stat(t: Table, arg: dict) -> Table:
     control: the cell of controlRow, else the mean over rowSet.  Rows: category, value, column, probability.
     """
     cats, cols = t.indexes(arg["categories"]), [i for i in t.indexes(arg.get("colSet")) if V.is_number(t.types[i])]
-    n, used = t.numbered(), _rows(t, arg.get("rowSet"))
+    used = _rows(t, arg.get("rowSet"))
     margin = 1 + float(arg.get("margin", 0))
     if arg.get("controlRow") is not None:
+        n = t.numbered()
         control = n.where(F.col(ROW) == int(arg["controlRow"])).df.agg(*[F.max(_number(n, i)).alias(f"m{i}") for i in cols])
     else:
         control = used.df.agg(*[F.avg(_number(used, i)).alias(f"m{i}") for i in cols])

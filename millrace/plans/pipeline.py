@@ -229,11 +229,11 @@ class Pipeline:
 
     def op_slice(self, t: Table, arg: dict) -> Table:
         """Rows from one boundary to the other, both included; a boundary that isn't found leaves nothing."""
-        t, marks = t.numbered(), []
-        for end, default in (("start", F.lit(0)), ("end", F.max(ROW))):
+        t, marks = t.fixed(), []
+        for end, default in (("start", F.min(ROW)), ("end", F.max(ROW))):
             a = arg.get(end) or {}
             if not a.get("method"):
-                marks.append(F.coalesce(default, F.lit(0)).cast("bigint"))
+                marks.append(default)
                 continue
             m = re.fullmatch(r"(first|last)(Equals|LessThan|GreaterThan)", a["method"])
             if not m:

@@ -1,7 +1,7 @@
 """A table of a pipeline: a DataFrame with positional columns c0..cn, display names (repeats are legal) and an order.
 
-Order is data here.  ``_row`` orders the rows; it is only dense after ``numbered()``, which numbers rows from the
-partitions' counts, without a window over the whole table.
+Order is data here.  ``_row`` orders the rows; it is only dense after ``numbered()``, which numbers written rows from
+their partitions' counts, without a window over the whole table.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 ROW = "_row"
 _IN_PARTITION = (1 << 33) - 1
 
@@ -42,20 +44,28 @@ class Table:
     def col(self, i: int) -> Column:
         return self.df[f"c{i}"]
 
+    def fixed(self) -> Table:
+        """The rows written once, so that ``_row`` is the same in every job that reads them."""
+        return Table(materialize(self.df), self.names, self.dense)
+
     def numbered(self) -> Table:
-        """With ``_row`` as 0, 1, 2, ..."""
+        """With ``_row`` as 0, 1, 2, ...
+
+        The sorted rows are written with their partition and place in it, and the same rows are then counted and numbered:
+        a second run of the sort may cut its partitions elsewhere.
+        """
         if self.dense:
             return self
-        sorted_rows = self.df.orderBy(ROW).withColumn("_m", F.monotonically_increasing_id())
+        place = F.monotonically_increasing_id()
+        rows = materialize(self.df.orderBy(ROW).drop(ROW).withColumn("_m", place))
         part = F.shiftright("_m", 33)
-        counts = {r["p"]: r["n"] for r in sorted_rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
-        before, pairs = 0, []
-        for p in sorted(counts):
-            pairs += [F.lit(p), F.lit(before)]
-            before += counts[p]
-        start = F.element_at(F.create_map(*pairs), part.cast("int")) if pairs else F.lit(0)
-        row = F.col("_m").bitwiseAND(_IN_PARTITION) + start.cast("bigint")
-        return Table(sorted_rows.withColumn(ROW, row).drop("_m"), self.names, True)
+        before, starts = 0, []
+        for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():  # a row for each partition
+            starts.append((r["p"], before))
+            before += r["n"]
+        offsets = rows.sparkSession.createDataFrame(starts, "_p long, _start long")
+        joined = rows.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+        return Table(joined.withColumn(ROW, F.col("_m").bitwiseAND(_IN_PARTITION) + F.col("_start")).drop("_m", "_p", "_start"), self.names, True)
 
     def with_columns(self, cols: list[tuple[str, Column]]) -> Table:
         """These columns, in this order, and no others."""

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import commands, numeric  # noqa: F401
 from millrace.plans.pipeline import Pipeline
@@ -134,3 +135,24 @@ def test_numeric_commands(spark):
     assert len(run(spark, df, [stage("simulation", groupCol="s", col="b", cnt=20)])) == 20
     scores = run(spark, df, [stage("pca", colSet=["a", "b"])])
     assert abs(sum(r[3] for r in scores)) < 1e-9
+
+
+@pytest.mark.parametrize("aqe", ["true", "false"])
+@pytest.mark.parametrize("partitions", ["4", "40"])
+def test_row_numbers_are_dense_at_size(spark, aqe, partitions):
+    from millrace.operators.resample import downsample
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+        for order in (None, ["event_id"]):
+            t = Table.of(events, order).numbered()
+            n, least, most, all_ = t.df.agg(F.count_distinct("_row"), F.min("_row"), F.max("_row"), F.count("*")).first()
+            assert (n, least, most) == (all_, 0, all_ - 1)
+        assert t.df.where(F.col("_row") != F.col(f"c{t.index('event_id')}") - events.agg(F.min("event_id")).first()[0]).count() == 0
+        assert downsample(t, 50, None, None, "value").df.count() == 98
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
