@@ -208,7 +208,7 @@ def test_line_dedup(spark, hostile, empty):
 
 
 def test_line_dedup_in_any_place(spark):
-    own = lambda i, k: f"paragraph {'abcdefghij'[i]} of the text {'abcdefghij'[k]} stands in this document alone"
+    own = lambda i, k: f"{'abcdefghij'[i]}{'abcdefghij'[k]} begins a paragraph that stands in this document alone"
     rows = [(i, f"{own(i, 0)}\n\nThis notice recurs everywhere.\n\n{own(i, 1)}\nRead more\nfirst footer line\nsecond footer line\nthird footer line") for i in range(8)]
     near = [(100 + i, "\n".join("edited" if i == k else f"near copy line {'abcdefghij'[k]} with words" for k in range(10))) for i in range(10)]
     docs = spark.createDataFrame(rows + near + [(200 + i, rows[0][1]) for i in range(3)], "doc_id long, text string")
@@ -319,3 +319,64 @@ def test_oracles(spark, name):
     assert cols == sorted(made.columns)
     at = [made.columns.index(c) for c in cols]
     assert sorted(tuple(str(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(str(r[i]) for i in at) for r in made.fetchall())
+
+
+def test_line_dedup_tree(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = lambda i: f"the {letters[i % 26]}{letters[i // 26]} paragraph {letters[i % 26]} of text {letters[i // 26]} number {letters[i % 7]}{letters[i % 26]}{letters[i // 26]} stands here alone"
+    footer = "first line of the footer\nsecond line of it\nthird"
+    rows = [(i, f"{own(i)}\n{footer}") for i in range(200)]
+    rows += [(300 + i, f"{own(i + 200)}\n{1900 + i} {i * 3} {i}.5") for i in range(10)]
+    rows += [(400 + i, f"{own(i + 220)}\nPosted in category {letters[i]}work by the editor\nread {i} more\n12 14") for i in range(10)]
+    # fields whose values recur, in pairs that don't
+    rows += [(500 + i, f"{own(i + 240)}\nsent from my desk {letters[i % 10]} and floor {letters[i // 10]} with best regards to all") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_recurring(docs).collect()}
+    assert all(got[i].kept_text == own(i) for i in range(200))
+    assert all(got[300 + i].n_removed == 0 for i in range(10))
+    assert all(got[400 + i].kept_text == own(i + 220) for i in range(10))
+    assert all(got[500 + i].kept_text == own(i + 240) for i in range(100))
+
+
+def brute_line_dedup(rows, least=5):
+    """The tree by plain Python, over rows (doc_id, text)."""
+    var = lambda t: re.search("[0-9@]", t) is not None
+    lines = lambda t: [(x, " ".join(re.split(r"[ \t\n\x0b\f\r]+", x.strip(" \t\n\x0b\f\r")))) for x in (t or "").split("\n")]
+    texts = {t for d, t in rows if d is not None}
+    leaf = lambda tok: (len(tok), *("<*>" if var(t) else t for t in tok[:2]))
+    cells, made = {}, {}
+    for t in texts:
+        for _, m in lines(t):
+            tok = m.split(" ") if m else []
+            at = leaf(tok)
+            for k, w in enumerate(tok):
+                cells[at, k, w] = cells.get((at, k, w), 0) + 1
+    for t in texts:
+        for _, m in lines(t):
+            tok, own = m.split(" "), [("own", m)]
+            at, words = leaf(tok), [(k, w) for k, w in enumerate(tok) if not var(w)]
+            often = sorted(((-cells[at, k, w], k, w) for k, w in words if m and cells[at, k, w] >= least))
+            for k in range(1, len(often) + 1):
+                if k >= len(words) - len(tok) // 6 and 2 * k >= len(tok):
+                    own.append((at, frozenset(x[1:] for x in often[:k])))
+            if m:
+                made[m] = own
+    within = {t: {x for _, m in lines(t) if m for x in made[m]} for t in texts}
+    count = lambda some: {x: sum(x in within[t] for t in some) for t in texts for x in within[t]}
+    first = {x for x, n in count(texts).items() if n >= least}
+    near = {t for t in texts if sum(len(x) for x, m in lines(t) if m and first & set(made[m])) > 6 / 7 * sum(len(x) for x, _ in lines(t))}
+    far, close = count(texts - near), count(near)
+    last = {x for x in first if far[x] + (close[x] > 0) >= least}
+    return [(d, "\n".join(x for x, m in lines(t) if not (m and last & set(made.get(m, [("own", m)]))))) for d, t in rows]
+
+
+def test_line_dedup_against_brute_force(spark, hostile):
+    rnd = random.Random(11)
+    words = ["ab", "cd", "ef", "gh", "7x", "12"]
+    line = lambda: " ".join(rnd.choice(words[: rnd.randint(1, 6)]) for _ in range(rnd.randint(0, 9)))
+    pool = [line() for _ in range(25)]
+    rows = [(i if i % 9 else None, "\n".join([f"own {'xyzuvw'[i % 6]}{i} text", *(rnd.choice(pool) if rnd.random() < 0.5 else line() for _ in range(rnd.randint(0, 7)))])) for i in range(120)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), hostile):
+        own = pairs(df)
+        got = sorted(((r.doc_id, r.kept_text) for r in line_dedup.drop_recurring(df).collect()), key=repr)
+        assert got == sorted(brute_line_dedup(own), key=repr)
