@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths written by this process, for ``clear``.
-_WRITTEN: list[str] = []
+#: Paths written by this process and not deleted yet, and the one of each DataFrame read back.
+_WRITTEN: dict[str, None] = {}
+_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,19 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = None
+    _OF[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.pop(path, None)
+
+
+def drop(*written: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that no DataFrame still to be computed reads."""
+    for df in written:
+        if df in _OF:
+            _delete(df.sparkSession, _OF.pop(df))
 
 
 def clear(spark: SparkSession) -> int:
-    """Deletes what ``materialize`` wrote, when no DataFrame made from it is used any more; the number of tables."""
-    jvm, n = spark._jvm, len(_WRITTEN)
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    """Deletes all that ``materialize`` wrote, when no DataFrame made from it is used any more; the number of tables."""
+    paths = list(_WRITTEN)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
