@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from . import base
 
 
@@ -21,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = base.save(low.select("u", F.col("m").alias("v")).unionAll(small).distinct())
+        last, e = e, base.save(low.select("u", F.col("m").alias("v")).unionAll(small).distinct())
+        storage.drop(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == before:
             break

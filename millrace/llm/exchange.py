@@ -33,8 +33,9 @@ def buckets(n_hashes: int) -> int:
     return max(1, -(-n_hashes // BUCKET_HASHES))
 
 
-def _edges(n: int) -> np.ndarray:
-    return np.array([(b << 64) // n for b in range(1, n)], np.uint64)
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of equal ranges of the upper 32 bits; sorted hashes have sorted buckets."""
+    return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
 def send(chunk: int, hashes: np.ndarray, n_buckets: int, ids: np.ndarray | None = None) -> pa.Table:
@@ -47,12 +48,11 @@ def send(chunk: int, hashes: np.ndarray, n_buckets: int, ids: np.ndarray | None
         order = np.lexsort((ids, hashes))
         u, first = np.unique(hashes[order], return_index=True)
         c, least = np.ones(len(u), np.int64), ids[order][first]
-    cuts = [0, *np.searchsorted(u, _edges(n_buckets)), len(u)]
-    for b in range(n_buckets):
-        i, j = cuts[b], cuts[b + 1]
-        if i < j:
-            part, single = u[i:j], c[i:j] == 1
-            rows.append((b, chunk, part[single].tobytes(), part[~single].tobytes(), None if least is None else least[i:j].tobytes()))
+    buckets = _bucket(u, n_buckets)
+    cuts = np.flatnonzero(np.diff(buckets, prepend=np.uint64(n_buckets)))  # buckets that have hashes, at most as many as hashes
+    for i, j in zip(cuts, [*cuts[1:], len(u)]):
+        part, single = u[i:j], c[i:j] == 1
+        rows.append((int(buckets[i]), chunk, part[single].tobytes(), part[~single].tobytes(), None if least is None else least[i:j].tobytes()))
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, _SENT.types)], schema=_SENT)
 
 

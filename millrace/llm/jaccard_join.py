@@ -5,27 +5,33 @@
    sets share at least ``overlap`` shingles) and is done.
 2. Top regions.  Among the rest, sets that share one of their rarest prefix shingles are drawn to the least of them;
    the connected pieces are regions that no link leaves.
-3. Pivots.  A region picks pivots, measures all members against them exactly, and gives each to its nearest: Voronoi
-   cells.  With Jaccard distance a metric, two members within EPS can only meet in a cell whose pivot is at most
-   2 * EPS farther from one of them than its own: these windows replicate boundary members, and cells with their
-   windows are joined recursively.  Members that links already connect aren't compared again.  A region too large for
-   one task is cut into slices, and blocks of pivots are compared with every slice at once, round by round.
+3. Pivots.  A region picks pivots and measures all members against them exactly.  A member that links with pivots
+   belongs to the nearest one's Voronoi cell.  Jaccard distance is a metric: who links with a member of a cell is at most
+   the cell's radius and a link's length from its pivot, so this window of unconnected members is replicated into the
+   cell.  Cells with their windows, and what is in no cell, are joined recursively.  Members that links already connect
+   aren't compared again.  A region too large for one task is cut the same way, distributed, until its parts aren't.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from . import base, exchange
 from .components import components
 
 WORDS, SHARE, EXTRA, WHOLE = 5, 75, 15, 96
-#: Members and shingles of a region that one task joins; pivots of a local step and of a distributed round.
-MEMBERS, SHINGLES, PIVOTS, BLOCK, SALTS = 6_000, 3 << 20, 8, 64, 16
+#: Members and shingles of a region that one task joins; pivots of a local step and of a distributed round, at most.
+MEMBERS, SHINGLES, PIVOTS, BLOCK = 2_000, 1 << 20, 16, 64
+#: Share of a region that its cells have at most; slack for distances as floats.
+SHRINK, TINY = 0.8, 1e-9
 _SETS = "doc_id long, n long, f1 long, f2 long, shingles binary, common array<long>"
 _FIELDS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("shingles", pa.binary()), ("common", pa.list_(pa.int64()))])
 
@@ -117,13 +123,12 @@ class Region:
     """Members of one region as sets over a local vocabulary, with what is connected so far."""
 
     def __init__(self, sets: list[np.ndarray], share: int):
-        self.share, self.eps = share, 1 - share / 100
+        self.share, self.eps, self.cells = share, 1 - share / 100, 0
         self.size = np.array([len(s) for s in sets])
         self.starts = np.concatenate([[0], np.cumsum(self.size)])
         vocabulary, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.mark = np.zeros(len(vocabulary), np.int32)
         self.parent = np.arange(len(sets))
-        self.links: list[tuple[int, int]] = []
 
     def roots(self, m: np.ndarray) -> np.ndarray:
         while True:
@@ -139,11 +144,8 @@ class Region:
         both = np.add.reduceat(self.mark[index], cuts)
         self.mark[own] = 0
         union = self.size[m] + self.size[p] - both
-        for q in m[(100 * both >= self.share * union) & (m != p)]:
-            a, b = self.roots(np.array([p, q]))
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-                self.links.append((p, int(q)))
+        linked = np.unique(self.roots(np.append(m[100 * both >= self.share * union], p)))
+        self.parent[linked] = linked[0]
         return 1 - both / union
 
     def join(self, m: np.ndarray) -> None:
@@ -154,21 +156,25 @@ class Region:
             if len(names) == 1:
                 return
             outside = m[root != names[np.argmax(counts)]]
-            pivots = outside[:: max(1, -(-len(outside) // PIVOTS))]
+            pivots = outside[:: -(-len(outside) // min(PIVOTS, max(1, math.isqrt(len(outside)))))]
             sizes = self.size[m]
             cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             index = self.flat[np.repeat(self.starts[m] - cuts, sizes) + np.arange(sizes.sum())]
             d = np.stack([self.measure(int(p), m, index, cuts) for p in pivots])
-            left = ~np.isin(m, pivots)
-            m, d = m[left], d[:, left]
-            if not len(m):
-                return
-            nearest = d.min(axis=0)
-            cells = [m[d[j] <= nearest + 2 * self.eps + 1e-9] for j in range(len(pivots)) if (np.argmin(d, axis=0) == j).any()]
-            if len(cells) > 1 and max(map(len, cells)) < 0.8 * len(m):
+            nearest, inside = d.argmin(axis=0), d.min(axis=0) <= self.eps + TINY
+            root, cells = self.roots(m), []
+            for j, p in enumerate(pivots):
+                home = inside & (nearest == j)
+                window = (d[j] <= d[j, home].max(initial=0) + self.eps + TINY) & ~home & (root != self.parent[p])
+                if window.any():
+                    cells.append(m[(home | window) & (m != p)])
+            if sum(map(len, cells)) <= 2 * len(m) and max(map(len, cells), default=0) <= SHRINK * len(m):
+                self.cells += len(pivots)
                 for cell in cells:
                     self.join(cell)
-                return
+                m = m[~inside]
+            else:
+                m = m[~np.isin(m, pivots)]
 
 
 def _read(blobs: list[bytes]) -> list[np.ndarray]:
@@ -194,48 +200,81 @@ def _local(share: int):
     return run
 
 
-def _against(share: int):
-    """Compares a slice of a region with a block of pivots: the links as u, v."""
+def _measured(share: int):
+    """label, id, pivot, d of a slice of a region and a block of pivots, up to twice the distance of a link."""
+    most = 2 * (1 - share / 100) + TINY
 
     @base.tidy
     def run(key: tuple, slice_: pa.Table, block: pa.Table) -> pa.Table:
-        u, v = [], []
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if slice_.num_rows and block.num_rows:
             ids, sets = slice_["id"].to_numpy(), _read(slice_["shingles"].to_pylist())
             sizes = np.array([len(s) for s in sets])
             flat, cuts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
             for p, s in zip(block["id"].to_pylist(), _read(block["shingles"].to_pylist())):
                 both = np.add.reduceat(exchange.found(flat, s).astype(np.int64), cuts)
-                hit = ids[100 * both >= share * (sizes + len(s) - both)]
-                u += [p] * len(hit)
-                v += hit.tolist()
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                d = 1 - both / (sizes + len(s) - both)
+                hit = d <= most
+                out.append((ids[hit], np.full(int(hit.sum()), p), d[hit]))
+        ids, pivots, d = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"label": pa.array([key[0].as_py()] * len(ids), pa.int64()), "id": ids, "pivot": pivots.astype(np.int64), "d": d})
 
     return run
 
 
-def _large(members: DataFrame, share: int, shingles: int) -> DataFrame:
-    """id, component of regions cut into slices: blocks of pivots, round by round, until what isn't connected has been a pivot."""
-    slices = members.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / shingles)).cast("int").alias("slices"))
-    slices = base.save(slices)
-    cut = base.save(members.join(slices, "label").select("label", "id", "n", "shingles", F.pmod(F.xxhash64("id"), "slices").cast("int").alias("slice")))
-    state = base.save(cut.select("label", "id", F.col("id").alias("component"), F.lit(False).alias("done")))
+def _large(regions: DataFrame, share: int, members: int, shingles: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Cuts regions (label, id, n, shingles) too large for one task into ones that aren't; also the links u, v met on the way.
+
+    A round takes a block of pivots of each region from outside its largest connected part, and measures them against all
+    members, slice by slice.  Members that link with a pivot belong to the nearest one's cell; a member is replicated into
+    another cell as far as the cell's radius and the triangle inequality demand and nothing connects it yet.  Cells and
+    what is in none go on as regions of their own, without the pivots, which have met all.  Where cells wouldn't be
+    smaller, only the pivots leave.
+    """
+    eps, small, links = 1 - share / 100, [], []
+    active = base.save(regions)
+    parts = base.save(active.select("id", F.col("id").alias("component")).distinct())
     while True:
-        sizes = state.groupBy("label", "component").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("label").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-        rest = state.join(main, "label").where("component <> main and not done").select("label", "id")
+        tagged = active.select("label", "id", "n").join(parts, "id")
+        sizes = tagged.groupBy("label", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        stats = sizes.groupBy("label").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("k"), F.sum("s").alias("s"))
+        stats = base.save(stats.where("parts > 1").withColumn("slices", F.ceil(F.col("s") * 4 / shingles).cast("int")))
+        big = (F.col("k") > members) | (F.col("s") > shingles)
+        small.append(base.save(active.join(stats.where(~big).select("label"), "label", "left_semi")))
+        stats = stats.where(big)
+        if stats.isEmpty():
+            return small, links
+        rest = tagged.join(stats.select("label", "main"), "label").where("component <> main").select("label", "id")
         rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-        pivots = base.save(rest.withColumn("r", rank).where(F.col("r") <= BLOCK).select("label", "id"))
-        if pivots.isEmpty():
-            return state.select("id", "component")
-        spread = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-        block = base.save(pivots.join(cut.select("id", "shingles"), "id").join(slices, "label").select("label", "id", "shingles", spread))
-        found = cut.groupBy("label", "slice").cogroup(block.groupBy("label", "slice")).applyInArrow(_against(share), "u long, v long")
-        names = state.select(F.col("id"), F.col("component"))
-        edges = found.join(names.withColumnsRenamed({"id": "u", "component": "a"}), "u").join(names.withColumnsRenamed({"id": "v", "component": "b"}), "v")
-        merged = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"id": "component", "label": "to"})
-        done = pivots.select("id", F.lit(True).alias("now"))
-        state = base.save(state.join(merged, "component", "left").join(done, "id", "left").select("label", "id", F.coalesce("to", "component").alias("component"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")))
+        pivots = rest.withColumn("r", rank).where(F.col("r") <= BLOCK).select("label", "id")
+        pivots = base.save(pivots.join(active, ["label", "id"]).join(stats.select("label", "slices"), "label"))
+        cut = active.join(stats.select("label", "slices"), "label").withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int"))
+        block = pivots.select("label", "id", "shingles", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        near = cut.groupBy("label", "slice").cogroup(block.groupBy("label", "slice")).applyInArrow(_measured(share), "label long, id long, pivot long, d double")
+        near = base.save(near)
+        linked = F.col("d") <= eps + TINY
+        met = base.save(near.where(linked & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct())
+        links.append(met)
+        name = lambda c, to: parts.select(F.col("id").alias(c), F.col("component").alias(to))  # noqa: E731, B023
+        merged = components(met.join(name("u", "a"), "u").join(name("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        parts = base.save(parts.join(merged.withColumnsRenamed({"id": "component", "label": "to"}), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+        homes = base.save(near.where(linked).groupBy("label", "id").agg(F.min_by(F.struct(F.col("pivot").alias("home"), F.col("d").alias("r")), F.struct("d", "pivot")).alias("x")).select("label", "id", "x.*"))
+        radius = homes.groupBy("label", F.col("home").alias("pivot")).agg(F.max("r").alias("r"))
+        reach = near.join(radius, ["label", "pivot"]).where(F.col("d") <= F.col("r") + eps + TINY)
+        reach = reach.join(homes.select("label", "id", F.col("home").alias("pivot")), ["label", "id", "pivot"], "left_anti")
+        window = base.save(reach.join(name("id", "a"), "id").join(name("pivot", "b"), "pivot").where("a <> b").select("label", "id", "pivot"))
+        met_windows = window.select("label", "pivot").distinct()
+        inner = homes.select("label", "id", F.col("home").alias("pivot")).where("id <> pivot").join(met_windows, ["label", "pivot"], "left_semi")
+        cells = base.save(inner.unionAll(window))
+        by = cells.groupBy("label", "pivot").agg(F.count("*").alias("c")).groupBy("label").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
+        split = stats.join(by, "label", "left").where((F.coalesce("all", F.lit(0)) <= 2 * F.col("k")) & (F.coalesce("most", F.lit(0)) <= SHRINK * F.col("k"))).select("label")
+        split = base.save(split)
+        mine = active.join(stats.select("label"), "label", "left_semi")
+        parts_of = cells.join(split, "label", "left_semi").select("label", "id", F.xxhash64("label", "pivot").alias("to"))
+        in_cells = active.join(parts_of, ["label", "id"]).select(F.col("to").alias("label"), "id", "n", "shingles")
+        out = homes.select("label", "id").join(split, "label", "left_semi").unionAll(pivots.select("label", "id"))
+        last, active = active, base.save(in_cells.unionAll(mine.join(out.distinct(), ["label", "id"], "left_anti").select("label", "id", "n", "shingles")))
+        storage.drop(last, near, pivots, window, cells)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, members: int = MEMBERS, shingles: int = SHINGLES) -> DataFrame:
@@ -243,30 +282,44 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE,
 
     Rows link when 100 * intersection >= ``share`` * union of their sets of ``words``-word shingles (A-Z lower-cased; fewer
     words: the whole sequence as one; no words or null text: empty, linked with nothing).  component_id is the smallest
-    doc_id reachable by links.  Rows with a null doc_id keep a null component unless a set equal to theirs has an id.
-    Rows that repeat a doc_id are taken as one document.  ``members`` and ``shingles`` say from where on a region is cut
-    into slices; they don't change results.  Shingles are compared by 64-bit hashes.
+    doc_id reachable by links.  Rows with a null doc_id link like others; where no row they reach has an id, theirs is
+    null.  Rows that repeat a doc_id are one document: what one of them reaches, all do.  An empty table gives no rows.
+    ``members`` and ``shingles`` say from where on a region is cut before one task joins it; they don't change results.
+    Shingles are compared by 64-bit hashes: two sets of a thousand shingles have a false one in common once in 10**13 pairs.
     """
-    sets = base.save(sets_of(docs.select("doc_id", "text"), words, share))
+    sets = base.save(sets_of(docs.select("doc_id", "text"), words, share).withColumn("row", F.monotonically_increasing_id()))
     alive = sets.where(F.col("shingles").isNotNull())
-    classes = base.save(alive.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id")).where(F.col("id").isNotNull()))
-    same = [alive["n"] == classes["n"], alive["f1"] == classes["f1"], alive["f2"] == classes["f2"], alive["doc_id"] == classes["id"]]
-    reps = alive.join(classes, same, "left_semi").dropDuplicates(["n", "f1", "f2"]).select(F.col("doc_id").alias("id"), "n", "shingles", "common")
-    reps = base.save(reps.dropDuplicates(["id"]))
+    # a class of equal sets goes by its least row, whatever ids it has
+    classes = base.save(alive.groupBy("n", "f1", "f2").agg(F.min("row").alias("id")))
+    reps = base.save(alive.join(classes.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n", "shingles", "common"))
     regions = base.save(regions_of(reps, share))
     rows = base.save(reps.join(regions, "id").select("label", "id", "n", "shingles"))
     stats = base.save(rows.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("s")))
     big = (F.col("k") > members) | (F.col("s") > shingles)
-    total, n_big = stats.agg(F.coalesce(F.sum(F.when(~big, F.col("s"))), F.lit(0)), F.count_if(big)).first()
-    buckets = max(12, int(total) // (shingles // 4) + 1)
-    small = rows.join(stats.where(~big).select("label"), "label", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(buckets)))
-    found = small.groupBy("bucket").applyInArrow(_local(share), "id long, component long")
+    total, n_big = stats.agg(F.coalesce(F.sum("s"), F.lit(0)), F.count_if(big)).first()
+    buckets = max(12, int(total) // (1 << 20) + 1)
+
+    def joined(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(buckets))).groupBy("bucket").applyInArrow(_local(share), "id long, component long")
+
+    found = joined(rows.join(stats.where(~big).select("label"), "label", "left_semi"))
     if n_big:
-        found = found.unionAll(_large(rows.join(stats.where(big).select("label"), "label", "left_semi"), share, shingles))
-    named = classes.join(found, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = alive.select("doc_id", "n", "f1", "f2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    linked = salted.join(named, ["n", "f1", "f2", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return sets.where(F.col("shingles").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionAll(linked)
+        cells, links = _large(rows.join(stats.where(big).select("label"), "label", "left_semi"), share, members, shingles)
+        edges = joined(reduce(DataFrame.unionAll, cells)).select(F.col("id").alias("u"), F.col("component").alias("v"))
+        found = found.unionAll(components(reduce(DataFrame.unionAll, links, edges)))
+    named = base.save(classes.join(found, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("part")))
+    # equal sets are one class; a hot one is split by AQE
+    placed = alive.select("doc_id", "row", "n", "f1", "f2").join(named, ["n", "f1", "f2"]).select("doc_id", "row", "n", "part")
+    placed = base.save(placed.unionAll(sets.where(F.col("shingles").isNull()).select("doc_id", "row", "n", F.col("row").alias("part"))))
+    again = base.save(placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("part").alias("u"), F.max("part").alias("v"), F.count("*").alias("c")).where("u <> v").select("doc_id"))
+    if not again.isEmpty():
+        several = placed.join(again, "doc_id", "left_semi")
+        edges = several.join(several.groupBy("doc_id").agg(F.min("part").alias("v")), "doc_id").select(F.col("part").alias("u"), "v")
+        merged = components(edges).withColumnsRenamed({"id": "part", "label": "to"})
+        placed = base.save(placed.join(merged, "part", "left").select("doc_id", "row", "n", F.coalesce("to", "part").alias("part")))
+    least = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
+    out = placed.join(least, "part", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

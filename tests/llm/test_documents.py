@@ -380,3 +380,52 @@ def test_line_dedup_against_brute_force(spark, hostile):
         own = pairs(df)
         got = sorted(((r.doc_id, r.kept_text) for r in line_dedup.drop_recurring(df).collect()), key=repr)
         assert got == sorted(brute_line_dedup(own), key=repr)
+
+
+@pytest.mark.parametrize("caps", [{}, {"members": 2, "shingles": 300}])
+def test_jaccard_join_with_repeated_and_null_ids(spark, caps):
+    rnd = random.Random(9)
+    text = lambda: [f"y{rnd.randrange(10**6)}" for _ in range(60)]
+    a, b, c = text(), text(), text()
+    near = lambda t, k: " ".join([*t[:k], "changed", *t[k + 1 :]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a, 0)), (8, near(b, 0)), (9, "alone"), (5, "other"), (None, near(c, 30)), (20, near(c, 59)), (21, " ".join(c[:30] + ["changed"] + c[31:59] + ["z"])), (None, "nobody"), (None, " ".join(text()))]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), **caps).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5), (9, 9), (20, 20), (21, 20), (None, 20), (None, None)}
+
+
+def test_voronoi_cells_split_regions():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(40):
+        core = rng.integers(0, 1 << 40, 80)
+        sets += [np.unique(np.where(rng.random(80) < 0.12, rng.integers(0, 1 << 40, 80), core)).astype(np.uint64) for _ in range(10)]
+    region = jaccard_join.Region(sets, 75)
+    region.join(np.arange(len(sets)))
+    assert region.cells > 40
+    linked = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+    root = region.roots(np.arange(len(sets)))
+    assert all(root[i] == root[j] for i in range(len(sets)) for j in range(i // 10 * 10, i) if linked(sets[i], sets[j]))
+
+
+def test_large_regions_are_cut_into_cells(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(12):
+        core = rng.integers(0, 10**9, 70)
+        rows += [(len(rows) + i, " ".join(f"s{x}" for x in np.where(rng.random(70) < 0.03, rng.integers(0, 10**9, 70), core))) for i in range(25)]
+    best, _ = brute_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for caps in ({"members": 10}, {"members": 60, "shingles": 1500}):
+        got = jaccard_join.jaccard_components(df, **caps).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == set(best.items())
+
+
+def test_exchange_rows_are_linear():
+    from millrace.llm import exchange
+
+    h = np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)
+    for n in (1, 7, 1 << 20):
+        t = exchange.send(3, h, n)
+        assert t.num_rows <= min(n, len(np.unique(h))) and t["bucket"].to_pylist() == sorted(set(t["bucket"].to_pylist()))
+        assert sum(len(x) // 8 for x in t["once"].to_pylist()) == len(np.unique(h)) and max(t["bucket"].to_pylist()) < n
+    assert exchange.send(3, h[:0], 5).num_rows == 0
