@@ -429,3 +429,88 @@ def test_exchange_rows_are_linear():
         assert t.num_rows <= min(n, len(np.unique(h))) and t["bucket"].to_pylist() == sorted(set(t["bucket"].to_pylist()))
         assert sum(len(x) // 8 for x in t["once"].to_pylist()) == len(np.unique(h)) and max(t["bucket"].to_pylist()) < n
     assert exchange.send(3, h[:0], 5).num_rows == 0
+
+
+def test_decontamination_slots(spark):
+    item = "Each of 12 boxes holds 40 pens and New York buys 7 boxes for 12 schools near 40 parks in total"
+    told = item.replace("12", "1,250").replace("40", "3.50").replace("7", "1,100").replace("New York", "Baton Rouge City")
+    mixed = told.replace("1,250 schools", "99 schools").replace("3.50 parks", "98 parks").replace("Each of 1,250", "Each of 77")
+    docs = [(1, "So. " + told + "."), (2, mixed), (3, item.upper()), (4, "in total " + item), (5, told.replace("pens", "cups").replace("schools", "halls").replace("buys", "sells"))]
+    got = {(r.doc_id, r.literal) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {(1, False), (3, True), (4, True)}
+    items = [(i, f"A farmer named {a} owns {i + 3} cows and sells {2 * i + 1} of them to {b} before buying {i * 7 + 2} goats at the spring market") for i, (a, b) in enumerate([("Ola", "Per"), ("Kim", "Jan"), ("Eva", "Ida")])]
+    again = [(10 + i, f"intro words {'pad ' * i}A farmer named {a} owns {x} cows and sells {y} of them to {b} before buying {z} goats at the spring market. More.") for i, (a, b, x, y, z) in enumerate([("Max Planck", "Lea", "1,000", "12.5", 3), ("Zoë", "Åsa Berg", 4, 9, "2.000"), ("J", "K", 1, 2, 3)])]
+    got = {r.doc_id for r in decontaminate.matches(spark.createDataFrame(again, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {10, 11, 12}
+
+
+def brute_matches(docs, items):
+    """decontaminate.matches by plain Python: {(doc_id, item_id): literal}."""
+    letter = r"0-9A-Za-z\u0080-\U0010FFFF"
+    units = set(decontaminate.UNITS.split("|"))
+
+    def tokens(t):
+        t = regex.sub(rf"(?<![{letter}])\p{{Lu}}[{letter}]*(?: \p{{Lu}}[{letter}]*)*", lambda m: "<N>" + m[0].replace(" ", "·") + "<E>", t)
+        out, after = [], False
+        for w in regex.finditer(r"<N>(.*?)<E>|([0-9]+(?:[.,·][0-9]+)*)|([A-Za-z\u0080-\U0010FFFF][0-9A-Za-z\u0080-\U0010FFFF]*)", t):
+            if w[1] is not None:
+                out.append(("nam0", w[1].lower()))
+            elif w[2] is not None:
+                out.append(("num0", regex.sub("[.,]", "·", w[2])))
+            else:
+                unit = after and w[3].lower() in units and regex.fullmatch(" ?", t[last : w.start()])
+                out.append(("uni0" if unit else "", w[3].lower()))
+            after, last = w[2] is not None, w.end()
+        return out
+
+    def windows(seq, k):
+        return [tuple(seq[i : i + k]) for i in range(len(seq) - k + 1)]
+
+    out = {}
+    for d, text in docs:
+        for i, other in items:
+            if None in (d, text, i, other):
+                continue
+            mine, its = tokens(text), tokens(other)
+            for lane in ("lit", "tpl"):
+                x, y = ([p for _, v in s for p in v.split("·")] if lane == "lit" else s for s in (mine, its))
+                n = len(y)
+                k = 8 if n >= 11 else n
+                if not n or lane == "tpl" and (k < 5 or not any(a for a, _ in y) or not any(a for a, _ in x)):
+                    continue
+                key = (lambda w: w) if lane == "lit" else (lambda w: tuple(a or v for a, v in w))
+                at, slots = {}, (lambda w: [v for a, v in w if a] if lane == "tpl" else [])  # noqa: B023
+                for b, w in enumerate(windows(x, k)):
+                    at.setdefault(key(w), []).append((b, w))
+                hits, maps = [], {}
+                for a, w in enumerate(windows(y, k)):
+                    if lane == "tpl" and len(slots(w)) > k - 2:
+                        continue
+                    for b, v in at.get(key(w), []):
+                        hits.append((a, b - a, bool(slots(w))))
+                        for p, q in zip(slots(w), slots(v)):
+                            maps.setdefault(b - a, {}).setdefault(p, set()).add(q)
+                covered = {a + j for a, s, filled in hits if not filled or all(len(q) == 1 for q in maps[s].values()) for j in range(k)}
+                if len(covered) >= (11 if n >= 15 else 8 if n >= 11 else n):
+                    out[d, i] = out.get((d, i), False) or lane == "lit"
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rnd = random.Random(21)
+    words = ["the", "old", "of", "kg", "min", "Anna", "Bo", "tree", "12", "3.5", "7", "runs", "é", "Élan", "and", "sees", "near", "v", "red"]
+    text = lambda n: "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", " ", ", ", ". ", "  "]) for _ in range(n))
+    items = [(i, text(rnd.choice([1, 2, 3, 4, 5, 6, 8, 10, 11, 13, 15, 25]))) for i in range(40)]
+    docs = []
+    for i in range(60):
+        base_text = rnd.choice(items)[1].split(" ")
+        for _ in range(rnd.randint(0, 4)):
+            k = rnd.randrange(len(base_text))
+            swap = {"Anna": "Tom", "Bo": "Mary Jane", "12": "1,000", "3.5": "8", "7": "6"}
+            base_text[k] = swap.get(base_text[k], base_text[k])
+        if i % 2:
+            base_text = [swap.get(x, x) for x in base_text]
+        docs.append((i, text(rnd.randint(0, 6)) + " ".join(base_text) + text(rnd.randint(0, 30))))
+    want = brute_matches(docs, items)
+    got = {(r.doc_id, r.item_id): r.literal for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got.items()) ^ set(want.items()) == set() and len(want) > 60 and 5 < sum(not x for x in want.values())
