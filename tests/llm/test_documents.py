@@ -514,3 +514,29 @@ def test_decontamination_against_brute_force(spark):
     want = brute_matches(docs, items)
     got = {(r.doc_id, r.item_id): r.literal for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert set(got.items()) ^ set(want.items()) == set() and len(want) > 60 and 5 < sum(not x for x in want.values())
+
+
+def test_license_places_against_brute_force(spark, hostile):
+    table = license_scan.rules()
+    texts = [
+        "apache license version 2 0 apache license version 2 0", "apache license version 2 0 1, apache license version 2 0", "under the apache license version 2 0 then copyright copyright",
+        "Copyright 2001 2002 copyright (c) 2003. All rights reserved. ALL RIGHTS RESERVED", "mit license mit license the mit license",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "CC BY-SA 4.0 cc by cc by nc 2.0 é", " ", None, "copyright " * 3000,
+    ]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    word = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    compiled = [(a, p, k, re.compile(f" (?:{r})(?= )")) for a, p, k, r in table]
+    want = {}
+    for d, t in docs:
+        words = word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        w = " " + "".join(x + " " for x in words)
+        at = [(i, label) for phrase, label in license_scan.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        found = [(m.start(), m.end(), a, p) for a, p, k, r in compiled if k in w for m in r.finditer(w)]
+        if len(found) < 2000:
+            found = [x for x in found if not any(y[0] <= x[0] and x[1] <= y[1] and (y[3] > x[3] or y[3] == x[3] and y[1] - y[0] > x[1] - x[0]) for y in found)]
+        base_labels = sorted({x for _, x in at})
+        want[d] = (len(words), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(base_labels), ",".join(sorted({*base_labels, *(x[2] for x in found)})), 1 - 2.0 ** -len(found), sorted(found))
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, [(x.a, x.b, x.label, x.rank) for x in r.detections]) for r in got} == want
+    assert [(x.a, x.b) for x in next(r for r in got if r.doc_id == 0).detections] == [(0, 27), (27, 54)] and want[0][5] == "apache-2.0"
+    assert len(license_scan.scan(hostile).collect()) == hostile.count()
