@@ -2,8 +2,10 @@
 
 A page is cut into text blocks with their place in the element tree.  A linear classifier over a block's containers,
 link share and length gives each label's cost; the costs are terminal capacities (source: content, sink: boilerplate),
-and neighbours in page order and siblings of one parent are joined by smoothness edges.  A maximum flow gives the
-cheapest labelling: blocks on the source side are the main text.
+and neighbours in page order and siblings of one parent are joined by smoothness edges, strong ones where both are the
+same kind of element.  A maximum flow gives the cheapest labelling: blocks on the source side are the main text.  Where a
+container says plainly what a block is (an article, a menu), its cost outweighs all edges; doubtful blocks (short ones
+outside an article, paragraphs with a suspicious class) go with their neighbours.
 """
 
 from __future__ import annotations
@@ -19,42 +21,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import base
 
-#: Text in these elements is never shown as text.
-RAW = "script|style|noscript|template|title|textarea|iframe|svg|annotation-xml|annotation|object|head"
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|iframe|svg|annotation-xml|annotation|object)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.S | re.I,
-)
+#: Elements whose text is never shown as text.
+RAW = frozenset("script style noscript template title textarea iframe svg annotation-xml annotation object".split())
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag up to its end; quoted values may hold a >.
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+#: Tags whose quotes never close, after which a page's tags end at the next > whatever their quotes.
+OPEN_QUOTES = 50
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input math maction menclose merror mfrac mglyph mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and words of class, id or role that mark boilerplate or content.
-BAD_TAGS = frozenset("nav footer aside form menu dialog button select option fieldset".split())
+BAD_TAGS = frozenset("nav footer aside form menu dialog button select option".split())
+#: Elements of running text: a bad word as a part of their class ("share-price") is a weak sign only.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li td th dt dd tr table figure figcaption fieldset caption".split())
 BAD_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer form gdpr header masthead menu modal nav navbar navigation navigationbar newsletter notice notification overlay pagination popup promo promoted promotion reader-comments related replies reply search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget complementary replylist responses".split()
 )
 GOOD_TAGS = frozenset(("article", "main"))
 #: Weights of the classifier, in units of the flow (whole numbers keep the flow exact).
-IN_GOOD, IN_BAD, IN_HEADER, LINKS, OUTSIDE, LENGTH, NEAR, SIBLING = 900, -2400, -700, -500, -350, 60, 120, 60
+IN_GOOD, IN_BAD, WEAK, IN_HEADER, LINKS, OUTSIDE, LENGTH = 900, -2400, -400, -700, -500, -350, 60
+#: Edges between neighbours and siblings: the same kind of element under one parent, another kind, another parent.
+SAME, OTHER, APART, SIBLING = 300, 60, 30, 90
 CLOSES_P = frozenset("p div ul ol dl table section article aside nav header footer form h1 h2 h3 h4 h5 h6 pre blockquote hr main figure fieldset".split())
 
 
 class Element:
-    __slots__ = ("tag", "bad", "good", "header", "parent", "last")
+    __slots__ = ("tag", "bad", "weak", "good", "header", "parent", "last")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent, self.last = tag, parent, -1
-        bad = tag in BAD_TAGS
+        bad, weak = tag in BAD_TAGS, False
         if attributes and not bad:
             for key, a, b, c in ATTRIBUTE.findall(attributes):
                 value, key = (a or b or c).lower(), key.lower()
                 if key == "hidden" or key == "aria-hidden" and value == "true":
                     bad = True
-                elif BAD_WORDS.intersection(re.split(r"[^a-z0-9]+", value)) and tag not in ("body", "html", "article", "main"):
-                    bad = True
-        self.bad = bad or bool(parent and parent.bad)
+                elif tag not in ("body", "html", "article", "main"):
+                    bad = bad or not BAD_WORDS.isdisjoint(value.split())
+                    weak = weak or not BAD_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value))
+        plain = tag in TEXT_TAGS
+        self.bad = bad or weak and not plain or bool(parent and parent.bad)
+        self.weak = weak and plain or bool(parent and parent.weak)
         self.good = tag in GOOD_TAGS or bool(parent and parent.good)
         self.header = tag == "header" or bool(parent and parent.header)
 
@@ -71,6 +79,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     here = Element("body", "", None)
     parts: list[str] = []
+    opened: dict[str, int] = {}  # open elements by tag: an end tag without one is passed over at once
     linked = depth = 0
 
     def flush() -> None:
@@ -87,36 +96,69 @@ def blocks(page: str) -> list[Block]:
         if depth:
             linked += len(piece)
 
-    at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1] is not None and m[1].lower() != "title":
+    low: str | None = None  # the page in lower case, where a raw element needs it
+    at, fails = 0, 0
+    while True:
+        begin = page.find("<", at)
+        if begin < 0:
+            add(page[at:])
+            break
+        m = TAG.match(page, begin + 1)
+        if m is None:
+            close = {"!--": "-->", "![C": "]]>"}.get(page[begin + 1 : begin + 4], ">" if page[begin + 1 : begin + 2] in ("!", "?") else "")
+            if not close:  # a lone <
+                add(page[at : begin + 1])
+                at = begin + 1
+                continue
+            add(page[at:begin])
+            end = page.find(close, begin + (4 if close == "-->" else 2))
+            if end < 0:
+                break
+            at = end + len(close)
+            continue
+        add(page[at:begin])
+        rest = REST.match(page, m.end()) if fails < OPEN_QUOTES else None
+        if rest is None:
+            fails += 1
+            end = page.find(">", m.end()) + 1
+            if not end:  # a tag that the end of the page cuts
+                break
+        else:
+            end = rest.end()
+        at, tag = end, m[2].lower()
+        if tag in RAW:
+            if not m[1]:
+                low = low if low is not None else page.lower()
+                low = low if len(low) == len(page) else page  # lower case that changes places
+                close = low.find(f"</{tag}", at)
+                end = page.find(">", close) + 1 if close >= 0 else 0
+                if not end:
+                    break
+                at = end
+            if tag != "title":
                 parts.append(" ")
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                depth = 0 if m[2] else 1
+                depth = 0 if m[1] else 1
             continue
         flush()
-        if m[2]:
-            e = here
-            while e.parent is not None and e.tag != tag:
+        if m[1]:
+            e = here if opened.get(tag) else None
+            while e is not None and e.parent is not None and e.tag != tag:
+                opened[e.tag] -= 1
                 e = e.parent
-            if e.parent is not None:
+            if e is not None and e.parent is not None:
+                opened[tag] -= 1
                 here, depth = e.parent, 0
         elif tag not in VOID:
             if tag in CLOSES_P and here.tag == "p" or tag == here.tag and tag in ("li", "td", "tr", "th", "option", "dt", "dd"):
+                opened[here.tag] -= 1
                 here = here.parent
-            here = Element(tag, m[4], here)
-    if at < len(page):
-        add(re.sub(r"</?[a-zA-Z][^<>]*\Z", "", page[at:]))  # a tag that the end of the page cuts
+            here = Element(tag, page[m.end() : end - 1], here)
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
@@ -124,9 +166,11 @@ def blocks(page: str) -> list[Block]:
 def score(b: Block, has_good: bool) -> int:
     """Above 0: content is the cheaper label."""
     e, n = b.element, len(b.text)
-    s = min(LENGTH * int(math.log2(n + 1)), 6 * LENGTH) - (LINKS * -1 if b.linked * 2 > n else 0)
+    s = min(LENGTH * int(math.log2(n + 1)), (6 if has_good else 9) * LENGTH) + (LINKS if b.linked * 2 > n else 0)
     if e.bad:
         return s + IN_BAD
+    if e.weak:
+        s += WEAK
     if e.header and not (e.good and e.tag == "h1"):
         s += IN_HEADER * (1 if has_good and not e.good else 2)
     if e.good:
@@ -137,41 +181,68 @@ def score(b: Block, has_good: bool) -> int:
 def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """Whether each node is on the source side of a minimum cut (the larger such side: ties are content).
 
-    A node's score is its capacity from the source (above 0) or to the sink (below).  Augments along shortest paths.
+    A node's score is its capacity from the source (above 0) or to the sink (below).  A node whose score outweighs its
+    edges is on that side whatever the others do: it is taken out, and its edges are added to its neighbours' scores,
+    again and again.  Augmenting paths of least length, level by level, cut what is left.
     """
-    n = len(scores)
-    excess, lack = [max(0, s) for s in scores], [max(0, -s) for s in scores]
+    n, score = len(scores), list(scores)
     to: list[dict[int, int]] = [{} for _ in range(n)]
     for i, j, c in edges:
-        to[i][j] = to[i].get(j, 0) + c
-        to[j][i] = to[j].get(i, 0) + c
+        if i != j:
+            to[i][j] = to[i].get(j, 0) + c
+            to[j][i] = to[j].get(i, 0) + c
+    pull = [sum(t.values()) for t in to]
+    side: list[bool | None] = [None] * n
+    queue = deque(range(n))
+    while queue:
+        i = queue.popleft()
+        if side[i] is not None or -pull[i] <= score[i] < pull[i]:
+            continue
+        side[i] = score[i] >= pull[i]
+        for j, c in to[i].items():
+            del to[j][i]
+            pull[j] -= c
+            score[j] += c if side[i] else -c
+            queue.append(j)
+        to[i] = {}
+    excess, lack = [max(0, s) for s in score], [max(0, -s) for s in score]
+    left = [i for i in range(n) if side[i] is None]
     while True:
-        back: dict[int, int] = {i: -1 for i in range(n) if excess[i]}
-        queue, end = deque(back), None
+        level = {i: 0 for i in left if excess[i]}
+        queue, met = deque(level), False
         while queue:
             i = queue.popleft()
-            if lack[i]:
-                end = i
-                break
+            met = met or bool(lack[i])
             for j, c in to[i].items():
-                if c and j not in back:
-                    back[j] = i
+                if c and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if end is None:
+        if not met:
             break
-        flow, i = lack[end], end
-        while back[i] >= 0:
-            flow, i = min(flow, to[back[i]][i]), back[i]
-        flow = min(flow, excess[i])
-        excess[i] -= flow
-        lack[end] -= flow
-        j = end
-        while back[j] >= 0:
-            to[back[j]][j] -= flow
-            to[j][back[j]] += flow
-            j = back[j]
+        untried = {i: list(to[i]) for i in level}
+        for start in [i for i in left if excess[i]]:
+            path = [start]
+            while path and excess[start]:
+                i = path[-1]
+                if lack[i]:
+                    flow = min(excess[start], lack[i], *(to[a][b] for a, b in zip(path, path[1:])))
+                    excess[start] -= flow
+                    lack[i] -= flow
+                    for a, b in zip(path, path[1:]):
+                        to[a][b] -= flow
+                        to[b][a] += flow
+                    path = [start]
+                    continue
+                while untried[i] and not (to[i][untried[i][-1]] and level.get(untried[i][-1]) == level[i] + 1):
+                    untried[i].pop()
+                if untried[i]:
+                    path.append(untried[i][-1])
+                else:
+                    path.pop()
+                    if path:
+                        untried[path[-1]].pop()
     # what reaches the sink in the residual graph is on its side; the rest is the larger source side
-    sink = {i for i in range(n) if lack[i]}
+    sink = {i for i in left if lack[i]}
     queue = deque(sink)
     while queue:
         j = queue.popleft()
@@ -179,7 +250,7 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
             if i not in sink and to[i].get(j):
                 sink.add(i)
                 queue.append(i)
-    return [i not in sink for i in range(n)]
+    return [i not in sink if side[i] is None else side[i] for i in range(n)]
 
 
 def main_text(page: str | None) -> str:
@@ -191,18 +262,24 @@ def main_text(page: str | None) -> str:
     edges = []
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEAR if found[i - 1].element.parent is b.element.parent else NEAR // 4))
+            x, y = found[i - 1].element, b.element
+            near = APART if x.parent is not y.parent else SAME if x.tag == y.tag and x.bad == y.bad else OTHER
+            edges.append((i - 1, i, near))
         parent = b.element.parent
         if parent is not None:
             if parent.last >= 0:
-                edges.append((parent.last, i, SIBLING))
+                edges.append((parent.last, i, SIBLING if found[parent.last].element.tag == b.element.tag else SIBLING // 3))
             parent.last = i
     keep = minimum_cut([score(b, has_good) for b in found], edges)
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html; others are ignored); each page by itself."""
+    """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html; others are ignored); each page by itself.
+
+    A null, empty or text-free html gives an empty text.  Repeated rows are read alike; on ties blocks are content.  A very
+    long page costs in proportion to its length; an empty table gives no rows.
+    """
 
     @base.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,3 +58,48 @@ def test_url_hosts_without_outcomes(spark):
     outcomes += [(f"s.d{i}.bad", True) for i in range(20) for _ in range(9)]
     got = {r.page_id: r.verdict for r in url_filter.judge(pages, spark.createDataFrame(outcomes, "host string, bad boolean")).collect()}
     assert got == {0: "block", 1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "block"}
+
+
+def test_smoothness_decides_doubtful_blocks():
+    long = "A long paragraph of the story, which goes on and on for the whole line and some more words. " * 2
+    page = f'<body><div><p>{long}</p><p>Yes.</p><p>{long}</p><p class="share-price">The share price fell by a half.</p><p>{long}</p></div><ul class="related-links"><li>Yes.</li></ul></body>'
+    kept = [" ".join(long.split()), "Yes.", " ".join(long.split()), "The share price fell by a half.", " ".join(long.split())]
+    found = html_extract.blocks(page)
+    signs = [html_extract.score(b, False) >= 0 for b in found]
+    assert signs == [True, False, True, False, True, False] and main_text(page) == "\n".join(kept)
+    article = '<article><p>Some words.</p><p class="share-price">Price.</p><fieldset><legend>Facts</legend><p>One fact.</p></fieldset><div class="share-buttons">Send it</div><p class="ad">Buy</p></article>'
+    assert main_text(article) == "Some words.\nPrice.\nFacts\nOne fact."
+
+
+def test_hostile_pages_in_time():
+    import time
+
+    pages = ["<b " * 340_000, "<article>" + "<p>a" * 200_000, "<b \"><b '> x" * 90_000, "<p x=\"'> a <i y='\"> b " * 50_000, "<div>" * 160_000, "<div>x</p>" * 90_000, "< " * 500_000, "<script>" * 120_000, "<!-- " * 200_000, "<div><p>abc</p></div><p>xyz xyz xyz xyz</p>" * 20_000]
+    for page in pages:
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 6, page[:40]  # seconds for a megabyte, on a slow machine
+
+
+def test_minimum_cut_of_long_chains():
+    rnd = random.Random(6)
+    for _ in range(40):
+        n = rnd.randrange(2, 13)
+        scores = [rnd.randrange(-500, 500) for _ in range(n)]
+        edges = [(i - 1, i, rnd.choice([30, 60, 300])) for i in range(1, n)] + [(rnd.randrange(n), rnd.randrange(n), 90) for _ in range(n // 2)]
+        edges = [e for e in edges if e[0] != e[1]]
+        cost = lambda keep: sum(-s if k and s < 0 else s if not k and s > 0 else 0 for s, k in zip(scores, keep)) + sum(c for i, j, c in edges if keep[i] != keep[j])  # noqa: E731, B023
+        assert cost(html_extract.minimum_cut(scores, edges)) == min(cost(k) for k in itertools.product((False, True), repeat=n))
+
+
+def test_articles_of_made_pages(spark):
+    rnd = random.Random(17)
+    words = lambda n: " ".join(rnd.choice(["rain", "hill", "&amp;", "stone", "river", "bird", "over", "under", "and"]) for _ in range(n))
+    rows = []
+    for i in range(60):
+        own = [words(rnd.randint(1, 60)) for _ in range(rnd.randint(1, 12))]
+        inner = "".join(rnd.choice([f"<p>{x}</p>", f"<h2>{x}</h2>", f"<blockquote><p>{x}</p></blockquote>", f"<figure><figcaption>{x}</figcaption></figure>", f"<p>{x}"]) + rnd.choice(["", "", "<div class='advert'>Buy now</div>", "<!-- c -->", "<script>x='<p>'</script>"]) for x in own)
+        page = f"<html><head><title>t</title></head><body><header>Site name</header><nav><a href='/'>Home</a></nav><div class='cookie-banner'>We use cookies</div><article>{inner}</article><div id='comments'><p>{words(40)}</p></div><aside>{words(30)}</aside><footer>{words(20)}</footer></body></html>"
+        rows.append((i, page, "\n".join(x.replace("&amp;", "&") for x in own)))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(i, "u", p) for i, p, _ in rows], "page_id long, url string, html string")).collect()}
+    assert got == {i: t for i, _, t in rows}
