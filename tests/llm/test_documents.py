@@ -540,3 +540,85 @@ def test_license_places_against_brute_force(spark, hostile):
     assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, [(x.a, x.b, x.label, x.rank) for x in r.detections]) for r in got} == want
     assert [(x.a, x.b) for x in next(r for r in got if r.doc_id == 0).detections] == [(0, 27), (27, 54)] and want[0][5] == "apache-2.0"
     assert len(license_scan.scan(hostile).collect()) == hostile.count()
+
+
+def plain_png(media):
+    """Samples by the PNG standard, one by one; its chunks and row kinds."""
+    at, data = 8, b""
+    while at < len(media):
+        n = int.from_bytes(media[at : at + 4], "big")
+        if media[at + 4 : at + 8] == b"IHDR":
+            width, height = (int.from_bytes(media[at + k : at + k + 4], "big") for k in (8, 12))
+        if media[at + 4 : at + 8] == b"IDAT":
+            data += media[at + 8 : at + 8 + n]
+        at += 12 + n
+    raw, rows, kinds = zlib.decompress(data), [], []
+    for r in range(height):
+        line, above = raw[r * (width + 1) : (r + 1) * (width + 1)], rows[-1] if rows else [0] * width
+        kinds.append(line[0])
+        out = []
+        for c in range(width):
+            a, b, d = out[c - 1] if c else 0, above[c], above[c - 1] if c else 0
+            p = a + b - d
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - d), 2, d))[2]
+            out.append((line[c + 1] + (0, a, b, (a + b) // 2, near)[line[0]]) % 256)
+        rows.append(out)
+    return rows, kinds
+
+
+def plain_cosine_hash(rows):
+    """The feature by its definition, in plain Python."""
+    import math
+    import statistics
+
+    def shrunk(line):
+        cuts = [k * len(line) // 32 for k in range(32)] + [len(line)]
+        return [sum(line[a:b]) / (b - a) if len(line) >= 32 else line[a] for a, b in zip(cuts, cuts[1:])]
+
+    cols = list(zip(*[shrunk(c) for c in zip(*rows)]))
+    grid = [shrunk(r) for r in cols]
+    wave = [[math.cos(math.pi * (2 * i + 1) * k / 64) for i in range(32)] for k in range(8)]
+    low = [sum(wave[u][i] * wave[v][j] * grid[i][j] for i in range(32) for j in range(32)) for u in range(8) for v in range(8)]
+    m = statistics.median(low[1:])
+    return low, m
+
+
+def test_media_columns_against_brute_force(spark, hostile):
+    some = [(d, t) for d, t in pairs(hostile) if len(t or "") < 3000]
+    docs = spark.createDataFrame([*some, (50, "naïve – text\n" * 90), (51, "".join(chr(33 + i % 90) for i in range(5000)))], "doc_id long, text string")
+    stored = {(r.doc_id, r.n_bytes): bytes(r.media) for r in media.store(docs).collect()}
+    got = media.features(media.store(docs)).collect()
+    texts = {(d, len((t or "").encode())): (t or "").encode() for d, t in pairs(docs)}
+    used = set()
+    for r in got:
+        own, png = texts[r.doc_id, r.n_bytes], stored[r.doc_id, r.n_bytes]
+        rows, kinds = plain_png(png)
+        used |= set(kinds)
+        payload = bytes(x for row in rows for x in row)
+        assert payload == own + b"\0" * (len(payload) - len(own)) and len(payload) == max(64, -(-len(own) // 64) * 64)
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        low, m = plain_cosine_hash(rows)
+        bits = f"{int(r.feature, 16):064b}"
+        assert all(abs(x - m) < 1e-5 or (x > m) == (b == "1") for x, b in zip(low, bits))
+    assert len(got) == docs.count() and len(used) >= 4
+
+
+def test_png_filters_and_errors():
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 256, (h, 64)).astype(np.uint8) for h in (1, 7, 200, 3)]
+    images.append(np.cumsum(rng.integers(0, 5, (40, 64)), axis=1).astype(np.uint8))
+    for kind in (None, 0, 1, 2, 3, 4):
+        made = media.write_pngs([x.tobytes() for x in images], kind=kind)
+        assert made == [media.write_png(x.tobytes(), kind=kind) for x in images]
+        assert all((a == b).all() for a, b in zip(media.read_pngs(made), images))
+        assert all(plain_png(m)[0] == x.tolist() for m, x in zip(made, images))
+    png = media.write_png(images[1].tobytes())
+    for cut in range(len(png)):
+        with pytest.raises(ValueError):
+            media.read_png(png[:cut])
+    wrong = media._chunk(b"IDAT", zlib.compress(b"\x07" + b"\0" * 64)).join([png[:33], media._chunk(b"IEND", b"")])
+    for bad in (wrong, png[:8] + media._chunk(b"IHDR", b"abc") + png[33:], png[:33] + png[-12:], b"", b"x" * 50):
+        with pytest.raises(ValueError):
+            media.read_png(bad)
+    assert media.read_pngs([]) == []
