@@ -1,7 +1,7 @@
 """URL filtering: stated host and path rules first, then empirical-Bayes host reputation.
 
-Labelled page outcomes (bad or not) are counted by host, registered domain (the last two labels of the host) and
-suffix (the last).  Each level's bad rate is shrunk towards its parent's by a beta prior whose mean is the parent's
+Labelled page outcomes (bad or not) are counted by host, registered domain and suffix.  A suffix is the host's last
+label, or its last two where a country's label follows a general one (co.uk); the domain has one label more.  Each level's bad rate is shrunk towards its parent's by a beta prior whose mean is the parent's
 posterior mean and whose strength is fitted by moments over all units of the level: all pages -> suffix -> domain ->
 host.  A host is blocked when the lower bound of its posterior (mean - BOUND standard deviations) is above LIMIT; a host
 without outcomes is judged by what its registered domain, or else its suffix, predicts for a new host.
@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from . import base
 
-BOUND, LIMIT, SALTS = 1.645, 0.35, 16
+BOUND, LIMIT = 1.645, 0.35
+#: Blocked hosts that are broadcast at most; beyond, pages and hosts meet by host, and AQE splits a hot one.
+BROADCAST = 500_000
+#: General labels under which countries (labels of two letters) let domains be registered.
+SECOND = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 #: Prior strength where moments tell none, and its limits.
 STRENGTH, LEAST, MOST = 10.0, 1.0, 1000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,12 +77,15 @@ def _bound(below: tuple[Column, ...] = ()) -> Column:
     return mean - BOUND * F.sqrt(var)
 
 
-def _domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
-
-
-def _suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def _levels(host: Column) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host without its port; a number address is its own domain, and a bare suffix too."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    labels = F.split(name, "[.]")
+    last, before = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2))
+    k = F.when((F.length(last) == 2) & before.isin(*SECOND), 2).otherwise(1)
+    join = lambda n: F.array_join(F.slice(labels, -F.least(n, F.size(labels)), F.size(labels)), ".")
+    number = F.rlike(name, F.lit(r"^[0-9.]+$"))
+    return F.when(number, name).otherwise(join(k + 1)), F.when(number, F.lit("")).otherwise(join(k))
 
 
 def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -89,8 +96,8 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     rows = outcomes.where(F.col("bad").isNotNull() & (F.col("host") != ""))
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
-    hosts = hosts.withColumn("domain", _domain(F.col("host"))).withColumn("suffix", _suffix(F.col("host")))
-    hosts = base.save(hosts)
+    domain, suffix = _levels(F.col("host"))
+    hosts = base.save(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     top = _shrunk(suffixes, None, "suffix", None)
@@ -109,18 +116,18 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], .
     """page_id, host, path, rule, verdict for each row of ``pages`` (page_id, url; others are ignored).
 
     A null url has an empty host and path, no rule, and is allowed; so are hosts of a suffix without outcomes.  Repeated
-    rows are judged alike.  The join on hosts is salted: a host with a third of all pages meets SALTS tasks.
+    rows are judged alike; of equally long rules the first holds.  An empty table gives no rows.
     """
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     text, action = rule_of(F.col("host"), F.col("path"), rules)
     split = split.withColumn("rule", text).withColumn("_act", action)
     by_host, by_domain, by_suffix = reputation(outcomes)
-    seen = split.where(F.col("host") != "").select("host").distinct().withColumn("domain", _domain(F.col("host"))).withColumn("suffix", _suffix(F.col("host")))
+    domain, suffix = _levels(F.col("host"))
+    seen = split.where(F.col("host") != "").select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix)
     seen = seen.join(by_host.select("host", F.col("bound").alias("_h")), "host", "left").join(by_domain.withColumnRenamed("bound", "_d"), "domain", "left").join(by_suffix.withColumnRenamed("bound", "_s"), "suffix", "left")
-    bad = seen.where(F.coalesce("_h", "_d", "_s") > limit).select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_bad"))
-    salted = split.withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    bad = base.save(seen.where(F.coalesce("_h", "_d", "_s") > limit).select("host", F.lit(True).alias("_bad")))
     verdict = F.coalesce(F.col("_act"), F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow")))
-    return salted.join(bad, ["host", "_salt"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return split.join(F.broadcast(bad) if bad.count() <= BROADCAST else bad, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,15 +165,23 @@ WITH u AS (
     SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), outcomes AS (
     SELECT host, quality = 0 OR toxic = 1 AS bad FROM split JOIN labels ON doc_id = page_id WHERE host <> '' AND (quality = 0 OR toxic = 1) IS NOT NULL
+), named AS (
+    SELECT host, CASE WHEN number THEN name ELSE array_to_string(labels[-(k + 1):], '.') END AS domain, CASE WHEN number THEN '' ELSE array_to_string(labels[-k:], '.') END AS suffix
+    FROM (SELECT *, CASE WHEN len(labels[-1]) = 2 AND labels[-2] IN {SECOND} THEN 2 ELSE 1 END AS k, regexp_matches(name, '^[0-9.]+$') AS number
+          FROM (SELECT *, string_split(name, '.') AS labels FROM (SELECT DISTINCT host, regexp_replace(host, ':[0-9]*$', '') AS name FROM split WHERE host <> '')))
 ), hosts AS (
-    SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*)::DOUBLE AS n, count(*) FILTER (WHERE bad)::DOUBLE AS bad FROM outcomes GROUP BY host
+    SELECT host, domain, suffix, count(*)::DOUBLE AS n, count(*) FILTER (WHERE bad)::DOUBLE AS bad FROM outcomes JOIN named USING (host) GROUP BY ALL
 ), domains AS (
     SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix
 ), suffixes AS (
     SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
 ), {_level("l1", "suffixes", "suffix", "", "")}, {_level("l2", "domains", "domain", "l1", "suffix")}, {_level("l3", "hosts", "host", "l2", "domain")},
-bad AS (
-    SELECT host FROM l3 WHERE a / (a + b) - {BOUND} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {LIMIT}
+bounds AS (
+    SELECT n.host, l3.a AS a3, l3.b AS b3, l2.m AS m2, l2.m * (1 - l2.m) / (l2.a + l2.b + 1) AS v2, l1.m AS m1, l1.m * (1 - l1.m) / (l1.a + l1.b + 1) AS v1, l2_k.strength AS s2, l3_k.strength AS s3
+    FROM named n CROSS JOIN l2_k CROSS JOIN l3_k LEFT JOIN l3 ON l3.host = n.host LEFT JOIN l2 ON l2.domain = n.domain LEFT JOIN l1 ON l1.suffix = n.suffix
+), bad AS (
+    SELECT host FROM (SELECT *, v1 + (m1 * (1 - m1) - v1) / (s2 + 1) AS w1 FROM bounds)
+    WHERE coalesce(a3 / (a3 + b3) - {BOUND} * sqrt(a3 * b3 / ((a3 + b3) * (a3 + b3) * (a3 + b3 + 1))), m2 - {BOUND} * sqrt(v2 + (m2 * (1 - m2) - v2) / (s3 + 1)), m1 - {BOUND} * sqrt(w1 + (m1 * (1 - m1) - w1) / (s3 + 1))) > {LIMIT}
 ), judged AS (
     SELECT page_id, host, path, CASE {_CASES} END AS fit FROM split
 )

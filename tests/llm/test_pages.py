@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import duckdb
+
 from millrace.llm import html_extract, url_filter
 from millrace.llm.html_extract import main_text
 
@@ -103,3 +105,26 @@ def test_articles_of_made_pages(spark):
         rows.append((i, page, "\n".join(x.replace("&amp;", "&") for x in own)))
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(i, "u", p) for i, p, _ in rows], "page_id long, url string, html string")).collect()}
     assert got == {i: t for i, _, t in rows}
+
+
+def test_registered_domains(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.example.com", "com", "10.0.0.1:80", "a.b.c.de", "shop.example.com.au:8080", "co.com", ""]
+    domain, suffix = url_filter._levels(url_filter.F.col("h"))
+    got = [tuple(r) for r in spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, h string").orderBy("i").select(domain, suffix).collect()]
+    assert got == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"), ("com", "com"), ("10.0.0.1", ""), ("c.de", "de"), ("example.com.au", "com.au"), ("co.com", "com"), ("", "")]
+
+
+def test_url_oracle_with_unlabelled_hosts(spark, tmp_path):
+    rnd = random.Random(2)
+    hosts = [f"h{i}.d{i % 9}.{['com', 'co.uk', 'de', 'bad'][i % 4]}" for i in range(60)]
+    pages = [(i, f"https://{rnd.choice(hosts)}/p{i}") for i in range(900)]
+    labels = [(i, 1, int(rnd.random() < 0.1 + 0.8 * (i % 5 == 0 or u.split("/")[2].endswith(".bad")))) for i, u in pages if i % 4]
+    labels = [(i, q, t) for i, q, t in labels if int(pages[i][1].split("/")[2].split(".")[0][1:]) % 3]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    db = duckdb.connect()
+    for t in ("pages", "labels"):
+        db.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    made = db.sql(url_filter.ORACLE_SQL)
+    got = [tuple(r[c] for c in made.columns) for r in url_filter.op10_url_filter(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, made.fetchall())) and {r[-1] for r in got} == {"allow", "block"}
