@@ -1,4 +1,5 @@
 import base64
+import functools
 import hashlib
 import random
 import re
@@ -449,6 +450,7 @@ def brute_matches(docs, items):
     letter = r"0-9A-Za-z\u0080-\U0010FFFF"
     units = set(decontaminate.UNITS.split("|"))
 
+    @functools.cache
     def tokens(t):
         t = regex.sub(rf"(?<![{letter}])\p{{Lu}}[{letter}]*(?: \p{{Lu}}[{letter}]*)*", lambda m: "<N>" + m[0].replace(" ", "·") + "<E>", t)
         out, after = [], False
@@ -622,3 +624,44 @@ def test_png_filters_and_errors():
         with pytest.raises(ValueError):
             media.read_png(bad)
     assert media.read_pngs([]) == []
+
+
+def brute_language(rows, learn_from, top=400, sample=1500):
+    """{doc_id: (language, score)} by out-of-place distance, in plain Python; for at most ``sample`` texts of a language."""
+    from collections import Counter
+
+    def ranked(texts):
+        counts = Counter()
+        for t in texts:
+            padded = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {t.lower()} "))
+            counts.update(c for c in padded if c != " ")
+            counts.update(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], sum(ord(c) << 21 * (len(x[0]) - 1 - i) for i, c in enumerate(x[0]))))][:top]
+
+    by = {}
+    for t, lang in learn_from:
+        if t is not None and lang is not None:
+            by.setdefault(lang, set()).add(t)
+    assert all(len(x) <= sample for x in by.values())
+    profiles = {lang: {g: i for i, g in enumerate(ranked(x))} for lang, x in by.items()}
+    out = {}
+    for d, t in rows:
+        own = ranked([t or ""]) if any(c.isalpha() for c in t or "") else []
+        far = {lang: sum(abs(p[g] - i) if g in p else top for i, g in enumerate(own)) for lang, p in sorted(profiles.items())}
+        best = min(far, key=far.get) if own and far else "und"
+        out[d] = (best, 1 - far[best] / (top * len(own)) if own and far else 0.0)
+    return out
+
+
+def test_language_id_against_brute_force(spark, hostile):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").unionAll(hostile.where("doc_id is not null and length(text) < 5000").dropDuplicates(["doc_id"]).selectExpr("doc_id + 10000 as doc_id", "text", "lang"))
+    rows = [tuple(r) for r in docs.collect()]
+    want = brute_language([r[:2] for r in rows], [r[1:] for r in rows])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, language_id.learn(docs)).collect()}
+    assert {d: x[0] for d, x in got.items()} == {d: x[0] for d, x in want.items()}
+    assert all(abs(got[d][1] - x[1]) < 1e-9 for d, x in want.items())
+
+
+@pytest.mark.parametrize("run", [lambda d: bpe.decode(bpe.encode(d, *bpe.public_vocabulary()), bpe.public_vocabulary()[0]), lambda d: decontaminate.matches(d, d.selectExpr("doc_id as item_id", "text")), lambda d: decontaminate.decontaminate(d, d.selectExpr("doc_id as item_id", "text"))])
+def test_more_empty_tables(empty, run):
+    assert run(empty).collect() == []

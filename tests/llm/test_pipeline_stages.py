@@ -1,6 +1,12 @@
+import os
+import sys
+
 import corpus_pipeline
 from millrace.llm import base, bpe, decontaminate, jaccard_join, language_id, line_dedup
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from test_documents import brute_components, brute_language, brute_line_dedup, brute_matches  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -38,3 +44,22 @@ def test_empty_and_null_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             current = base.save(stage(spark, current, SF))
         assert [r.doc_id for r in current.collect() if r.doc_id != 2] == []
+
+
+def test_run_against_brute_force(spark):
+    """Five stages in plain Python, over whole tables, beside run()."""
+    import tiktoken
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    named = brute_language([r[:2] for r in docs], [r[1:] for r in docs])
+    text = {d: t for d, t, _ in docs if named[d][0] != "und"}
+    kept = dict(brute_line_dedup(list(text.items())))
+    text = {d: kept[d] for d, t in text.items() if kept[d] == t or kept[d].strip(" ")}
+    best, _ = brute_components(list(text.items()))
+    text = {d: t for d, t in text.items() if best[d] == d}
+    hit = {d for d, _ in brute_matches(list(text.items()), [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()])}
+    path, pattern = bpe.public_vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    want = {d: (named[d][0], enc.encode_ordinary(t)) for d, t in text.items() if d not in hit}
+    assert {r.doc_id: (r.lang, list(r.ids)) for r in corpus_pipeline.run(spark, SF).collect()} == want
+    assert hit and len(want) < len(text) < len(docs)
