@@ -64,10 +64,10 @@ def _hashes(rows: DataFrame) -> DataFrame:
 
 
 def _windows(width: int, lane: str) -> Column:
-    """array<struct<hash, at>> over every place of ``lit`` or ``tpl``; empty for a null lane."""
+    """The hashes of the windows at every place of ``lit`` or ``tpl``; empty for a null lane."""
     size = F.size(lane)
     starts = F.when(size >= width, F.sequence(F.lit(0), size - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit(width), F.lit(lane), *[F.get(lane, i + k) for k in range(width)]).alias("hash"), i.alias("at")))
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(width), F.lit(lane), *[F.get(lane, i + k) for k in range(width)]))
 
 
 def _slots(at: Column, width: Column) -> Column:
@@ -92,21 +92,29 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         short = [r["n"] for r in items.where(size.between(1 if lane == "lit" else LEAST, RUN - 1)).select(size.alias("n")).distinct().collect()]  # below RUN values
         widths[lane] = [WINDOW, *(n for n in short if n != WINDOW)]
         for width, some in [(WINDOW, size >= RUN), *((n, size == n) for n in short)]:
-            part = items.where(some).select("item_id", size.alias("n"), "tok", F.inline(_windows(width, lane)))
-            slots = _slots(F.col("at"), F.lit(width)) if lane == "tpl" else F.array().cast("array<string>")
-            part = part.select("hash", "item_id", "n", F.lit(width).alias("width"), F.lit(lane).alias("lane"), F.col("at").alias("item_at"), slots.alias("item_slots"))
+            part = items.where(some).select("item_id", size.alias("n"), "tok", F.posexplode(_windows(width, lane)).alias("item_at", "hash"))
+            slots = _slots(F.col("item_at"), F.lit(width)) if lane == "tpl" else F.array().cast("array<string>")
+            part = part.select("hash", "item_id", "n", F.lit(width).alias("width"), F.lit(lane).alias("lane"), "item_at", slots.alias("item_slots"))
             part = part.where(F.size("item_slots") <= width - LITERAL) if lane == "tpl" else part
             index = part if index is None else index.unionAll(part)
     index = base.save(index)
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("copy"), "text")
-    every = F.concat(*[_windows(w, lane) for lane in ("lit", "tpl") for w in widths[lane]])
-    found = _hashes(with_tokens(rows)).select("doc_id", "copy", F.inline(every))
-    joined = base.save(found.join(F.broadcast(index) if index.count() <= BROADCAST else index, "hash").drop("hash"))
+    kinds = [(lane, w) for lane in ("lit", "tpl") for w in widths[lane]]
+    sizes = [F.coalesce(F.size(lane), F.lit(-1)).alias(f"n_{lane}") for lane in ("lit", "tpl")]
+    found = _hashes(with_tokens(rows)).select("doc_id", "copy", *sizes, F.posexplode(F.concat(*[_windows(*k[::-1]) for k in kinds])).alias("pos", "hash"))
+    joined = found.join(F.broadcast(index) if index.count() <= BROADCAST else index, "hash")
+    at, before = F.lit(None).cast("int"), F.lit(0)  # the place in its lane, behind the windows of the kinds before
+    for lane, w in kinds:
+        at = F.when((F.col("lane") == lane) & (F.col("width") == w), F.col("pos") - before).otherwise(at)
+        before = before + F.greatest(F.col(f"n_{lane}") - w + 1, F.lit(0))
+    joined = base.save(joined.withColumn("at", at).drop("hash", "pos", "n_lit", "n_tpl"))
     place = ("item_id", "lane", "n", "width", "item_at")
     filled = joined.where(F.size("item_slots") > 0)
     # the values of the few documents that meet a template, at the places where they do
-    wanted = filled.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("at", "width")).alias("want"))
-    again = with_tokens(rows.dropDuplicates(["doc_id", "copy"]).join(wanted, ["doc_id", "copy"]))
+    wanted = base.save(filled.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("at", "width")).alias("want")))
+    places = wanted.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0]
+    few = rows.join(F.broadcast(wanted) if places <= BROADCAST else wanted, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
+    again = with_tokens(few)
     values = again.select("doc_id", "copy", F.inline(F.transform("want", lambda x: F.struct(x["at"].alias("at"), x["width"].alias("width"), _slots(x["at"], x["width"]).alias("slots")))))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     varied = filled.join(values, ["doc_id", "copy", "at", "width"]).select("doc_id", "copy", *place, shift, "slots", "item_slots")
