@@ -29,7 +29,7 @@ from .components import components
 
 WORDS, SHARE, EXTRA, WHOLE = 5, 75, 15, 96
 #: Members and shingles of a region that one task joins; pivots of a local step and of a distributed round, at most.
-MEMBERS, SHINGLES, PIVOTS, BLOCK = 2_000, 1 << 20, 16, 64
+MEMBERS, SHINGLES, PIVOTS, BLOCK = 6_000, 3 << 20, 16, 64
 #: Share of a region that its cells have at most; slack for distances as floats.
 SHRINK, TINY = 0.8, 1e-9
 _SETS = "doc_id long, n long, f1 long, f2 long, shingles binary, common array<long>"
