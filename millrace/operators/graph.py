@@ -25,7 +25,7 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> D
     return known
 
 
-def ancestors(tree: DataFrame, node: str, parent: str, max_depth: int = 100) -> DataFrame:
+def ancestors(tree: DataFrame, node: str, parent: str, max_depth: int | None = None) -> DataFrame:
     """node, ancestor, depth (0: itself) for all nodes of a parent table; a root is its own parent or has none."""
     edges = tree.where(F.col(parent).isNotNull() & (F.col(node) != F.col(parent))).select(F.col(node).alias("src"), F.col(parent).alias("dst"))
     return reach(tree.select(F.col(node).alias("seed")), edges, max_depth).select(F.col("seed").alias("node"), F.col("node").alias("ancestor"), "depth")

@@ -158,7 +158,9 @@ def expression_matrix(hits: DataFrame, lengths: DataFrame, subject: str, experim
         counts = counts.join(total, experiment).join(lengths, subject).withColumn("v", F.col("hits") * 1e9 / (F.col("length") * F.col("total")))
     else:
         counts = counts.withColumn("v", F.col("hits"))
-    names = [r[0] for r in hits.select(experiment).distinct().orderBy(experiment).limit(10_000).collect()]
+    names = [r[0] for r in hits.select(experiment).distinct().orderBy(experiment).limit(10_001).collect()]  # each becomes a column: their number is a plan's size
+    if len(names) > 10_000:
+        raise ValueError("more than 10000 experiments can't become columns")
     return counts.groupBy(subject).pivot(experiment, names).agg(F.max("v")).fillna(0)
 
 

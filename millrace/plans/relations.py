@@ -32,9 +32,9 @@ def _split(text: str, sep: str) -> list[str]:
 
 
 class Traversal:
-    """``relations``: name -> DataFrame, or a list of them (several stores, their union)."""
+    """``relations``: name -> DataFrame, or a list of them (several stores, their union); a jump beyond ``max_steps`` is an error."""
 
-    def __init__(self, spark: SparkSession, relations: Mapping[str, DataFrame | list[DataFrame]], max_steps: int = 100):
+    def __init__(self, spark: SparkSession, relations: Mapping[str, DataFrame | list[DataFrame]], max_steps: int | None = None):
         self.spark, self.relations, self.max_steps = spark, relations, max_steps
 
     def relation(self, name: str) -> DataFrame:
@@ -186,7 +186,11 @@ class Traversal:
         v, x = args[0][2], self.value(args[1][2])
         inner = [c for c in self.rows.columns if c.startswith(f"{name}.")]
         seen = frontier = materialize(self.rows)
-        for _ in range(self.max_steps):
+        step = 0
+        while True:
+            step += 1
+            if self.max_steps is not None and step > self.max_steps:
+                raise PlanError(f"a jump of more than {self.max_steps} steps")
             going = frontier.where(F.col(f"`{v}`") != x if negate else F.col(f"`{v}`") == x).withColumn("_to", F.col(f"`{v}`")).drop(*inner)
             nxt = going.join(self.labelled(df, name), F.col("_to") == F.col(f"`{name}.{key}`")).drop("_to").select(*[F.col(f"`{c}`") for c in self.rows.columns])
             frontier = materialize(nxt.subtract(seen))

@@ -102,10 +102,10 @@ for _k, _agg in ((0, "arg_min(v, o)"), (1, "arg_max(v, o)"), (2, "string_agg(v,
     _cells = ", ".join(f"coalesce((SELECT {_agg} FROM e WHERE e.u = k.u AND e.c = '{c}'), '-') AS {c}" for c in ("click", "purchase"))
     register(
         f"cmd_dictionary_pivot_{('first', 'last', 'list')[_k]}",
-        f"""WITH e AS (SELECT user_id::VARCHAR AS u, event_type AS c, event_id::VARCHAR AS v, event_id AS o FROM events WHERE user_id < 60 AND event_type IN ('click', 'purchase')),
+        f"""WITH e AS (SELECT user_id::VARCHAR AS u, event_type AS c, event_id::VARCHAR AS v, event_id AS o FROM events WHERE event_type IN ('click', 'purchase')),
             k AS (SELECT DISTINCT u FROM e) SELECT u AS user_id, {_cells} FROM k""",
         "events",
-        [stage("filter", formula="$user_id < 60 && $event_type == 'click' | 'purchase'"), stage("dictionaryTable", rowSet=["user_id"], colSet=["event_type"], valSet=["event_id"], option=_k, defaultMissing="-")],
+        [stage("filter", formula="$event_type == 'click' | 'purchase'"), stage("dictionaryTable", rowSet=["user_id"], colSet=["event_type"], valSet=["event_id"], option=_k, defaultMissing="-")],
         order=["event_id"],
     )
 
@@ -115,11 +115,11 @@ register(
     "orders", [stage("data-trending", period=["o_orderdate"], periodAsDate=True, groupBy=["o_orderstatus"])],
 )
 
-@query("cmd_add_missing_rows_dense", """WITH p AS (SELECT DISTINCT user_id AS x FROM events WHERE user_id % 7 = 0 AND user_id < 200), q AS (SELECT x, lead(x) OVER (ORDER BY x) AS y FROM p)
-       SELECT x AS user_id, 'old' AS kind FROM p UNION ALL SELECT unnest(range(x + 1, y, 1)), 'new' FROM q WHERE y - x > 1""")
+@query("cmd_add_missing_rows_dense", """WITH p AS (SELECT DISTINCT floor(o_totalprice / 10)::BIGINT AS x FROM orders), q AS (SELECT x, lead(x) OVER (ORDER BY x) AS y FROM p)
+       SELECT x AS price, 'old' AS kind FROM p UNION ALL SELECT unnest(range(x + 1, y, 1)), 'new' FROM q WHERE y - x > 1""")
 def _(t: Sources) -> DataFrame:
-    users = t["events"].where("user_id % 7 = 0 and user_id < 200").select("user_id").distinct().withColumn("kind", F.lit("old"))
-    return commands.add_missing_rows(Table.of(users, ["user_id"]), {"abscissa": {"col": "user_id", "dense": True, "maxGap": 1}, "add": [{"col": "kind", "value": "new"}]}).result()
+    prices = t["orders"].select(F.floor(F.col("o_totalprice") / 10).cast("bigint").alias("price")).distinct().withColumn("kind", F.lit("old"))
+    return commands.add_missing_rows(Table.of(prices, ["price"]), {"abscissa": {"col": "price", "dense": True, "maxGap": 1}, "add": [{"col": "kind", "value": "new"}]}).result()
 
 
 @query(

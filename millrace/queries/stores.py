@@ -52,9 +52,9 @@ def _(t: Sources) -> DataFrame:
     return k.csv(k.alloftype("customer", {"segment": "^BUILDING$"}), ["name", "nation.name"], 3, 15)
 
 
-@query("obj_allusedby_recursive", "SELECT 'nation.' || c_nationkey AS obj_id, 1 AS depth FROM customer WHERE c_custkey < 20 UNION SELECT 'region.' || n_regionkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey < 20")
+@query("obj_allusedby_recursive", "SELECT 'nation.' || c_nationkey AS obj_id, 1 AS depth FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT 'region.' || n_regionkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING'")
 def _(t: Sources) -> DataFrame:
-    ids = t["customer"].where("c_custkey < 20").select(F.concat(F.lit("customer."), F.col("c_custkey").cast("string")).alias("obj_id"))
+    ids = t["customer"].where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("customer."), F.col("c_custkey").cast("string")).alias("obj_id"))
     return catalog(t).allusedby(ids, ["nation", "region"])
 
 
@@ -340,11 +340,11 @@ def _(t: Sources) -> DataFrame:
 
 @query(
     "dom_codon_table",
-    "SELECT codon, n FROM (SELECT sum(p_size)::BIGINT AS \"AAA\", sum(p_partkey % 7)::BIGINT AS \"ACG\" FROM part WHERE p_partkey % 3 = 1) UNPIVOT (n FOR codon IN (\"AAA\", \"ACG\"))",
+    "SELECT codon, n FROM (SELECT sum(p_size)::BIGINT AS \"AAA\", sum(p_partkey % 7)::BIGINT AS \"ACG\" FROM part) UNPIVOT (n FOR codon IN (\"AAA\", \"ACG\"))",
 )
 def _(t: Sources) -> DataFrame:
     usage = t["part"].select(F.col("p_partkey").alias("taxid"), F.col("p_size").cast("bigint").alias("AAA"), (F.col("p_partkey") % 7).alias("ACG"))
-    out = annotations.codon_table(usage, t["part"].where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("taxid")))
+    out = annotations.codon_table(usage, t["part"].select(F.col("p_partkey").alias("taxid")))
     return out
 
 
@@ -359,9 +359,9 @@ def _(t: Sources) -> DataFrame:
     return annotations.id_types(annotations.search(a, "brand#1", ("type",)))
 
 
-@query("sql_log_read", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup') AND user_id % 46 = 3 AND value >= 5 ORDER BY event_id DESC")
+@query("sql_log_read", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup') AND value >= 5 ORDER BY event_id DESC")
 def _(t: Sources) -> DataFrame:
-    return t["events"].where("event_type in ('error', 'signup') and user_id % 46 = 3 and value >= 5").orderBy(F.desc("event_id")).select("event_id", "event_type")
+    return t["events"].where("event_type in ('error', 'signup') and value >= 5").orderBy(F.desc("event_id")).select("event_id", "event_type")
 
 
 @query("sql_group_progress", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5) GROUP BY 1")
