@@ -111,9 +111,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     place = ("item_id", "lane", "n", "width", "item_at")
     filled = joined.where(F.size("item_slots") > 0)
     # the values of the few documents that meet a template, at the places where they do
-    wanted = base.save(filled.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("at", "width")).alias("want")))
-    places = wanted.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0]
-    few = rows.join(F.broadcast(wanted) if places <= BROADCAST else wanted, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
+    wanted = filled.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("at", "width")).alias("want"))
+    few = rows.join(wanted, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
     again = with_tokens(few)
     values = again.select("doc_id", "copy", F.inline(F.transform("want", lambda x: F.struct(x["at"].alias("at"), x["width"].alias("width"), _slots(x["at"], x["width"]).alias("slots")))))
     shift = (F.col("at") - F.col("item_at")).alias("shift")

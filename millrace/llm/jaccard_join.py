@@ -297,7 +297,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE,
     stats = base.save(rows.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("s")))
     big = (F.col("k") > members) | (F.col("s") > shingles)
     total, n_big = stats.agg(F.coalesce(F.sum("s"), F.lit(0)), F.count_if(big)).first()
-    buckets = max(12, int(total) // (1 << 20) + 1)
+    buckets = max(12, int(total) // (1 << 18) + 1)
 
     def joined(df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(buckets))).groupBy("bucket").applyInArrow(_local(share), "id long, component long")
@@ -308,6 +308,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE,
         edges = joined(reduce(DataFrame.unionAll, cells)).select(F.col("id").alias("u"), F.col("component").alias("v"))
         found = found.unionAll(components(reduce(DataFrame.unionAll, links, edges)))
     named = base.save(classes.join(found, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("part")))
+    storage.drop(classes, reps, regions, rows, stats)
     # equal sets are one class; a hot one is split by AQE
     placed = alive.select("doc_id", "row", "n", "f1", "f2").join(named, ["n", "f1", "f2"]).select("doc_id", "row", "n", "part")
     placed = base.save(placed.unionAll(sets.where(F.col("shingles").isNull()).select("doc_id", "row", "n", F.col("row").alias("part"))))

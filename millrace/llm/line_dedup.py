@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from . import base
 
 LEAD, MIN_DOCS = 2, 5
@@ -98,7 +99,9 @@ def recurring(docs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS) -> Dat
     counted = _among(pairs, shared, "template").join(near, "copy", "left").groupBy("template")
     n = F.count("*") - F.count("near") + F.coalesce(F.max("near"), F.lit(0))
     last = base.save(counted.agg(n.alias("n")).where(F.col("n") >= min_docs).select("template"))
-    return _among(made, last, "template").select("v").distinct()
+    found = base.save(_among(made, last, "template").select("v").distinct())
+    storage.drop(texts, alone, made, pairs, shared, wide, last)
+    return found
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -111,7 +114,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, carry: tuple[str,
     docs, text = docs.select("doc_id", "text", *carry), F.col("text")
     copy = F.xxhash64(text)
     trees = base.save(docs.select("doc_id", copy.alias("copy"), paths_of(text).alias("l")))
-    found = base.save(recurring(docs, trees, min_docs))
+    found = recurring(docs, trees, min_docs)
     marked = _among(trees.select("copy", F.explode(F.array_distinct(F.transform("l", lambda x: x["v"]))).alias("v")), found, "v")
     gone = marked.groupBy("copy").agg(F.collect_set("v").alias("gone"))  # the lines of one text
     both = docs.withColumn("_copy", copy).join(gone.withColumnRenamed("copy", "_copy"), "_copy", "left")
