@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from millrace.llm import base, bpe, decontaminate, jaccard_join, language_id, line_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Ids of dropped documents that are broadcast at most (8 bytes each); beyond, both sides meet by id.
+BROADCAST = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group; rows with a null doc_id stay."""
     found = base.save(jaccard_join.jaccard_components(docs))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = base.save(found.where("doc_id <> component_id").select("doc_id").distinct())
+    few = F.broadcast(gone) if gone.count() <= BROADCAST else gone
+    return docs.select(*COLUMNS).join(few, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
