@@ -112,7 +112,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     filled = joined.where(F.size("item_slots") > 0)
     # the values of the few documents that meet a template, at the places where they do
     wanted = filled.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("at", "width")).alias("want"))
-    few = rows.join(wanted, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
+    few = rows.dropDuplicates(["doc_id", "copy"]).join(wanted, ["doc_id", "copy"])  # one shuffle of the texts, at every size
     again = with_tokens(few)
     values = again.select("doc_id", "copy", F.inline(F.transform("want", lambda x: F.struct(x["at"].alias("at"), x["width"].alias("width"), _slots(x["at"], x["width"]).alias("slots")))))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
