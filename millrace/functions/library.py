@@ -463,6 +463,37 @@ def _irand(c: Compiler, a: list) -> Typed:
     return Typed(F.floor(low + F.rand() * (high - low)).cast("bigint"), "bigint")
 
 
+# JSON
+
+
+@function("jsonprint")
+def _jsonprint(c: Compiler, a: list) -> Typed:
+    """Any value as JSON text; null is the text null."""
+    x = a[0]
+    if x.dtype.startswith(("array", "map", "struct")):
+        return Typed(F.coalesce(F.to_json(x.col), F.lit("null")), "string")
+    listed = F.to_json(F.array(x.col if x.dtype != "void" else F.lit(None).cast("string")))
+    return Typed(F.substr(listed, F.lit(2), F.length(listed) - 2), "string")
+
+
+@function("jsonget")
+def _jsonget(c: Compiler, a: list) -> Typed:
+    """jsonget(text, "$.a[0].b"): the value at a constant path as text; null where there is none or the text is no JSON."""
+    return Typed(F.get_json_object(to_text(a[0]), str(a[1].const)), "string")
+
+
+@function("jsonlist")
+def _jsonlist(c: Compiler, a: list) -> Typed:
+    """A JSON list as a list of texts (inner lists and objects as JSON); null if the text is no list."""
+    return Typed(F.from_json(to_text(a[0]), "array<string>"), "array<string>")
+
+
+@function("jsondic")
+def _jsondic(c: Compiler, a: list) -> Typed:
+    """A JSON object as a dictionary of texts; null if the text is no object."""
+    return Typed(F.from_json(to_text(a[0]), "map<string,string>"), "map<string,string>")
+
+
 @function("clust")
 def _clust(c: Compiler, a: list) -> Typed:
     """list.clust({activity | distance, distalgo, clustalgo}): the rows' tree in Newick form.

@@ -182,15 +182,20 @@ def collapse_with_stat(t: Table, arg: dict) -> Table:
     if arg.get("formula") or arg.get("formulas"):
         fs = arg.get("formulas") or [arg["formula"]]
         t = sort_table(t, [Compiler(t).formula(str(f)) for f in fs])
-    out = t.columns()
-    for level in range(1, len(keys) + 1):
-        w = Window.partitionBy(*[t.col(k) for k in keys[:level]])
-        for i, name in enumerate(t.names):
-            if i not in keys and V.is_number(t.types[i]):
-                x = t.col(i).cast("double")
-                pair = F.format_string("%s±%s", F.format_string("%.6g", F.avg(x).over(w)), F.format_string("%.6g", F.stddev_pop(x).over(w)))
-                out.append((f"{name} {level}", F.when(F.count(x).over(w) > 0, pair)))
-    return t.with_columns(out)
+    df, out = t.df, [(n, F.col(f"c{i}")) for i, n in enumerate(t.names)]
+    numeric = [i for i in range(len(t.names)) if i not in keys and V.is_number(t.types[i])]
+    for level in range(1, len(keys) + 1 if numeric else 1):
+        # aggregated before they meet the rows: a key of few values would put a window of the whole table into few tasks
+        aggs = []
+        for i in numeric:
+            x = F.col(f"c{i}").cast("double")
+            pair = F.format_string("%s±%s", F.format_string("%.6g", F.avg(x)), F.format_string("%.6g", F.stddev_pop(x)))
+            aggs.append(F.when(F.count(x) > 0, pair).alias(f"_s{level}_{i}"))
+            out.append((f"{t.names[i]} {level}", F.col(f"_s{level}_{i}")))
+        found = t.df.groupBy(*[F.col(f"c{k}").alias(f"_g{level}_{k}") for k in keys[:level]]).agg(*aggs)
+        same = [F.col(f"c{k}").eqNullSafe(F.col(f"_g{level}_{k}")) for k in keys[:level]]
+        df = df.join(found, reduce(lambda a, b: a & b, same), "left")
+    return Table(df.select(*[c.alias(f"c{i}") for i, (_, c) in enumerate(out)], ROW), tuple(n for n, _ in out), t.dense)
 
 
 def collapse_rollup(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -27,14 +27,21 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: t
     return joined.where((F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le)) & (F.col("_bin") == first)).drop("_bin")
 
 
-def islands(df: DataFrame, keys: list[str], position: str, gap: int = 1, value: Column | None = None) -> DataFrame:
-    """Runs of positions at most ``gap`` apart: keys, run_start, run_end, n, mean of ``value``, gap_before."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    before = F.lag(position).over(w)
-    marked = df.withColumn("_new", F.when(F.col(position) - before <= gap, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    mean = [F.avg(value).alias("mean_value")] if value is not None else []
-    runs = marked.groupBy(*keys, "_run").agg(F.min(position).alias("run_start"), F.max(position).alias("run_end"), F.count("*").alias("n"), *mean)
-    return runs.withColumn("gap_before", F.col("run_start") - F.lag("run_end").over(Window.partitionBy(*keys).orderBy("run_start")) - 1).drop("_run")
+def islands(df: DataFrame, keys: list[str], position: str, gap: int = 1, value: Column | None = None, width: int = 1 << 16) -> DataFrame:
+    """Runs of positions at most ``gap`` apart: keys, run_start, run_end, n, mean of ``value``, gap_before.
+
+    Runs are found in bins of ``width`` positions and then joined over the bins' runs, so no task holds all positions of a key.
+    """
+    runs = df.withColumn("_bin", F.floor(F.col(position) / F.lit(width))).withColumn("_v", (value if value is not None else F.lit(None)).cast("double"))
+    runs = runs.select(*keys, "_bin", F.col(position).alias("run_start"), F.col(position).alias("run_end"), F.lit(1).cast("bigint").alias("n"), F.col("_v").alias("_sum"), F.when(F.col("_v").isNotNull(), 1).otherwise(0).alias("_cnt"))
+    for part in ([*keys, "_bin"], keys):
+        w = Window.partitionBy(*part).orderBy("run_start")
+        apart = F.col("run_start") - F.lag("run_end").over(w)
+        marked = runs.withColumn("_new", F.when(apart <= gap, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        runs = marked.groupBy(*part, "_run").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.sum("n").alias("n"), F.sum("_sum").alias("_sum"), F.sum("_cnt").alias("_cnt"))
+    mean = [F.call_function("try_divide", F.col("_sum"), F.col("_cnt")).alias("mean_value")] if value is not None else []
+    before = F.lag("run_end").over(Window.partitionBy(*keys).orderBy("run_start"))
+    return runs.select(*keys, "run_start", "run_end", "n", *mean, (F.col("run_start") - before - 1).alias("gap_before"))
 
 
 def stacked(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

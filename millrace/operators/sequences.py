@@ -236,23 +236,73 @@ def contigs(profile: DataFrame, min_cover: int = 1, max_gap: int = 10) -> DataFr
 
 def with_zeros(profile: DataFrame, lengths: DataFrame) -> DataFrame:
     """Every position 1..length of each subject (sub, length); absent counts are 0."""
-    every = lengths.select("sub", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("length").cast("bigint"))).alias("pos"))
+    every = lengths.where("length > 0").select("sub", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("length").cast("bigint"))).alias("pos"))
     return every.join(profile, ["sub", "pos"], "left").fillna(0)
 
 
+def gap_windows(profile: DataFrame, lengths: DataFrame, window: int = 30, threshold: int = 1, min_length: int = 10, width: int = 1 << 16) -> DataFrame:
+    """Stretches with and without cover over every position of the subjects (sub, length) of a profile (sub, pos, count_total).
+
+    A stretch begins at the first position and, from position ``window`` + 1 on, wherever the sum of the last ``window``
+    covers comes to lie over or under ``window * threshold``.  Rows: sub, run_start, run_end, length, covered (its own sum
+    is above ``threshold`` a position), mean_cover (whole, at least 1 if covered), counted (``min_length`` or longer).
+    Positions are dealt to bins of ``width`` with the ``window`` positions before them; a subject's stretches join over bins.
+    """
+    if width <= window:
+        raise ValueError("bins are wider than the window")
+    i, home = F.col("pos") - 1, F.floor((F.col("pos") - 1) / F.lit(width))
+    cells = with_zeros(profile.select("sub", "pos", "count_total"), lengths)
+    dealt = cells.withColumn("_bin", F.explode(F.when(i % width >= width - window, F.array(home, home + 1)).otherwise(F.array(home))))
+    w = Window.partitionBy("sub", "_bin").orderBy("pos")
+    state = dealt.withColumn("_on", F.sum("count_total").over(w.rowsBetween(1 - window, 0)) > window * threshold)
+    begins = (F.col("_bin") == home) & ((i == 0) | ((i >= window) & (F.col("_on") != F.lag("_on").over(w))))
+    parts = state.withColumn("_k", F.when(begins, 1).otherwise(0)).withColumn("_k", F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_bin") == home)
+    parts = parts.groupBy("sub", "_bin", "_k").agg(F.min("pos").alias("run_start"), F.max("pos").alias("run_end"), F.sum("count_total").alias("_sum"))
+    opened = F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(Window.partitionBy("sub").orderBy("run_start").rowsBetween(Window.unboundedPreceding, 0))
+    runs = parts.withColumn("_run", opened).groupBy("sub", "_run").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.sum("_sum").alias("cover"))
+    length = F.col("run_end") - F.col("run_start") + 1
+    covered = F.col("cover") > F.greatest(length, F.lit(window)) * threshold
+    mean = F.floor(F.col("cover") / length)
+    return runs.select("sub", "run_start", "run_end", length.alias("length"), "cover", covered.alias("covered"), F.when(covered, F.greatest(mean, F.lit(1).cast("bigint"))).otherwise(mean).alias("mean_cover"), (length >= min_length).alias("counted"))
+
+
+def gap_summary(stretches: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Per subject contigs, gaps, their lengths and mean covers over the counted stretches, and the share of the subject in contigs."""
+    on = F.col("counted") & F.col("covered")
+    off = F.col("counted") & ~F.col("covered")
+    total = lambda test, c: F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0)).cast("bigint")
+    mean = lambda c, n: F.coalesce(F.call_function("try_divide", F.col(c).cast("double"), F.col(n)), F.lit(0.0))
+    sums = stretches.groupBy("sub").agg(F.count_if(on).alias("contigs"), F.count_if(off).alias("gaps"), total(on, "length").alias("contig_length"), total(off, "length").alias("gap_length"), total(on, "cover").alias("_c"), total(off, "cover").alias("_g"))
+    out = sums.join(lengths.select("sub", F.col("length").alias("_l")), "sub")
+    return out.select("sub", "contigs", "gaps", "contig_length", "gap_length", mean("_c", "contig_length").alias("contig_cover"), mean("_g", "gap_length").alias("gap_cover"), (F.col("contig_length") * 100.0 / F.col("_l")).alias("contig_pct"))
+
+
 def annotate(positions: DataFrame, annotations: DataFrame, width: int = 1000) -> DataFrame:
     """Positions (sub, pos, ...) with the annotations (sub, start, end, id, type) that hold them."""
     p = positions.withColumn("_e", F.col("pos"))
     return range_join(p, annotations, ["sub"], ("pos", "_e"), ("start", "end"), width).drop("_e")
 
 
+def spliced(exons: DataFrame) -> DataFrame:
+    """Exons (sub, id, strand, start, end) with ``cds_start``: how many coding letters of the same id lie before, in its own direction."""
+    w = Window.partitionBy("sub", "id").orderBy(F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start"))).rowsBetween(Window.unboundedPreceding, -1)
+    return exons.withColumn("cds_start", F.coalesce(F.sum(F.col("end") - F.col("start") + 1).over(w), F.lit(0)).cast("bigint"))
+
+
 def codon_effect(calls: DataFrame, frames: DataFrame) -> DataFrame:
-    """Calls in coding ranges (sub, start, end, id, cds): aa_pos, aa_ref, aa_sub by the standard code (forward strand)."""
+    """Calls in coding ranges (sub, start, end, id, cds): aa_pos, aa_ref, aa_sub by the standard code.
+
+    ``cds`` is the whole coding sequence in its own direction.  With a column ``strand``, ranges on ``-`` are read from
+    their end and the called letter is complemented; with ``cds_start`` (see ``spliced``) a codon may span two exons.
+    """
     hit = annotate(calls, frames)
-    off = F.col("pos") - F.col("start")
+    back = F.col("strand") == "-" if "strand" in frames.columns else F.lit(False)
+    off = F.when(back, F.col("end") - F.col("pos")).otherwise(F.col("pos") - F.col("start"))
+    off = off + F.col("cds_start") if "cds_start" in frames.columns else off
     codon = F.substr("cds", F.floor(off / 3).cast("int") * 3 + 1, F.lit(3))
     k = (off % 3).cast("int")
-    changed = F.concat(F.substr(codon, F.lit(1), k), F.col("snp"), F.substr(codon, k + 2, F.lit(3)))
+    letter = F.when(back, revcomp(F.col("snp"))).otherwise(F.col("snp"))
+    changed = F.concat(F.substr(codon, F.lit(1), k), letter, F.substr(codon, k + 2, F.lit(3)))
     return hit.select("sub", "pos", "snp", "id", (F.floor(off / 3) + 1).alias("aa_pos"), amino(codon).alias("aa_ref"), amino(changed).alias("aa_sub"))
 
 

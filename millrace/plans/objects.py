@@ -52,6 +52,10 @@ class Catalog:
             out = out.join(hit, "obj_id", "left_semi")
         return out
 
+    def objoftype(self, ids: DataFrame, types: str) -> DataFrame:
+        """Those of the objects that are of the types or inherit from them."""
+        return ids.join(self.alloftype(types), "obj_id", "left_semi")
+
     def objtype(self, ids: DataFrame) -> DataFrame:
         return ids.join(self.objects, "obj_id").select("obj_id", "type")
 
@@ -92,6 +96,42 @@ class Catalog:
         return out.limit(cnt) if cnt else out
 
 
+def object_search(
+    objects: DataFrame, permissions: DataFrame, groups: DataFrame, object_filter: str | None = None, fields: DataFrame | None = None, field_filter: str | None = None,
+    expired: int = 0, start: int = 0, cnt: int = 0, total: bool = False, now: Column | None = None,
+) -> DataFrame:
+    """obj_id, by descending id, of the objects that one of ``groups`` (group_id) has a row of ``permissions`` (group_id, obj_id) for.
+
+    ``object_filter`` and ``field_filter`` are SQL conditions over objects and fields.  ``expired``: 0 those that aren't,
+    1 those past ``soft_expiration`` only, 2 those past ``hard_expiration``, -1 all.  With ``total`` a column tells how
+    many rows there were before paging; it costs a count of its own.
+    """
+    at = now if now is not None else F.current_timestamp()
+    past = lambda c: F.coalesce(F.col(c) <= at, F.lit(False))
+    out = objects.where(object_filter) if object_filter else objects
+    if expired not in (-1, 0, 1, 2):
+        raise PlanError(f"no expiry mode {expired}")
+    if expired != -1:
+        soft, hard = past("soft_expiration"), past("hard_expiration")
+        out = out.where({0: ~soft & ~hard, 1: soft & ~hard, 2: hard}[expired])
+    seen = permissions.join(groups, "group_id", "left_semi").select("obj_id")
+    out = out.select("obj_id").join(seen, "obj_id", "left_semi")
+    if field_filter:
+        out = out.join(fields.where(field_filter).select("obj_id"), "obj_id", "left_semi")
+    out = out.distinct()
+    if total:
+        out = out.withColumn("total", F.lit(out.count()))
+    out = out.orderBy(F.desc("obj_id"))
+    out = out.offset(start) if start else out
+    return out.limit(cnt) if cnt else out
+
+
+def permission_sum(permissions: DataFrame, groups: DataFrame, mask: int) -> DataFrame:
+    """obj_id, perm: the sum over the groups' rows of ``permissions`` (group_id, obj_id, bits) of the bits under ``mask``."""
+    seen = permissions.join(groups, "group_id", "left_semi")
+    return seen.groupBy("obj_id").agg(F.sum(F.col("bits").bitwiseAND(mask)).cast("bigint").alias("perm"))
+
+
 def search_string(text: str, columns: list[str]) -> Column:
     """``any has x and col isnt y or z is 3`` as a predicate: has, hasnt, is, isnt, begins, ends, above, below; ``any`` is any column."""
     words, out, join, k = re.findall(r'"[^"]*"|\S+', text), None, None, 0

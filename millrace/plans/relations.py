@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import values as V
+from ..operators.ranges import range_join
 from ..storage import materialize
 from ..table import PlanError
 
@@ -32,10 +34,13 @@ def _split(text: str, sep: str) -> list[str]:
 
 
 class Traversal:
-    """``relations``: name -> DataFrame, or a list of them (several stores, their union); a jump beyond ``max_steps`` is an error."""
+    """``relations``: name -> DataFrame, or a list of them (several stores, their union); a jump beyond ``max_steps`` is an error.
 
-    def __init__(self, spark: SparkSession, relations: Mapping[str, DataFrame | list[DataFrame]], max_steps: int | None = None):
-        self.spark, self.relations, self.max_steps = spark, relations, max_steps
+    A find whose range is bound to earlier columns joins by bins of ``range_width``, about the usual length of a range.
+    """
+
+    def __init__(self, spark: SparkSession, relations: Mapping[str, DataFrame | list[DataFrame]], max_steps: int | None = None, range_width: int = 1000):
+        self.spark, self.relations, self.max_steps, self.range_width = spark, relations, max_steps, range_width
 
     def relation(self, name: str) -> DataFrame:
         if name not in self.relations:
@@ -109,6 +114,9 @@ class Traversal:
     def extend(self, label: str, name: str, args: list, search: bool) -> None:
         df = self.labelled(self.relation(name), label)
         self.finds[label] = (name, args)
+        if self.rows is not None and not search and (joined := self.overlapping(df, label, args)) is not None:
+            self.rows = joined
+            return
         tests, bound = self.test(label, args, search)
         every = None
         for t in tests:
@@ -120,6 +128,28 @@ class Traversal:
         else:
             raise PlanError(f"{label} isn't bound to an earlier label")
 
+    def overlapping(self, df: DataFrame, label: str, args: list) -> DataFrame | None:
+        """The join of a find with a range of numbers bound to earlier columns, else None; ranges that end before their start meet nothing."""
+        earlier, kinds = set(self.rows.columns), dict(df.dtypes) | dict(self.rows.dtypes)
+        for k, (col, _, text) in enumerate(args):
+            ends = text.split(":") if text[:1] not in "'\"" else []
+            if col is None or len(ends) != 2 or not set(ends) <= earlier:
+                continue
+            spans = [f"{label}.{col}_start", f"{label}.{col}_end"]
+            if all(V.is_number(kinds.get(c, "void")) for c in (*spans, *ends)):
+                break
+        else:
+            return None
+        rest = [a for j, a in enumerate(args) if j != k]
+        same = [(c, x) for c, op, x in rest if c and not c.startswith("#") and op in ("==", "=") and x in earlier]
+        left = self.rows.withColumns({"_ls": F.col(f"`{ends[0]}`"), "_le": F.col(f"`{ends[1]}`")} | {f"_k{j}": F.col(f"`{x}`") for j, (_, x) in enumerate(same)})
+        right = df.withColumns({"_rs": F.col(f"`{spans[0]}`"), "_re": F.col(f"`{spans[1]}`")} | {f"_k{j}": F.col(f"`{label}.{c}`") for j, (c, _) in enumerate(same)})
+        keys = [f"_k{j}" for j in range(len(same))]
+        out = range_join(left, right, keys, ("_ls", "_le"), ("_rs", "_re"), self.range_width).drop("_ls", "_le", "_rs", "_re", *keys)
+        for t in self.test(label, rest, False)[0]:
+            out = out.where(t)
+        return out
+
     def do_find(self, label: str, name: str, args: list, negate: bool) -> None:
         self.extend(label, name, args, False)
 
@@ -173,7 +203,12 @@ class Traversal:
         *keys, value = [a[2] for a in args]
         self.rows = self.rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.array_sort(F.collect_set(F.col(f"`{value}`"))).alias(f"{label}.values"))
 
-    do_ddict = do_dict
+    def do_ddict(self, label: str, name: str | None, args: list, negate: bool) -> None:
+        """ddict.d(key, ..., inner, value): ``d.values``, a map from each inner key to its distinct values; null inner keys are left out."""
+        *keys, inner, value = [F.col(f"`{a[2]}`") for a in args]
+        each = self.rows.where(inner.isNotNull()).groupBy(*keys, inner.alias("_inner")).agg(F.array_sort(F.collect_set(value)).alias("_values"))
+        made = F.map_from_entries(F.array_sort(F.collect_list(F.struct("_inner", "_values")))).alias(f"{label}.values")
+        self.rows = each.groupBy(*keys).agg(made)
 
     def do_jump(self, label: str, name: str, args: list, negate: bool) -> None:
         """jump!.L(v, x): repeats label L's find with its bound key taken from v, until v is x; jump.L(v, x): while v is x.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import annotations, graph, ranges, sequences
-from ..plans.objects import Catalog
+from ..operators import annotations, graph, keyed, ranges, sequences
+from ..plans.objects import Catalog, object_search, permission_sum
 from ..plans.relations import Traversal
 from ..streaming import events
 from .registry import Sources, query
@@ -375,3 +375,118 @@ def _(t: Sources) -> DataFrame:
 def _(t: Sources) -> DataFrame:
     paths = F.startswith("c_name", F.lit("Customer#0000001")) | (F.col("c_name") == "Customer#000000007")
     return t["customer"].where(paths).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+# searches, key joins, stretches without cover
+
+
+@query(
+    "sql_object_search",
+    """WITH o AS (SELECT o_orderkey AS obj_id, o_custkey, o_orderdate AS soft, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 365 DAY END AS hard FROM orders),
+       f AS (SELECT obj_id FROM o JOIN customer ON c_custkey = o_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND soft <= TIMESTAMP '1995-06-17' AND (hard IS NULL OR hard > TIMESTAMP '1995-06-17'))
+       SELECT obj_id, (SELECT count(*) FROM f) AS total FROM f ORDER BY obj_id DESC LIMIT 50 OFFSET 3""",
+)
+def _(t: Sources) -> DataFrame:
+    hard = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate") + F.expr("interval 365 days"))
+    objects_ = t["orders"].select(F.col("o_orderkey").alias("obj_id"), F.col("o_orderdate").alias("soft_expiration"), hard.alias("hard_expiration"))
+    at = F.lit("1995-06-17").cast("timestamp_ntz")
+    return object_search(objects_, _permissions(t), _groups(t), expired=1, start=3, cnt=50, total=True, now=at).select("obj_id", F.col("total").cast("bigint").alias("total"))
+
+
+def _permissions(t: Sources) -> DataFrame:
+    """Orders are seen by their customer's nation."""
+    o, c = t["orders"], t["customer"]
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("c_nationkey").alias("group_id"), F.col("o_orderkey").alias("obj_id"), F.col("o_custkey").alias("bits"))
+
+
+def _groups(t: Sources) -> DataFrame:
+    return t["nation"].where("n_regionkey = 1").select(F.col("n_nationkey").alias("group_id"))
+
+
+@query("sql_permission_sum", "SELECT c_custkey AS obj_id, sum(o_orderkey & 6)::BIGINT AS perm FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1")
+def _(t: Sources) -> DataFrame:
+    rows = _permissions(t).select("group_id", F.col("bits").alias("obj_id"), F.col("obj_id").alias("bits"))
+    return permission_sum(rows, _groups(t), 6)
+
+
+@query(
+    "sql_key_join",
+    """WITH o AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY 1)
+       SELECT c_custkey, c_name, k AS o_orderkey, o_orderstatus FROM customer LEFT JOIN o ON o.o_custkey = c_custkey LEFT JOIN orders ON o_orderkey = k""",
+)
+def _(t: Sources) -> DataFrame:
+    orders = t["orders"].select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    return keyed.key_join(t["customer"].select("c_custkey", "c_name"), [orders], "c_custkey")
+
+
+@query(
+    "ion_range_find_bound",
+    """WITH s AS (SELECT event_id, user_id, event_id * 3 % 1000 AS s, event_id * 3 % 1000 + event_id % 9 AS e FROM events)
+       SELECT a.event_id AS a, b.event_id AS b FROM s a JOIN s b ON a.user_id = b.user_id AND b.s <= a.e AND b.e >= a.s AND b.event_id > a.event_id""",
+)
+def _(t: Sources) -> DataFrame:
+    return relations(t).run("a=foreach.span(''); b=find.span(#range=possort, user_id==a.user_id, pos=a.pos_start:a.pos_end, event_id>a.event_id); printCSV(a.event_id, b.event_id);").toDF("a", "b")
+
+
+@query("ion_ddict", "SELECT c_nationkey, c_mktsegment, list_sort(list(DISTINCT c_custkey)) AS customers FROM customer GROUP BY 1, 2")
+def _(t: Sources) -> DataFrame:
+    out = relations(t).run("a=foreach.customer(''); ddict.d(a.c_nationkey, a.c_mktsegment, a.c_custkey); printCSV(a.c_nationkey, d.values);").toDF("c_nationkey", "values")
+    return out.select("c_nationkey", F.explode("values").alias("c_mktsegment", "customers"))
+
+
+_COVER = """p AS (SELECT o_orderstatus AS sub, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT + 1 AS pos, count(*) AS n FROM orders GROUP BY ALL), l AS (SELECT sub, max(pos) AS length FROM p GROUP BY 1),
+       z AS (SELECT x.sub, x.pos - 1 AS i, coalesce(n, 0) AS n FROM (SELECT sub, unnest(range(1, length + 1)) AS pos FROM l) x LEFT JOIN p ON p.sub = x.sub AND p.pos = x.pos),
+       s AS (SELECT *, sum(n) OVER (PARTITION BY sub ORDER BY i ROWS 29 PRECEDING) > 60 AS st FROM z), m AS (SELECT *, CASE WHEN i = 0 OR (i >= 30 AND st <> lag(st) OVER (PARTITION BY sub ORDER BY i)) THEN 1 ELSE 0 END AS b FROM s),
+       r AS (SELECT *, sum(b) OVER (PARTITION BY sub ORDER BY i) AS run FROM m), g AS (SELECT sub, min(i) + 1 AS run_start, max(i) + 1 AS run_end, count(*) AS length, sum(n)::BIGINT AS cover FROM r GROUP BY sub, run),
+       w AS (SELECT *, cover > greatest(length, 30) * 2 AS covered, length >= 10 AS counted FROM g)"""
+
+
+def _cover(t: Sources) -> tuple[DataFrame, DataFrame]:
+    """Orders a day as a profile for each status, and its length."""
+    pos = (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) + 1).cast("bigint")
+    profile = t["orders"].groupBy(F.col("o_orderstatus").alias("sub"), pos.alias("pos")).agg(F.count("*").alias("count_total"))
+    return profile, profile.groupBy("sub").agg(F.max("pos").alias("length"))
+
+
+@query("dom_gap_windows", f"WITH {_COVER} SELECT sub, run_start, run_end, length, cover, covered, CASE WHEN covered THEN greatest(cover // length, 1) ELSE cover // length END AS mean_cover, counted FROM w")
+def _(t: Sources) -> DataFrame:
+    return sequences.gap_windows(*_cover(t), threshold=2)
+
+
+@query(
+    "dom_gap_summary",
+    f"""WITH {_COVER} SELECT sub, count(*) FILTER (WHERE counted AND covered) AS contigs, count(*) FILTER (WHERE counted AND NOT covered) AS gaps, coalesce(sum(length) FILTER (WHERE counted AND covered), 0)::BIGINT AS contig_length,
+       round(coalesce(sum(length) FILTER (WHERE counted AND covered), 0) * 100.0 / any_value(l.length), 6) AS contig_pct FROM (SELECT sub, w.length, covered, counted FROM w) w JOIN l USING (sub) GROUP BY sub""".replace("sum(length)", "sum(w.length)"),
+)
+def _(t: Sources) -> DataFrame:
+    profile, lengths = _cover(t)
+    out = sequences.gap_summary(sequences.gap_windows(profile, lengths, threshold=2), lengths)
+    return out.select("sub", "contigs", "gaps", "contig_length", F.round("contig_pct", 6).alias("contig_pct"))
+
+
+_AMINO = "'FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG'[16 * (strpos('TCAG', {0}[1]) - 1) + 4 * (strpos('TCAG', {0}[2]) - 1) + strpos('TCAG', {0}[3])]"
+
+
+@query(
+    "dom_codon_effect",
+    f"""WITH r AS (SELECT id, seq, id % 2 = 1 AS back, id % 9 + 1 AS pos, 'ACGT'[id % 4 + 1] AS snp FROM ({_READS}) WHERE regexp_full_match(seq[1:9], '[ACGT]{{9}}')),
+       c AS (SELECT *, CASE WHEN back THEN reverse(translate(seq[1:9], 'ACGT', 'TGCA')) ELSE seq[1:9] END AS cds, CASE WHEN back THEN 9 - pos ELSE pos - 1 END AS k, CASE WHEN back THEN translate(snp, 'ACGT', 'TGCA') ELSE snp END AS x FROM r),
+       d AS (SELECT *, cds[k // 3 * 3 + 1 : k // 3 * 3 + 3] AS old FROM c), e AS (SELECT *, old[1 : k % 3] || x || old[k % 3 + 2 : 3] AS new FROM d)
+       SELECT id, pos::BIGINT AS pos, (k // 3 + 1)::BIGINT AS aa_pos, {_AMINO.format("old")} AS aa_ref, {_AMINO.format("new")} AS aa_sub FROM e""",
+)
+def _(t: Sources) -> DataFrame:
+    head = F.substr("seq", F.lit(1), F.lit(9))
+    reads = _reads(t).where(F.rlike(head, F.lit("^[ACGT]{9}$")))
+    back = F.col("id") % 2 == 1
+    letter = F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), (F.col("id") % 4 + 1).cast("int"))
+    calls = reads.select(F.col("id").alias("sub"), (F.col("id") % 9 + 1).alias("pos"), letter.alias("snp"))
+    frames = reads.select(F.col("id").alias("sub"), "id", F.when(back, "-").otherwise("+").alias("strand"), F.lit(1).alias("start"), F.lit(9).alias("end"), F.when(back, sequences.revcomp(head)).otherwise(head).alias("cds"))
+    return sequences.codon_effect(calls, frames).select("id", "pos", F.col("aa_pos").cast("bigint").alias("aa_pos"), "aa_ref", "aa_sub")
+
+
+@query("qlang_json", """SELECT p_partkey, '["' || p_brand || '","' || p_type || '"]' AS j, p_type AS second FROM part""")
+def _(t: Sources) -> DataFrame:
+    from ..plans.pipeline import Pipeline
+
+    stages = [{"op": "appendcol", "arg": {"name": "j", "formula": "jsonprint([$p_brand, $p_type])"}}, {"op": "appendcol", "arg": {"name": "second", "formula": "jsonlist($j)[1]"}}]
+    return Pipeline(t.spark, {"part": t["part"].select("p_partkey", "p_brand", "p_type")}).run(stages, "part").result().select("p_partkey", "j", "second")

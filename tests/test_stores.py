@@ -121,3 +121,76 @@ def test_streams(spark, tmp_path):
     assert {(r.user_id, r.n) for r in state.collect()} == {(0, 10), (1, 10)}
     assert events.sessions(df, "5 minutes").count() == 2
     assert os.path.isdir(tmp_path / "c1")
+
+
+def test_runs_join_over_bins(spark):
+    at = [1, 2, 3, 9, 10, 11, 12, 21, 40, 41]
+    df = spark.createDataFrame([("s", p, p * 1.0) for p in at] + [("t", 5, None)], "sub string, pos long, v double")
+    from pyspark.sql import functions as F
+
+    rows = lambda width: sorted(tuple(r) for r in ranges.islands(df, ["sub"], "pos", 2, F.col("v"), width).collect())
+    assert rows(10) == rows(1 << 16) == [("s", 1, 3, 3, 2.0, None), ("s", 9, 12, 4, 10.5, 5), ("s", 21, 21, 1, 21.0, 8), ("s", 40, 41, 2, 40.5, 18), ("t", 5, 5, 1, None, None)]
+
+
+def test_gap_windows_against_a_plain_loop(spark):
+    import random
+
+    rnd, window, limit = random.Random(3), 6, 2
+    cover = {s: [rnd.choice([0, 0, 5]) if (i // 25) % 2 else rnd.choice([1, 2, 3, 4]) for i in range(n)] for s, n in (("a", 130), ("b", 61), ("c", 4))}
+    want = []
+    for s, cells in cover.items():
+        on = [sum(cells[max(0, i - window + 1) : i + 1]) > window * limit for i in range(len(cells))]
+        starts = [i for i in range(len(cells)) if i == 0 or (i >= window and on[i] != on[i - 1])]
+        for a, b in zip(starts, [*starts[1:], len(cells)]):
+            total = sum(cells[a:b])
+            covered = total > max(b - a, window) * limit
+            want.append((s, a + 1, b, b - a, total, covered, max(total // (b - a), 1) if covered else total // (b - a), b - a >= 10))
+    profile = spark.createDataFrame([(s, i + 1, c) for s, cells in cover.items() for i, c in enumerate(cells) if c], "sub string, pos long, count_total long")
+    lengths = spark.createDataFrame([(s, len(c)) for s, c in cover.items()] + [("none", 0)], "sub string, length long")
+    for width in (7, 40, 1 << 16):
+        got = sequences.gap_windows(profile, lengths, window, limit, 10, width)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    with pytest.raises(ValueError):
+        sequences.gap_windows(profile, lengths, 30, 1, 10, 30)
+
+
+def test_codons_of_spliced_and_reverse_ranges(spark):
+    exons = sequences.spliced(spark.createDataFrame([("s", "f", "+", 10, 13), ("s", "f", "+", 20, 24), ("s", "r", "-", 40, 43), ("s", "r", "-", 30, 34)], "sub string, id string, strand string, start int, end int"))
+    assert {(r.id, r.start): r.cds_start for r in exons.collect()} == {("f", 10): 0, ("f", 20): 4, ("r", 40): 0, ("r", 30): 4}
+    from pyspark.sql import functions as F
+
+    frames = exons.withColumn("cds", F.lit("ATGGCCTAA"))
+    calls = spark.createDataFrame([("s", 13, "T"), ("s", 20, "A"), ("s", 40, "A"), ("s", 34, "T")], "sub string, pos int, snp string")
+    got = {(r.id, r.pos): (r.aa_pos, r.aa_ref, r.aa_sub) for r in sequences.codon_effect(calls, frames).collect()}
+    assert got == {("f", 13): (2, "A", "S"), ("f", 20): (2, "A", "D"), ("r", 40): (2, "A", "S"), ("r", 34): (2, "A", "D")}
+
+
+def test_key_join_and_search(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators.keyed import key_join
+    from millrace.plans.objects import object_search
+
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "n")], "k int, x string")
+    more = spark.createDataFrame([(1, 5, "z"), (1, 4, "q"), (3, 1, "w"), (None, 7, "m")], "k int, y int, x string")
+    got = {tuple(r) for r in key_join(base, [more], "k").collect()}
+    assert got == {(1, "z", 5), (2, None, None), (None, "m", 7)}
+    objects = spark.createDataFrame([(1, None, None), (2, 5, None), (3, 5, 6), (4, 20, 30), (4, 20, 30)], "obj_id int, soft_expiration int, hard_expiration int")
+    perms = spark.createDataFrame([(g, o) for g in (1, 2) for o in (1, 2, 3, 4)] + [(9, 4)], "group_id int, obj_id int")
+    groups = spark.createDataFrame([(1,), (2,)], "group_id int")
+    find = lambda **k: [r.obj_id for r in object_search(objects, perms, groups, now=F.lit(10), **k).collect()]
+    assert (find(), find(expired=1), find(expired=2), find(expired=-1)) == ([4, 1], [2], [3], [4, 3, 2, 1])
+    assert find(expired=-1, start=1, cnt=2) == [3, 2] and find(object_filter="obj_id < 4", expired=-1) == [3, 2, 1]
+    with pytest.raises(PlanError):
+        find(expired=5)
+
+
+def test_json_functions(spark):
+    from millrace.functions.expr import compile_formula
+
+    def value(formula):
+        return spark.range(1).select(compile_formula(formula).col.alias("v")).first()["v"]
+
+    assert value("jsonprint([1,2])") == "[1,2]" and value('jsonprint("a\\"b")') in ('"a\\"b"', '"a\\\\\\"b"') and value("jsonprint(3)") == "3" and value("jsonprint(null)") == "null"
+    assert value("jsonget('{\"a\":[1,{\"b\":\"x\"}]}', '$.a[1].b')") == "x" and value("jsonget('no', '$.a')") is None
+    assert value("jsonlist('[1,\"b\",[2]]')") == ["1", "b", "[2]"] and value("jsondic('{\"a\":1}').a") == "1"
