@@ -248,6 +248,14 @@ def parse(source: str) -> tuple:
     return Parser(source).program()
 
 
+def has_loops(source: str) -> bool:
+    """Whether a formula holds a for or while, which only a script can run."""
+    if not re.search(r"\b(for|while)\b", source):
+        return False
+    inside = lambda node: isinstance(node, (tuple, list)) and ((len(node) > 0 and node[0] == "loop") or any(map(inside, node)))
+    return inside(Parser(source, loops=True).program())
+
+
 @dataclass(frozen=True)
 class Typed:
     col: Column
@@ -330,9 +338,8 @@ class Compiler:
             elif node[0] == "return":
                 return self.run(node[1], env)
             elif node[0] == "if" and i + 1 < len(body):
-                rest = ("block", body[i + 1 :])
-                returns = lambda b: any(n[0] == "return" for n in b[1])
-                return self._if(env, node[1], node[2] if returns(node[2]) else rest, node[3] if returns(node[3]) else rest)
+                rest = body[i + 1 :]  # what follows goes on from either branch, with the names it sets
+                return self._if(env, node[1], *[("block", [*b[1], *rest]) for b in node[2:]])
             else:
                 last = self.run(node, env)
         return last

@@ -199,7 +199,7 @@ def columns_of(node: object) -> list:
     return [c for x in node for c in columns_of(x)] if isinstance(node, (tuple, list)) else []
 
 
-def script(source: str, table: Table, dtype: str = "double") -> Column:
+def script(source: str, table: Table, dtype: str = "double", constants: dict[str, object] | None = None) -> Column:
     """A column of type ``dtype`` from a formula that may loop; only the columns it names are sent to Python."""
     import pandas as pd
 
@@ -212,7 +212,7 @@ def script(source: str, table: Table, dtype: str = "double") -> Column:
 
     def one(row: dict) -> object:
         try:
-            v = Evaluator(row).run(tree, {})
+            v = Evaluator(row).run(tree, dict(constants or {}))
         except Return as r:
             v = r.value
         return shape(v)

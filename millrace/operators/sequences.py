@@ -174,11 +174,13 @@ def pileup(hits: DataFrame) -> DataFrame:
 
     ``seq`` is aligned: ``-`` is a deletion, lower case an insertion after the last position.
     """
-    cells = hits.select("sub", "sub_start", "strand", F.filter(F.split("seq", ""), lambda x: x != "").alias("_c"), F.rlike("seq", F.lit("[a-z]")).alias("_i"))
     inserted = lambda x: F.rlike(x, F.lit("[a-z]"))
-    seen = lambda i: F.size(F.filter(F.slice("_c", F.lit(1), i + 1), lambda x: ~inserted(x))) - 1
-    place = F.transform("_c", lambda x, i: F.struct((F.col("sub_start") + F.when(F.col("_i"), seen(i)).otherwise(i)).alias("pos"), x.alias("b")))
-    at = cells.select("sub", "strand", F.inline(place))
+    runs = F.regexp_extract_all("seq", F.lit("([^a-z]+|[a-z]+)"))  # aligned and inserted letters by turns
+    before = lambda k: F.aggregate(F.slice("_r", F.lit(1), k), F.lit(0), lambda n, x: n + F.when(inserted(x), 0).otherwise(F.length(x)))
+    placed = F.transform("_r", lambda x, k: F.struct((F.col("sub_start") + before(k)).alias("_at"), x.alias("_s")))
+    rows = hits.select("sub", "sub_start", "strand", runs.alias("_r")).select("sub", "strand", F.inline(placed))
+    each = rows.select("sub", "strand", "_at", "_s", F.posexplode(F.filter(F.split("_s", ""), lambda x: x != "")).alias("_i", "b"))
+    at = each.select("sub", "strand", F.when(inserted(F.col("_s")), F.col("_at") - 1).otherwise(F.col("_at") + F.col("_i")).alias("pos"), "b")
     ins = inserted(F.col("b"))
     count = lambda c: F.count_if(c)
     return at.groupBy("sub", "pos").agg(

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..functions.expr import Compiler, Typed, literal
+from ..functions.expr import Compiler, Typed, has_loops, literal
+from ..functions.script import script
 from ..table import ROW, PlanError, Table
 
 #: Commands (table -> table by argument); operators register themselves here.
@@ -256,12 +257,17 @@ class Pipeline:
     # columns
 
     def made_column(self, t: Table, arg: dict) -> Column:
-        x = self.compiler(t).formula(str(arg.get("formula", "null")))
+        source = str(arg.get("formula", "null"))
         kinds = {"int": "bigint", "uint": "bigint", "real": "double", "string": "string", "bool": "boolean", "date": "date", "datetime": "timestamp"}
+        if arg.get("type") and arg["type"] not in kinds:
+            raise PlanError(f"no type {arg['type']!r}")
+        if has_loops(source):  # loops have no column form; of the type asked for, else a number
+            dtype = kinds[arg["type"]] if arg.get("type") else "double"
+            x = Typed(script(source, t, dtype, self.constants), dtype)
+        else:
+            x = self.compiler(t).formula(source)
         c, dtype = x.col, x.dtype
         if arg.get("type"):
-            if arg["type"] not in kinds:
-                raise PlanError(f"no type {arg['type']!r}")
             dtype = kinds[arg["type"]]
             c = V.text(c, x.dtype) if dtype == "string" else c.try_cast(dtype) if not V.is_number(x.dtype) else c.cast(dtype)
         if arg.get("format"):

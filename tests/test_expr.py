@@ -61,3 +61,15 @@ def test_scripts_with_loops(spark):
     assert run("$n == null", "boolean") == [False, True, True]
     with pytest.raises(Exception, match="too long"):
         run("while(1){}")
+
+
+def test_branches_that_set_names_and_loops_in_stages(spark):
+    from millrace.plans.pipeline import Pipeline
+
+    p = Pipeline(spark, {"t": spark.createDataFrame([(1,), (3,)], "a int")})
+    stages = [
+        {"op": "predefine", "arg": {"name": "top", "value": 2}},
+        {"op": "appendcol", "arg": {"name": "b", "formula": "x = 1; if ($a > top) { x = 5; x += 1; } x * 10"}},
+        {"op": "appendcol", "arg": {"name": "c", "type": "int", "formula": "n = 0; for (i = 0; i <= $a; i++) { n += i * top; } n"}},
+    ]
+    assert [tuple(r) for r in p.run(stages, "t").result().orderBy("a").collect()] == [(1, 10, 2), (3, 60, 12)]

@@ -194,3 +194,9 @@ def test_json_functions(spark):
     assert value("jsonprint([1,2])") == "[1,2]" and value('jsonprint("a\\"b")') in ('"a\\"b"', '"a\\\\\\"b"') and value("jsonprint(3)") == "3" and value("jsonprint(null)") == "null"
     assert value("jsonget('{\"a\":[1,{\"b\":\"x\"}]}', '$.a[1].b')") == "x" and value("jsonget('no', '$.a')") is None
     assert value("jsonlist('[1,\"b\",[2]]')") == ["1", "b", "[2]"] and value("jsondic('{\"a\":1}').a") == "1"
+
+
+def test_pileup_places_insertions_after_the_last_position(spark):
+    rows = [("s", 10, "+", "acACgtG-Tc"), ("s", 10, "-", ""), ("s", 10, "-", None)]
+    got = {r.pos: (r.count_total, r.count_ins, r.count_del) for r in sequences.pileup(spark.createDataFrame(rows, "sub string, sub_start int, strand string, seq string")).collect()}
+    assert got == {9: (0, 2, 0), 10: (1, 0, 0), 11: (1, 2, 0), 12: (1, 0, 0), 13: (0, 0, 1), 14: (1, 1, 0)}
