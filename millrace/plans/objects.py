@@ -56,6 +56,10 @@ class Catalog:
         """Those of the objects that are of the types or inherit from them."""
         return ids.join(self.alloftype(types), "obj_id", "left_semi")
 
+    def objs2(self, types: str, prop: str | None = None, value: object = None, props: list[str] | None = None, start: int = 0, cnt: int = 0) -> DataFrame:
+        """A page of the objects of these types whose field ``prop`` matches ``value``, by descending id, with the fields ``props``."""
+        return self.csv(self.alloftype(types, {prop: value} if prop else None), props or [], start, cnt)
+
     def objtype(self, ids: DataFrame) -> DataFrame:
         return ids.join(self.objects, "obj_id").select("obj_id", "type")
 

@@ -69,6 +69,18 @@ def _(t: Sources) -> DataFrame:
     return k.props(k.alloftype("nation")).select("obj_id", F.array_join(F.transform(F.map_entries("props"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("props"))
 
 
+@query("obj_objs2_page", "SELECT 'customer.' || c_custkey AS obj_id, c_mktsegment AS segment FROM customer WHERE starts_with(c_name, 'Customer#0000000') ORDER BY obj_id DESC LIMIT 20 OFFSET 5")
+def _(t: Sources) -> DataFrame:
+    return catalog(t).objs2("customer", "name", "Customer#0000000+", ["segment"], 5, 20)
+
+
+@query("obj_objoftype", "SELECT 'nation.' || n_nationkey AS obj_id FROM nation WHERE n_regionkey = 2")
+def _(t: Sources) -> DataFrame:
+    k = catalog(t)
+    used = k.allthatuse(t.spark.createDataFrame([("region.2",)], "obj_id string"), ["nation", "region"], None)
+    return k.objoftype(used.select("obj_id"), "nation")
+
+
 def relations(t: Sources) -> Traversal:
     tree = t["nation"].select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
     tree = tree.unionAll(t["region"].select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.lit("root")))
