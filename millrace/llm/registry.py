@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, media, substring_dedup, url_filter
+from . import bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, media, merkle, substring_dedup, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op13_merkle": merkle.ORACLE_SQL,
 }
