@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+#: Spark's own switch (since 4.1): an execution's shuffle files go when it ends, which a written table doesn't need any more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Shuffle files of the executions inside are deleted at their end; the session's setting comes back afterwards."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, compression: str = "snappy", by: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    ``by``: a column whose values get folders of their own, so that a filter on it reads only these.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    with _shuffles_end(spark):
+        (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[path] = None
     _OF[out] = path
