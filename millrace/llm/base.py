@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def save(df: DataFrame) -> DataFrame:
+def save(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    return storage.materialize(df, "zstd")
+    return storage.materialize(df, "zstd", by)
 
 
 #: Bytes of an Arrow batch that Spark sends to Python, where the session says nothing.

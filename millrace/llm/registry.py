@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import bpe, conversation_repair, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, media, merkle, substring_dedup, url_filter
+from . import bpe, conversation_repair, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, media, merkle, pitman_yor, substring_dedup, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_lm_scoring": pitman_yor.op11_lm_scoring,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_merkle": merkle.op13_merkle,
 }
