@@ -78,6 +78,13 @@ def drop(*written: DataFrame) -> None:
             _delete(df.sparkSession, _OF.pop(df))
 
 
+def drop_part(written: DataFrame, column: str, value: str) -> None:
+    """Deletes one folder of a table that ``materialize`` wrote by ``column``; only filters on other values may follow."""
+    spark = written.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{_OF[written]}/{column}={value}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes all that ``materialize`` wrote, when no DataFrame made from it is used any more; the number of tables."""
     paths = list(_WRITTEN)
