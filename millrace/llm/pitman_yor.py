@@ -144,7 +144,10 @@ def number_words(t: pa.Table) -> pa.Table:
     parts = [np.frombuffer(r["a"], np.uint64) for r in asked]
     known, place = np.unique(np.concatenate(parts), return_inverse=True)
     counts = np.bincount(place, weights=np.concatenate([unpack(r["b"], np.int64) for r in asked]), minlength=len(known)).astype(np.int64)
-    ids = (np.uint64(mine) << _SPAN) + place.astype(np.uint64)
+    # frequent words get small numbers, which take fewer bytes where they stand
+    rank = np.empty(len(known), np.uint64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(known), dtype=np.uint64)
+    ids = (np.uint64(mine) << _SPAN) + rank[place]
     out, at = [row("total", -1, mine, counts.sum(), (counts > 0).sum()), row("rare", -1, mine, (counts == 1).sum(), (counts == 2).sum())], 0
     for r, p in zip(asked, parts):
         out.append(row("ids", r["by"], mine, a=pack(ids[at : at + len(p)]), b=pack(counts[place[at : at + len(p)]])))
