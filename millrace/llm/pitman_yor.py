@@ -358,6 +358,7 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS, burn: int = B
     of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
     asked = base.save(docs.select("doc_id", "text", (~held_out).alias("train")).mapInArrow(tokenised(n_words, chunk_bytes), ROW), "kind")
     words = base.save(step(of(asked, "ask"), number_words), "kind")
+    storage.drop_part(asked, "kind", "ask")
     total, v = sums(words, "total")
     d0 = discount(*sums(words, "rare"))
     chunks = of(asked, "tokens").unionByName(of(words, "ids"))
