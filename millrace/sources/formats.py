@@ -1,11 +1,12 @@
 """Readers and writers of tables and sequence files.
 
-Line formats are read by Spark's own text and CSV readers, so files split over executors; multi-line records are put
-together per file by their record separator.
+Line formats are read by Spark's own text and CSV readers, so files split over executors; records of several lines are put
+together from any blocks (see ``records``).
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -14,28 +15,47 @@ from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..table import ROW, Table
+from . import lattice, records
 
 GTF = "seqname string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string"
 SAM = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 BLAST = "query string, subject string, identity double, length long, mismatches long, gaps long, q_start long, q_end long, s_start long, s_end long, evalue double, bits double"
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",", quote: str = '"', comment: str | None = None, schema: str | None = None, parse_start: int = 0, parse_count: int = 0) -> DataFrame:
-    """A delimited file (.tsv and .tab: tabs).  Types are inferred from 2,000 rows at most, or given; a row window may be set."""
-    sep = "\t" if path.endswith((".tsv", ".tab")) else sep
-    options = {"header": str(header).lower(), "sep": sep, "quote": quote, "escape": quote, "multiLine": "false"}
-    if comment:
-        options["comment"] = comment
-    reader = spark.read.options(**options)
+def read_csv(
+    spark: SparkSession, path: str | list[str], header: bool = True, sep: str = ",", quote: str = '"', comment: str | None = None,
+    schema: str | None = None, sample: int = 0, parse_start: int = 0, parse_count: int = 0,
+) -> DataFrame:
+    """A delimited file, folder or list of them (.tsv and .tab: tabs), read by many tasks; a row window may be set.
+
+    A quoted field may hold newlines, wherever the file's blocks are cut.  Types come from all values (see ``lattice``), or
+    from ``schema``; with ``sample``, from that many rows, and a value that doesn't fit raises.  Every file has a header, or
+    none.  Rows keep the order of files and lines.  Cells that a row lacks are null, cells beyond the columns are left out.
+    """
+    sep = "\t" if isinstance(path, str) and path.endswith((".tsv", ".tab")) else sep
+    options = {"header": str(header).lower(), "sep": sep, "quote": quote, "escape": quote, "multiLine": "false"} | ({"comment": comment} if comment else {})
+    lines, rule = records.blocks(spark, path), records.Quoted(sep, quote, comment)
+    known, continued = records.chained(records.passed(lines, rule).collect())  # two rows a block
+    if not continued:  # every record is a line: Spark's own reader
+        names = spark.read.options(**options).csv(path).columns
+        text = spark.read.options(**options, enforceSchema="true").schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+    else:
+        rows = records.cut(lines, rule, known).withColumn("text", F.regexp_replace("text", "\r$", ""))
+        first = rows.groupBy("file").agg(F.min(F.struct("block", "k", "text")).alias("first"))
+        head = next(csv.reader(io.StringIO(first.orderBy("file").first()["first"]["text"]), delimiter=sep, quotechar=quote))
+        names = column_names(head) if header else [f"_c{i}" for i in range(len(head))]
+        if header:
+            rows = rows.join(F.broadcast(first.select("file", F.col("first.block").alias("block"), F.col("first.k").alias("k"))), ["file", "block", "k"], "left_anti")
+        parse = {k: v for k, v in options.items() if k not in ("header", "comment")} | {"maxCharsPerColumn": "-1"}
+        text = rows.orderBy("file", "block", "k").select(F.from_csv("text", _ddl(names), parse).alias("r")).select("r.*")
     if schema:
-        df = reader.schema(schema).csv(path)
+        kinds = [(f.name, f.dataType.simpleString()) for f in T._parse_datatype_string(schema).fields]
+        df = text.toDF(*[n for n, _ in kinds]).select(*[F.col(f"`{n}`").try_cast(k).alias(n) for n, k in kinds])
     else:
-        lines = spark.read.text(path).limit(2001)
-        sample = spark.createDataFrame([r["value"] for r in lines.collect()], "string").rdd.map(lambda r: r[0])
-        kinds = spark.read.options(**options, inferSchema="true").csv(sample).schema
-        df = spark.read.options(**options).schema(kinds).csv(path)
+        df = lattice.widened(text, text.limit(sample) if sample else None)
     if parse_start or parse_count:
         t = Table.of(df).numbered()
         inside = F.col(ROW) >= parse_start
@@ -43,6 +63,16 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ","
     return df
 
 
+def _ddl(names: list[str]) -> str:
+    return ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+
+
+def column_names(head: list[str]) -> list[str]:
+    """Names of a header record: an empty one is _c and its place, a repeated one gets its place."""
+    low = [n.lower() for n in head]
+    return [f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(head)]
+
+
 def read_tables(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     """Files of one shape, one after the other in natural order of their names, by position; ``input_name`` tells the file."""
     natural = sorted(paths, key=lambda p: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", p)])
@@ -82,31 +112,26 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(sep="\t", comment="#", mode="PERMISSIVE").schema(schema).csv(path).where("start is not null")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, description, seq; records are split at ``>`` by the text reader."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """id, description, seq; a record begins at a line with ``>``, whichever block it falls into."""
+    rows = records.records(spark, path, records.Headed(">"))
+    head = F.regexp_extract("text", r"^>([^\r\n]*)", 1)
+    body = F.regexp_replace(F.regexp_replace("text", r"^[^\r\n]*", ""), r"\s+", "")
     return rows.select(F.substring_index(head, " ", 1).alias("id"), F.regexp_replace(head, r"^\S*\s*", "").alias("description"), body.alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str, offset: int = 33) -> DataFrame:
-    """id, seq, qual (array of int): four lines a record, put together within each file."""
-    schema = "id string, seq string, qual array<int>"
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            for data in b["content"]:
-                lines = bytes(data).decode("ascii", "replace").splitlines()
-                for i in range(0, len(lines) - 3, 4):
-                    if lines[i].startswith("@"):
-                        out.append((lines[i][1:].split(" ")[0], lines[i + 1], [ord(c) - offset for c in lines[i + 3]]))
-            yield pd.DataFrame(out, columns=["id", "seq", "qual"])
+def read_fastq(spark: SparkSession, path: str | list[str], offset: int = 33) -> DataFrame:
+    """id, seq, qual (array of int): four lines a record, whichever blocks they fall into.
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    A record whose first line lacks ``@``, whose third lacks ``+``, or with another number of qualities than letters raises.
+    """
+    lines = F.split(F.regexp_replace("text", "\r", ""), "\n")
+    cells = records.records(spark, path, records.FourLines()).select(lines.alias("l"))
+    head, seq, plus, qual = (F.get("l", F.lit(i)) for i in range(4))
+    good = F.startswith(head, F.lit("@")) & F.startswith(plus, F.lit("+")) & (F.length(seq) == F.length(qual))
+    name = F.when(good, F.substring_index(F.substring(head, 2, 1 << 30), " ", 1)).otherwise(F.raise_error(F.concat(F.lit("not a record of four lines: "), F.coalesce(head, F.lit("")))))
+    values = F.transform(F.filter(F.split(qual, ""), lambda x: x != ""), lambda x: F.ascii(x) - offset)
+    return cells.select(name.alias("id"), seq.alias("seq"), values.alias("qual"))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
