@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import values as V
+from ..operators.index import RangeIndex, SortedRelation, indexed
 from ..operators.ranges import range_join
 from ..storage import materialize
 from ..table import PlanError
@@ -34,12 +35,12 @@ def _split(text: str, sep: str) -> list[str]:
 
 
 class Traversal:
-    """``relations``: name -> DataFrame, or a list of them (several stores, their union); a jump beyond ``max_steps`` is an error.
+    """``relations``: name -> DataFrame or written index, or a list of them (several stores, their union); a jump beyond ``max_steps`` is an error.
 
     A find whose range is bound to earlier columns joins by bins of ``range_width``, about the usual length of a range.
     """
 
-    def __init__(self, spark: SparkSession, relations: Mapping[str, DataFrame | list[DataFrame]], max_steps: int | None = None, range_width: int = 1000):
+    def __init__(self, spark: SparkSession, relations: Mapping[str, DataFrame | RangeIndex | SortedRelation | list], max_steps: int | None = None, range_width: int = 1000):
         self.spark, self.relations, self.max_steps, self.range_width = spark, relations, max_steps, range_width
 
     def relation(self, name: str) -> DataFrame:
@@ -47,11 +48,24 @@ class Traversal:
             raise PlanError(f"no relation {name!r}; there are {', '.join(self.relations)}")
         found = self.relations[name]
         if isinstance(found, list):
-            out = found[0]
+            out = indexed(found[0])
             for more in found[1:]:
-                out = out.unionByName(more)
+                out = out.unionByName(indexed(more))
             return out
-        return found
+        return indexed(found)
+
+    def picked(self, name: str, args: list) -> DataFrame:
+        """The relation for a find that isn't bound to earlier labels: an index reads only the files that can hold an answer."""
+        found = self.relations.get(name)
+        constant = {c: x for c, op, x in args if c and op in ("==", "=") and re.fullmatch(r"'[^']*'|\"[^\"]*\"|-?\d+(:-?\d+)?", x)}
+        plain = {c: x[1:-1] if x[0] in "'\"" else int(x) for c, x in constant.items() if ":" not in x or x[0] in "'\""}
+        if isinstance(found, SortedRelation) and found.by[0] in plain:
+            return found.find(plain[found.by[0]])
+        if isinstance(found, RangeIndex):
+            for c, x in constant.items():
+                if x[0] not in "'\"" and ":" in x and (f"{c}_start", f"{c}_end") == (found.start, found.end):
+                    return found.search(*map(int, x.split(":")), key=plain.get(found.keys[0]) if found.keys else None)
+        return self.relation(name)
 
     def run(self, query: str, params: dict[str, object] | None = None) -> DataFrame:
         self.params, self.rows, self.finds, self.out = params or {}, None, {}, None
@@ -112,7 +126,7 @@ class Traversal:
         return tests, bound
 
     def extend(self, label: str, name: str, args: list, search: bool) -> None:
-        df = self.labelled(self.relation(name), label)
+        df = self.labelled(self.picked(name, args) if self.rows is None and not search else self.relation(name), label)
         self.finds[label] = (name, args)
         if self.rows is not None and not search and (joined := self.overlapping(df, label, args)) is not None:
             self.rows = joined
@@ -124,6 +138,8 @@ class Traversal:
         if self.rows is None:
             self.rows = df if every is None else df.where(every)
         elif bound:
+            if not search and not any(op in ("==", "=") and ":" not in x and x in self.rows.columns for c, op, x in args if c):
+                raise PlanError(f"{label} is bound by inequalities alone, which pairs all rows; bind a range as low:high or a column by ==")
             self.rows = self.rows.join(df, every)
         else:
             raise PlanError(f"{label} isn't bound to an earlier label")
