@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ranges import islands, range_join
 
@@ -345,48 +344,10 @@ def screen(hits: DataFrame, closure: DataFrame, depth: int, cutoff: float = 0.05
 
 
 def smith_waterman(pairs: DataFrame, match: int = 5, mismatch: int = -4, gap_open: int = -12, gap_next: int = -6, band: int = 32) -> DataFrame:
-    """Adds score, s_start, s_end, q_start, q_end of the best local alignment of ``query`` and ``subject`` in a band about ``diagonal`` (affine gaps, numpy by anti-diagonal rows)."""
-    import numpy as np
-
-    def align(q: str, s: str, d: int) -> tuple[int, int, int, int, int]:
-        n = len(s)
-        neg = -(1 << 28)
-        h, e = np.zeros(n + 1, np.int64), np.full(n + 1, neg)
-        origin = np.stack([np.arange(n + 1), np.zeros(n + 1, np.int64)], 1)
-        eo, best = origin.copy(), (0, 0, 0, 0, 0)
-        sb = np.frombuffer(s.encode(), np.uint8)
-        for i, ch in enumerate(q.encode(), 1):
-            lo, hi = max(1, i + d - band), min(n, i + d + band)
-            nh, no = np.zeros(n + 1, np.int64), np.stack([np.arange(n + 1), np.full(n + 1, i)], 1)
-            f, fo = neg, (0, 0)
-            for j in range(lo, hi + 1):
-                open_e, open_f = h[j] + gap_open, nh[j - 1] + gap_open
-                if open_e > e[j] + gap_next:
-                    e[j], eo[j] = open_e, origin[j]
-                else:
-                    e[j] += gap_next
-                f, fo = (open_f, tuple(no[j - 1])) if open_f > f + gap_next else (f + gap_next, fo)
-                diag = h[j - 1] + (match if sb[j - 1] == ch else mismatch)
-                v = max(0, diag, e[j], f)
-                nh[j] = v
-                if v:
-                    no[j] = origin[j - 1] if v == diag else eo[j] if v == e[j] else fo
-                    if v > best[0]:
-                        best = (int(v), int(no[j][0]), j, int(no[j][1]), i)
-            h, origin = nh, no
-        return best
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            d = b["diagonal"] if "diagonal" in b else pd.Series(0, b.index)
-            out = [align(q or "", s or "", int(k)) for q, s, k in zip(b["query"], b["subject"], d)]
-            yield b.assign(**{c: [r[k] for r in out] for k, c in enumerate(("score", "s_start", "s_end", "q_start", "q_end"))})
-
-    added = [T.StructField(c, T.LongType()) for c in ("score", "s_start", "s_end", "q_start", "q_end")]
-    schema = T.StructType([*pairs.schema.fields, *added])
-    return pairs.mapInPandas(run, schema)
+    """Adds score, s_start, s_end, q_start, q_end of the best local alignment of ``query`` and ``subject`` in a band about ``diagonal`` (see ``alignments``)."""
+    from .alignments import local_alignments
+
+    return local_alignments(pairs, match, mismatch, gap_open, gap_next, band).drop("matches")
 
 
 def simulate_reads(subjects: DataFrame, per_subject: int, length: int, error: float = 0.01, seed: int = 1) -> DataFrame:
