@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import prefix
 from .. import values as V
 from ..functions.expr import Compiler
 from ..plans.pipeline import command, renumbered, row_set, sort_table
@@ -138,19 +139,21 @@ def add_missing_rows(t: Table, arg: dict) -> Table:
         mode = steps.groupBy("d").count().orderBy(F.desc("count"), "d").first()
         gap = max(1, 2 * mode["d"] - 1) if mode else 1
     gap = int(gap)
-    # neighbours across values only: a window over the distinct values' order
     points = df.select("_x").distinct()
     if lo is not None:
         points = points.unionAll(df.sparkSession.range(1).select(F.lit(int(lo) - gap).cast("bigint").alias("_x")))
     if hi is not None:
         points = points.unionAll(df.sparkSession.range(1).select(F.lit(int(hi) + gap).cast("bigint").alias("_x")))
-    pairs = points.select(F.col("_x").alias("a"), F.lead("_x").over(Window.orderBy("_x")).alias("b")).where(F.col("b") - F.col("a") > gap)
+    pairs = prefix.following(points.withColumnRenamed("_x", "a"), "a", "b").where(F.col("b") - F.col("a") > gap)
     first, final = F.col("a") + gap, F.col("b") - gap
     if a.get("dense"):
-        new = F.when(first < F.col("b"), F.sequence(first, F.col("b") - 1, F.lit(gap).cast("bigint")))
+        # a wide gap is filled in blocks, so that no row holds all of its values
+        block = gap * 100_000
+        begins = pairs.where(first < F.col("b")).select(F.explode(F.sequence(first, F.col("b") - 1, F.lit(block).cast("bigint"))).alias("_s"), "b")
+        made = begins.select(F.explode(F.sequence("_s", F.least(F.col("_s") + (block - gap), F.col("b") - 1), F.lit(gap).cast("bigint"))).alias("_x"))
     else:
         new = F.when(first > final, F.array().cast("array<bigint>")).when(first == final, F.array(first)).otherwise(F.array(first, final))
-    made = pairs.select(F.explode(new).alias("_x"))
+        made = pairs.select(F.explode(new).alias("_x"))
     if lo is not None:
         made = made.where(F.col("_x") >= int(lo))
     if hi is not None:

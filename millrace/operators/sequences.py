@@ -177,11 +177,13 @@ def pileup(hits: DataFrame) -> DataFrame:
     runs = F.regexp_extract_all("seq", F.lit("([^a-z]+|[a-z]+)"))  # aligned and inserted letters by turns
     before = lambda k: F.aggregate(F.slice("_r", F.lit(1), k), F.lit(0), lambda n, x: n + F.when(inserted(x), 0).otherwise(F.length(x)))
     placed = F.transform("_r", lambda x, k: F.struct((F.col("sub_start") + before(k)).alias("_at"), x.alias("_s")))
-    rows = hits.select("sub", "sub_start", "strand", runs.alias("_r")).select("sub", "strand", F.inline(placed))
-    each = rows.select("sub", "strand", "_at", "_s", F.posexplode(F.filter(F.split("_s", ""), lambda x: x != "")).alias("_i", "b"))
-    at = each.select("sub", "strand", F.when(inserted(F.col("_s")), F.col("_at") - 1).otherwise(F.col("_at") + F.col("_i")).alias("pos"), "b")
-    ins = inserted(F.col("b"))
-    count = lambda c: F.count_if(c)
+    # equal reads at one place are counted before they are taken apart
+    same = hits.groupBy("sub", "sub_start", "strand", "seq").agg(F.count("*").alias("_n"))
+    rows = same.select("sub", "sub_start", "strand", "_n", runs.alias("_r")).select("sub", "strand", "_n", F.inline(placed))
+    each = rows.select("sub", "strand", "_n", "_at", inserted(F.col("_s")).alias("_ins"), F.posexplode(F.filter(F.split("_s", ""), lambda x: x != "")).alias("_i", "b"))
+    at = each.select("sub", "strand", "_n", "_ins", F.when(F.col("_ins"), F.col("_at") - 1).otherwise(F.col("_at") + F.col("_i")).alias("pos"), "b")
+    ins = F.col("_ins")
+    count = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0)).cast("bigint")
     return at.groupBy("sub", "pos").agg(
         *[count(F.col("b") == b).alias(f"count_{b.lower()}") for b in BASES], count(ins).alias("count_ins"), count(F.col("b") == "-").alias("count_del"),
         count(~ins & (F.col("b") != "-")).alias("count_total"), count((F.col("strand") == "+") & ~ins).alias("forward"), count((F.col("strand") == "-") & ~ins).alias("reverse"),

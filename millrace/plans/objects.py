@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..operators.graph import reach
 from ..table import PlanError
 
+#: Objects of a page that are broadcast at most.
+PAGE = 10_000
+
 
 class Catalog:
     """``objects``: obj_id, type; ``fields``: obj_id, name, grp, value; ``types``: name, parent (comma list), optional."""
@@ -86,18 +89,21 @@ class Catalog:
 
     def csv(self, ids: DataFrame, columns: list[str], start: int = 0, cnt: int = 0) -> DataFrame:
         """A wide table: obj_id and a column for each field, by descending id; ``a.b`` follows the reference in a to field b."""
-        out = ids
+        out, fields = ids, self.fields
+        if cnt:  # the page first: only its objects' fields are read together
+            out = ids.orderBy(F.desc("obj_id")).offset(start).limit(cnt)
+            few = F.broadcast(out.select("obj_id")) if cnt <= PAGE else out.select("obj_id")
+            fields = fields.join(few, "obj_id", "left_semi")
         direct = [c for c in columns if "." not in c]
-        wide = self.fields.where(F.col("name").isin(direct)).groupBy("obj_id").pivot("name", direct).agg(F.min("value"))
+        wide = fields.where(F.col("name").isin(direct)).groupBy("obj_id").pivot("name", direct).agg(F.min("value"))
         out = out.join(wide, "obj_id", "left")
         for c in (c for c in columns if "." in c):
             first, second = c.split(".", 1)
-            link = self.fields.where(F.col("name") == first).select("obj_id", F.col("value").alias("_to"))
+            link = fields.where(F.col("name") == first).select("obj_id", F.col("value").alias("_to"))
             there = self.fields.where(F.col("name") == second).select(F.col("obj_id").alias("_to"), F.col("value").alias(c))
             out = out.join(link.join(there, "_to").groupBy("obj_id").agg(F.min(f"`{c}`").alias(c)), "obj_id", "left")
         out = out.select("obj_id", *[F.col(f"`{c}`") for c in columns]).orderBy(F.desc("obj_id"))
-        out = out.offset(start) if start else out
-        return out.limit(cnt) if cnt else out
+        return out.offset(start) if start and not cnt else out
 
 
 def object_search(

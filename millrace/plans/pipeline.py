@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions.expr import Compiler, Typed, has_loops, literal
 from ..functions.script import script
+from ..storage import materialize
 from ..table import ROW, PlanError, Table
 
 #: Commands (table -> table by argument); operators register themselves here.
@@ -428,11 +429,16 @@ def glue(left: tuple[Table, set[int]], lkey: Typed, right: tuple[Table, set[int]
         number, shown = (V.maybe_num(k.col, k.dtype), F.lit(None).cast("string")) if V.is_number(k.dtype) else (F.lit(None).cast("double"), V.text(k.col, k.dtype))
         key = F.concat_ws(":", F.when(number.isNotNull(), F.lit("n")).when(shown.isNotNull(), F.lit("s")).otherwise(F.lit("0")), number.cast("string"), shown)
         cols = [t.col(i).alias(f"{side}{i}") for i in range(len(t.names))]
-        df = t.df.select(*cols, F.col(ROW).alias(f"{side}row"), key.alias(f"{side}key"))
-        return df.withColumn(f"{side}n", F.row_number().over(Window.partitionBy(f"{side}key").orderBy(f"{side}row")))
-
-    ldf, rdf = keyed(lt, lkey, "l"), keyed(rt, rkey, "r").where("rn = 1")
-    both = ldf.join(rdf, (F.col("lkey") == F.col("rkey")) & (F.col("ln") == 1), "full_outer")
+        return t.df.select(*cols, F.col(ROW).alias(f"{side}row"), key.alias(f"{side}key"))
+
+    # the left rows are read twice and must keep their numbers
+    ldf, rdf = materialize(keyed(lt, lkey, "l")), keyed(rt, rkey, "r")
+    # a hot or null key is one row of an aggregate on either side; all rows then meet by their own number
+    first = ldf.groupBy("lkey").agg(F.min("lrow").alias("_first"))
+    rcols = [c for c in rdf.columns if c != "rkey"]
+    right = rdf.groupBy("rkey").agg(F.min_by(F.struct(*rcols), F.col("rrow")).alias("_r")).select("rkey", "_r.*")
+    met = first.join(right, F.col("lkey") == F.col("rkey"), "full_outer").withColumn("_first", F.coalesce("_first", -1 - F.col("rrow"))).drop("lkey", "rkey")
+    both = ldf.join(met, F.col("lrow") == F.col("_first"), "full_outer")
     cols = [(n, F.col(f"l{i}")) for i, n in enumerate(lt.names) if i not in lhide] + [(n, F.col(f"r{i}")) for i, n in enumerate(rt.names) if i not in rhide]
     df = both.select(*[c.alias(f"c{i}") for i, (_, c) in enumerate(cols)], F.coalesce("lrow", F.lit((1 << 62))).alias("_a"), F.coalesce("rrow", F.lit(0)).alias("_b"))
     return renumbered(df, tuple(n for n, _ in cols), ["_a", "_b"])

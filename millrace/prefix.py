@@ -48,3 +48,13 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     # only the key that a partition begins with can have come before: one row a partition at most
     total = [(F.col(f"_o{i}") + F.coalesce(F.col(f"_b{i}"), F.lit(0))).alias(name) for i, name in enumerate(sums)]
     return own.join(F.broadcast(carried), same, "left").select(*placed.columns, *total)
+
+
+def following(df: DataFrame, column: str, name: str, rows: int = ROWS) -> DataFrame:
+    """Adds the next larger row's ``column`` as ``name`` (null for the last), over range partitions; nulls are left out."""
+    placed = ranged(df.where(F.col(column).isNotNull()), [F.col(column)], rows)
+    firsts = [(r["p"], r["v"]) for r in placed.groupBy(F.col(PART).alias("p")).agg(F.min(column).alias("v")).orderBy("p").collect()]  # a row a partition
+    kind = dict(df.dtypes)[column]
+    after = df.sparkSession.createDataFrame([(p, v) for (p, _), (_, v) in zip(firsts, firsts[1:])], f"{PART} int, _next {kind}")
+    own = placed.withColumn("_own", F.lead(column).over(Window.partitionBy(PART).orderBy(AT)))
+    return own.join(F.broadcast(after), PART, "left").select(*df.columns, F.coalesce("_own", "_next").alias(name))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import annotations, graph, keyed, ranges, sequences
+from ..plans import procedures
 from ..plans.objects import Catalog, object_search, permission_sum
 from ..plans.relations import Traversal
 from ..streaming import events
@@ -272,12 +275,12 @@ def _(t: Sources) -> DataFrame:
 
 @query("sql_capacity", "SELECT o_orderstatus, ceil(sum(CASE WHEN o_totalprice > 100000 THEN o_totalprice END) / 1e6)::BIGINT AS millions FROM orders GROUP BY 1")
 def _(t: Sources) -> DataFrame:
-    return t["orders"].groupBy("o_orderstatus").agg(F.ceil(F.sum(F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice"))) / 1e6).cast("bigint").alias("millions"))
+    return procedures.capacity(t["orders"], "o_orderstatus", {"millions": (F.col("o_totalprice"), F.col("o_totalprice") > 100000)}, 1e6)
 
 
 @query("sql_objects_by_time", "SELECT o_orderkey FROM orders WHERE o_orderdate > '1995-01-01' AND o_orderdate <= '1995-02-01'")
 def _(t: Sources) -> DataFrame:
-    return t["orders"].where("o_orderdate > timestamp_ntz'1995-01-01' and o_orderdate <= timestamp_ntz'1995-02-01'").select("o_orderkey")
+    return procedures.by_time(t["orders"], "o_orderdate", datetime(1995, 1, 1), datetime(1995, 2, 1)).select("o_orderkey")
 
 
 @query("sql_permission_semijoin", "SELECT DISTINCT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
@@ -294,10 +297,7 @@ def _(t: Sources) -> DataFrame:
 
 @query("sql_queue_position", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS ahead FROM orders")
 def _(t: Sources) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return t["orders"].select("o_orderkey", (F.row_number().over(w) - 1).cast("bigint").alias("ahead"))
+    return procedures.queue_position(t["orders"].select("o_orderkey", "o_orderpriority", "o_orderdate"), "o_orderpriority", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "ahead")
 
 
 # events
@@ -373,20 +373,25 @@ def _(t: Sources) -> DataFrame:
 
 @query("sql_log_read", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup') AND value >= 5 ORDER BY event_id DESC")
 def _(t: Sources) -> DataFrame:
-    return t["events"].where("event_type in ('error', 'signup') and value >= 5").orderBy(F.desc("event_id")).select("event_id", "event_type")
+    return procedures.log_read(t["events"], "event_id", "value", 5, {"event_type": ["error", "signup"]}).select("event_id", "event_type")
 
 
 @query("sql_group_progress", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5) GROUP BY 1")
 def _(t: Sources) -> DataFrame:
-    group = t["customer"].where("c_nationkey = 5")
-    o = t["orders"]
-    return o.join(group, o["o_custkey"] == group["c_custkey"], "left_semi").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
+    found = procedures.group_progress(t["orders"], t["customer"].where("c_nationkey = 5"), ("o_custkey", "c_custkey"), "o_orderstatus", ["o_totalprice"])
+    return found.select("o_orderstatus", "n", F.round("o_totalprice", 2).alias("amount"))
 
 
 @query("sql_usage_by_path", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE starts_with(c_name, 'Customer#0000001') OR c_name = 'Customer#000000007' GROUP BY 1")
 def _(t: Sources) -> DataFrame:
-    paths = F.startswith("c_name", F.lit("Customer#0000001")) | (F.col("c_name") == "Customer#000000007")
-    return t["customer"].where(paths).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+    found = procedures.usage_by_path(t["customer"], "c_name", ["Customer#0000001*", "Customer#000000007"], "c_mktsegment", ["c_acctbal"])
+    return found.select("c_mktsegment", "n", F.round("c_acctbal", 2).alias("total"))
+
+
+@query("sql_free_page", "SELECT c_nationkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY 1 LIMIT 10 OFFSET 5")
+def _(t: Sources) -> DataFrame:
+    text = "SELECT c_nationkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders_ JOIN customer_ ON c_custkey = o_custkey WHERE o_orderstatus = :status GROUP BY 1 ORDER BY 1"
+    return procedures.sql_page(t.spark, {"orders_": t["orders"], "customer_": t["customer"]}, text, 5, 10, {"status": "F"})
 
 
 # searches, key joins, stretches without cover
