@@ -25,6 +25,10 @@ JOINED, ENDED = "\u00b7", "\ue003"
 LETTER = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 
 
+#: Ids of dropped documents that are broadcast at most (8 bytes each); beyond, both sides meet by id.
+DROPPED = 1_000_000
+
+
 def with_tokens(rows: DataFrame) -> DataFrame:
     """Puts ``tok`` in place of ``text``: its words, lower-cased; ``num0``, ``nam0`` and ``uni0`` stand before numbers, names and units.
 
@@ -126,7 +130,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) whose doc_id matches no item; rows with a null doc_id stay."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = base.save(matches(docs, benchmark).select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= DROPPED else gone, "doc_id", "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
