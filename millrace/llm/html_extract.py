@@ -5,7 +5,8 @@ link share and length gives each label's cost; the costs are terminal capacities
 and neighbours in page order and siblings of one parent are joined by smoothness edges, strong ones where both are the
 same kind of element.  A maximum flow gives the cheapest labelling: blocks on the source side are the main text.  Where a
 container says plainly what a block is (an article, a menu), its cost outweighs all edges; doubtful blocks (short ones
-outside an article, paragraphs with a suspicious class) go with their neighbours.
+outside an article, paragraphs with a suspicious class, boxes whose name has a listed word beside a subject) go with
+their neighbours.
 """
 
 from __future__ import annotations
@@ -38,16 +39,45 @@ TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li td th dt dd tr tabl
 BAD_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer form gdpr header masthead menu modal nav navbar navigation navigationbar newsletter notice notification overlay pagination popup promo promoted promotion reader-comments related replies reply search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget complementary replylist responses".split()
 )
+#: Of these, the ones that also name subjects: as a part of a name ("share-price", "related-work") they say little alone.
+SUBJECTS = frozenset("ad ads banner comment comments complementary form header menu modal navigation notice notification overlay promotion related replies reply responses search share sharing social sponsor subscription toolbar widget".split())
+#: Parts of names that say where or how a box stands, not what it is about, and words that are boilerplate beside one.
+PLACES = frozenset("area bar block bottom box btn button buttons col column container content count footer global group header icon icons inner item items left link links list main media outer page panel post posts reader right row section site slot small sticky text top unit user wrap wrapper".split())
+#: Names of outer boxes without a listed word.
+OUTER = frozenset("colophon foot leftcol masthead rail rightcol sidecol skyscraper topbar".split())
+#: A sentence: its end, in a block of at least SENTENCE characters.
+ENDS, SENTENCE = re.compile(r"[.!?:;](?=[\s\"'\u201d)\]]|$)|[\u3002\uff01\uff1f]"), 40
 GOOD_TAGS = frozenset(("article", "main"))
 #: Weights of the classifier, in units of the flow (whole numbers keep the flow exact).
 IN_GOOD, IN_BAD, WEAK, IN_HEADER, LINKS, OUTSIDE, LENGTH = 900, -2400, -400, -700, -500, -350, 60
+#: A block without a sentence in a box whose name is doubtful.
+UNSAID = -900
 #: Edges between neighbours and siblings: the same kind of element under one parent, another kind, another parent.
 SAME, OTHER, APART, SIBLING = 300, 60, 30, 90
 CLOSES_P = frozenset("p div ul ol dl table section article aside nav header footer form h1 h2 h3 h4 h5 h6 pre blockquote hr main figure fieldset".split())
 
 
+def named(value: str) -> tuple[bool, bool]:
+    """Whether a class, id or role (lower case) names boilerplate, and whether it may.
+
+    A whole name of the list does.  A compound does if one of its parts never names a subject, or if its parts are all
+    listed words, places and numbers ("share-buttons", "ad-3"); else a listed part only makes it doubtful.
+    """
+    names = value.split()
+    if not BAD_WORDS.isdisjoint(names) or not OUTER.isdisjoint(names):
+        return True, True
+    weak = False
+    for name in names:
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        listed = [x for x in parts if x in BAD_WORDS or x in OUTER]
+        if listed and (not SUBJECTS.issuperset(listed) or all(x in BAD_WORDS or x in PLACES or x.isdigit() for x in parts)):
+            return True, True
+        weak = weak or bool(listed)
+    return False, weak
+
+
 class Element:
-    __slots__ = ("tag", "bad", "weak", "good", "header", "parent", "last")
+    __slots__ = ("tag", "bad", "weak", "doubtful", "good", "header", "parent", "last")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent, self.last = tag, parent, -1
@@ -58,11 +88,13 @@ class Element:
                 if key == "hidden" or key == "aria-hidden" and value == "true":
                     bad = True
                 elif tag not in ("body", "html", "article", "main"):
-                    bad = bad or not BAD_WORDS.isdisjoint(value.split())
-                    weak = weak or not BAD_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value))
-        plain = tag in TEXT_TAGS
-        self.bad = bad or weak and not plain or bool(parent and parent.bad)
-        self.weak = weak and plain or bool(parent and parent.weak)
+                    surely, maybe = named(value)
+                    if tag in TEXT_TAGS:  # a whole word only
+                        surely = not BAD_WORDS.isdisjoint(value.split())
+                    bad, weak = bad or surely, weak or maybe
+        self.bad = bad or bool(parent and parent.bad)
+        self.weak = weak or bool(parent and parent.weak)
+        self.doubtful = weak and tag not in TEXT_TAGS or bool(parent and parent.doubtful)
         self.good = tag in GOOD_TAGS or bool(parent and parent.good)
         self.header = tag == "header" or bool(parent and parent.header)
 
@@ -171,6 +203,8 @@ def score(b: Block, has_good: bool) -> int:
         return s + IN_BAD
     if e.weak:
         s += WEAK
+    if e.doubtful and (b.linked * 2 > n or n < SENTENCE or not ENDS.search(b.text)):
+        s += UNSAID
     if e.header and not (e.good and e.tag == "h1"):
         s += IN_HEADER * (1 if has_good and not e.good else 2)
     if e.good:

@@ -28,6 +28,25 @@ def test_figures_and_formulas_stay():
     assert main_text(page) == "A long first paragraph of the article goes here.\ncode of the figure\nIts caption\nSo x=2 holds."
 
 
+def test_names_of_subjects_in_an_article():
+    said = "This whole paragraph belongs to the article and tells of {} at some length."
+    first = "A long first paragraph of the article goes here."
+    boxes = ['div class="share-price"', 'section class="related-work"', 'div id="search-algorithms"', 'section class="form-and-structure"', 'div class="header-image"', 'div class="comment-on-the-law"']
+    inner = "".join(f"<{b}><p>{said.format(i)}</p></{b.split()[0]}>" for i, b in enumerate(boxes))
+    assert main_text(f"<body><article><p>{first}</p>{inner}</article></body>") == "\n".join([first, *(said.format(i) for i in range(len(boxes)))])
+    around = ['div class="share-buttons"', 'div class="ad-3"', 'div id="newsletter-cta"', 'div class="cookie_notice wide"', 'section class="site-footer"', 'div class="reader-comments"', 'ul class="related-posts"', 'div class="comment-list"']
+    noise = "".join(f"<{b}><p>{said.format(i)}</p></{b.split()[0]}>" for i, b in enumerate(around))
+    assert main_text(f"<body><article><p>{first}</p>{noise}<p>End.</p></article></body>") == f"{first}\nEnd."
+    # a doubtful box without a sentence goes, its sentences stay
+    assert main_text(f'<article><p>{first}</p><div class="share-price"><ul><li><a href="/">More</a></li></ul></div></article>') == first
+
+
+def test_outer_boxes_without_an_article():
+    long = "A long paragraph of the story, which goes on and on for the whole line and some more words."
+    page = f'<body><div><p>{long}</p><p>{long}</p></div><div class="rightcol"><p>{long}</p></div><div class="site-foot"><p>{long}</p></div></body>'
+    assert main_text(page) == f"{long}\n{long}"
+
+
 def test_minimum_cut_is_minimal():
     rnd = random.Random(4)
     for _ in range(60):
