@@ -114,18 +114,27 @@ class PieceIds(dict):
         return ids
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", into: str = "ids", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def text_of(ids: np.ndarray, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", into: str = "ids", size: int = CHUNK, overlap: int = OVERLAP, decoded: str | None = None) -> DataFrame:
     """Adds ``into`` (array of int) to all columns of ``docs``; it replaces a column of that name.
 
+    With ``decoded``, a column of that name (binary) holds the bytes that ``decode`` gives for the ids, made in the same
+    pass: one worker a task instead of two.
+
     No special tokens: their strings are ordinary text.  A null or empty text has no ids.  Every row is encoded by
     itself, so ties, copies and repeated rows need nothing.
     """
-    keep = [c for c in docs.columns if c != into]
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False), False)])
+    keep = [c for c in docs.columns if c not in (into, decoded)]
+    back = [T.StructField(decoded, T.BinaryType(), False)] if decoded else []
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False), False), *back])
 
     @base.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pat = PieceIds(load_ranks(path)), regex.compile(pattern)
+        tokens = load_tokens(path) if decoded else {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -135,7 +144,10 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", into:
                     flat.append(ids)
                     offsets.append(offsets[-1] + len(ids))
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat or [np.empty(0, np.int32)])))
-                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], ids], names=[*keep, into])
+                made = {into: ids}
+                if decoded:
+                    made[decoded] = pa.array([text_of(x, tokens) for x in flat], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], *made.values()], names=[*keep, *made])
 
     base.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
@@ -154,7 +166,7 @@ def decode(rows: DataFrame, path: str, column: str = "ids", into: str = "decoded
                 batch = whole.slice(at, 1000)
                 out = []
                 for ids in batch.column(batch.schema.get_field_index(column)):
-                    out.append(b"".join(map(tokens.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else None)
+                    out.append(text_of(ids.values.to_numpy(), tokens) if ids.is_valid else None)
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(out, pa.binary())], names=[*keep, into])
 
     base.small_batches(rows.sparkSession)

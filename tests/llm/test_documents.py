@@ -157,6 +157,8 @@ def test_bpe_stitching_and_merges(spark, hostile):
 
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     rows = bpe.decode(bpe.encode(hostile.select("doc_id", "text", F.lit(3).alias("ids"), F.lit("x").alias("decoded")), path, pattern, size=500, overlap=50), path).collect()
+    once = bpe.encode(hostile.select("doc_id", "text", F.lit(3).alias("ids"), F.lit("x").alias("decoded")), path, pattern, size=500, overlap=50, decoded="decoded").collect()
+    assert sorted(map(repr, once)) == sorted(map(repr, rows))  # both in one pass
     for r in rows:
         assert list(r.ids) == enc.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert base64.b64encode(b"x") and bpe.merge(b"", ranks) == ()
