@@ -49,10 +49,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids and n_tokens; every text is decoded again and must come back whole."""
     path, pattern = bpe.public_vocabulary()
-    ids = bpe.encode(docs.select(*COLUMNS), path, pattern)
+    both = bpe.encode(docs.select(*COLUMNS), path, pattern, decoded="decoded")
     whole = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     checked = F.when(whole, F.col("ids")).otherwise(F.raise_error(F.lit("decoding did not give the text back")))
-    return bpe.decode(ids, path).select("doc_id", "lang", "source", checked.alias("ids"), F.size("ids").cast("long").alias("n_tokens"))
+    return both.select("doc_id", "lang", "source", checked.alias("ids"), F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [
