@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .. import prefix
 from .. import values as V
 from ..functions.expr import Compiler
-from ..plans.pipeline import command, renumbered, row_set, sort_table
+from ..plans.pipeline import command, renumbered, row_set, sort_table, transpose
 from ..table import ROW, PlanError, Table
 
 #: Values a pivot spreads into columns at most.
@@ -380,33 +380,112 @@ def survival_steps(rows: DataFrame) -> DataFrame:
     return start.unionAll(out)
 
 
+_READING = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+
+
+def _reading(t: Table, i: int) -> tuple[Column, Column]:
+    """Value and deviation of a cell like ``5.2 +/- 0.3``; null where it has none."""
+    c = V.text(t.col(i), t.types[i])
+    value, deviation = (F.regexp_extract(c, p, 1).try_cast("double") for p in (rf"^\s*({_READING})", rf"\+/-\s*({_READING})"))
+    return value, deviation
+
+
+def _turned(t: Table) -> Table:
+    """Rows as columns, named by the first column; columns of numbers alone become doubles."""
+    wide = transpose(t)
+    body = range(1, len(wide.names))
+    if not body:
+        return wide
+    odd = wide.df.agg(*[F.count_if(wide.col(i).isNotNull() & wide.col(i).try_cast("double").isNull()).alias(f"o{i}") for i in body]).first()
+    numbers = [(wide.names[i], wide.col(i) if odd[f"o{i}"] else wide.col(i).try_cast("double")) for i in body]
+    return wide.with_columns([wide.columns()[0], *numbers])
+
+
+def _shown(df: DataFrame, order: list[Column], names: list[str]) -> Table:
+    """``df`` in the order of its columns c0, c1, ... under ``names``, without the first."""
+    out = renumbered(df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]), tuple(df.columns), order)
+    return out.with_columns([(n, out.col(i + 1)) for i, n in enumerate(names)])
+
+
 @command("pearsonCorr")
 def pearson(t: Table, arg: dict) -> Table:
-    """Pairs of columns of colSet1 and colSet2: r, slope, intercept, n.
-
-    Sums run over rows where both are numbers; the means are each column's own over all its numbers.  No variance: 0.
+    """Pairs of columns of colSet1 and colSet2: x, y, r, slope, intercept, n and, with cellHasStdev, confidence.
+
+    Sums run over rows where both are numbers; the means are each column's own over all its numbers, and over all rows,
+    empty cells as 0, with imputeZeroForEmptyCellColSet1 or 2 (strict_reference: the latter is ignored).  No variance: 0.
+    ``output``: pairs; matrix, a row for each column of colSet1 with its r to those of colSet2 (1 to itself); best, each
+    pair of different columns once, by falling absolute r.  doTranspose correlates rows, named by the first column.
+    Cells with a deviation (``5.2 +/- 0.3``) give a confidence: the fitted rise from the least to the largest x by
+    twice the sum of y's deviations there (ties: the first row), null where one is missing.  An empty table gives r 0.
     """
-    cols1 = [i for i in t.indexes(arg.get("colSet1")) if V.is_number(t.types[i])]
-    cols2 = [i for i in t.indexes(arg.get("colSet2", arg.get("colSet1"))) if V.is_number(t.types[i])]
+    spread, strict, output = bool(arg.get("cellHasStdev")), bool(arg.get("strict_reference")), arg.get("output", "pairs")
+    if output not in ("pairs", "matrix", "best"):
+        raise PlanError(f"no output {output!r}; there are pairs, matrix and best")
     used = _rows(t, arg.get("rowSet"))
-    x = {i: _number(used, i) for i in {*cols1, *cols2}}
-    means = used.df.agg(*[F.avg(c).alias(f"m{i}") for i, c in x.items()]).first()
+    if arg.get("doTranspose"):
+        used = transpose(used) if spread else _turned(used)
+    first = list(range(1, len(used.names))) if spread else None
+    columns = lambda spec: [i for i in used.indexes(first if spec is None else spec) if spread or V.is_number(used.types[i])]
+    cols1, cols2 = columns(arg.get("colSet1")), columns(arg.get("colSet2", arg.get("colSet1")))
+    if not cols1 or not cols2:
+        raise PlanError("no columns of numbers to correlate")
+    read = {i: _reading(used, i) if spread else (_number(used, i), None) for i in {*cols1, *cols2}}
+    means = used.df.agg(F.count("*").alias("rows"), *[a for i, (c, _) in read.items() for a in (F.avg(c).alias(f"m{i}"), F.sum(c).alias(f"s{i}"))]).first()
+    own = lambda i, impute: ((means[f"s{i}"] or 0.0) / max(means["rows"], 1) if impute else means[f"m{i}"]) or 0.0
+    mean1 = {i: own(i, arg.get("imputeZeroForEmptyCellColSet1")) for i in cols1}
+    mean2 = {j: own(j, arg.get("imputeZeroForEmptyCellColSet2") and not strict) for j in cols2}
     aggs = []
     for i in cols1:
         for j in cols2:
-            both = x[i].isNotNull() & x[j].isNotNull()
-            a, b = x[i] - F.lit(means[f"m{i}"]), x[j] - F.lit(means[f"m{j}"])
+            (x, _), (y, dev) = read[i], read[j]
+            both = x.isNotNull() & y.isNotNull()
+            a, b = x - F.lit(mean1[i]), y - F.lit(mean2[j])
             aggs += [F.sum(F.when(both, a * b)).alias(f"ab{i}_{j}"), F.sum(F.when(both, a * a)).alias(f"aa{i}_{j}"), F.sum(F.when(both, b * b)).alias(f"bb{i}_{j}"), F.count_if(both).alias(f"n{i}_{j}")]
-    sums = used.df.agg(*aggs)
-    pairs = []
+            if spread:
+                ends = F.min(F.when(both, F.struct(x.alias("x"), F.col(ROW), dev.alias("d")))), F.min(F.when(both, F.struct((-x).alias("x"), F.col(ROW), dev.alias("d"))))
+                aggs += [c.alias(f"{n}{i}_{j}") for n, c in zip(("lo", "hi"), ends)]
+    sums, found = used.df.agg(*aggs), {}
     for i in cols1:
         for j in cols2:
             ab, aa, bb = (F.col(f"{s}{i}_{j}") for s in ("ab", "aa", "bb"))
             flat = (F.coalesce(aa, F.lit(0.0)) == 0) | (F.coalesce(bb, F.lit(0.0)) == 0)
-            r = F.when(flat, 0.0).otherwise(F.call_function("try_divide", ab, F.sqrt(aa * bb)))
+            r = F.when(flat, 0.0).otherwise(F.call_function("try_divide", ab, F.sqrt(aa) * F.sqrt(bb)))
             slope = F.when(flat, 0.0).otherwise(F.call_function("try_divide", ab, aa))
-            pairs.append(F.struct(F.lit(t.names[i]).alias("x"), F.lit(t.names[j]).alias("y"), r.alias("r"), slope.alias("slope"), (F.lit(means[f"m{j}"]) - slope * F.lit(means[f"m{i}"])).alias("intercept"), F.col(f"n{i}_{j}").alias("n")))
-    return _table(sums.select(F.inline(F.array(*pairs))), ["x", "y"])
+            fields = [F.lit(used.names[i]).alias("x"), F.lit(used.names[j]).alias("y"), r.alias("r"), slope.alias("slope"), (F.lit(mean2[j]) - slope * F.lit(mean1[i])).alias("intercept"), F.col(f"n{i}_{j}").alias("n")]
+            if spread:
+                lo, hi = F.col(f"lo{i}_{j}"), F.col(f"hi{i}_{j}")
+                fields.append(F.call_function("try_divide", F.abs(slope * (-hi["x"] - lo["x"])), 2 * (lo["d"] + hi["d"])).alias("confidence"))
+            found[i, j] = r, fields
+    if output == "matrix":
+        lines = [F.struct(F.lit(k).alias("pos"), F.lit(used.names[i]).alias("x"), *[(F.lit(1.0) if i == j else found[i, j][0]).alias(f"v{n}") for n, j in enumerate(cols2)]) for k, i in enumerate(cols1)]
+        return _shown(sums.select(F.inline(F.array(*lines))), [F.col("c0")], ["column", *[used.names[j] for j in cols2]])
+    if output == "pairs":
+        return _table(sums.select(F.inline(F.array(*[F.struct(*fields) for _, fields in found.values()]))), ["x", "y"])
+    wide = len(cols1) >= len(cols2)
+    once = [found[i, j][1] for a, i in enumerate(cols1) for b, j in enumerate(cols2) if i != j and (a >= b if wide else a <= b)]
+    if not once:
+        raise PlanError("no two different columns to correlate")
+    names = ["x", "y", "r", "slope", "intercept", "n", *(["confidence"] if spread else [])]
+    lines = [F.struct(F.lit(k).alias("pos"), *fields) for k, fields in enumerate(once)]
+    return _shown(sums.select(F.inline(F.array(*lines))), [F.desc(F.abs("c3")), F.col("c0")], names)
+
+
+def _category_means(t: Table, cats: list[int], used: list[int], strict: bool) -> Table:
+    """Cells of ``used`` that are missing or over two deviations from the mean of their row's category become that mean.
+
+    Rows meet an aggregate of their category, so one that holds most rows is no group of rows anywhere.
+    """
+    keys = [F.coalesce(V.text(t.col(i), t.types[i]), F.lit("")).alias(f"_k{i}") for i in cats]
+    x = {i: _number(t, i) for i in used}
+    aggs = [a for i in used for a in (F.avg(x[i]).alias(f"_m{i}"), (F.sqrt(F.sum(x[i] * x[i])) if strict else F.stddev_pop(x[i])).alias(f"_s{i}"))]
+    by = t.df.groupBy(*keys).agg(*aggs)
+    both = Table(t.df.select("*", *keys).join(by, [f"_k{i}" for i in cats]), t.names)
+    cols = both.columns()
+    for i in used:
+        v, m, s = _number(both, i), F.col(f"_m{i}"), F.col(f"_s{i}")
+        far = F.abs(v) > F.abs(m - 2 * s) if strict else F.abs(v - m) > 2 * s
+        cols[i] = (t.names[i], F.when(v.isNull() | far, m).otherwise(v))
+    return both.with_columns(cols)
 
 
 @command("dataCalib")
@@ -414,8 +493,16 @@ def data_calib(t: Table, arg: dict) -> Table:
     """Merges columns of one name (redundencyWay 1 mean, 2 median), replaces outliers beyond sigmaOutliers deviations by
     the mean, subtracts the baseline of calibrationCols, normalises (1 share of the sum, 2 by the root of squares, 3 min-max).
 
+    ``translate`` turns rows into columns first, so that rows of one name merge.  With categoryCols nothing else is done
+    than replacing missing cells and outliers of calibrationCols (all columns of numbers) by the mean of their category.
     strict_reference: outlier deviation sqrt(sum of squares), and normalising sums run on from column to column.
     """
+    if arg.get("translate"):
+        t = _turned(t)
+    if arg.get("categoryCols"):
+        cats = t.indexes(arg["categoryCols"])
+        used = [i for i in t.indexes(arg.get("calibrationCols")) if V.is_number(t.types[i]) and i not in cats]
+        return _category_means(t, cats, used, bool(arg.get("strict_reference")))
     if arg.get("redundencyWay"):
         cols, seen = [], set()
         for i, n in enumerate(t.names):

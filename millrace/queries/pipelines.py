@@ -154,6 +154,31 @@ def _(t: Sources) -> DataFrame:
     return out.select("x", "y", F.round("r", 6).alias("r"), F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
 
 
+_CORRELATED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "cmd_pearson_matrix",
+    "\nUNION ALL ".join(f"SELECT '{x}' AS \"column\", " + ", ".join(f"round(corr({x}, {y}), 6) AS {y}" for y in _CORRELATED) + " FROM lineitem" for x in _CORRELATED),
+)
+def _(t: Sources) -> DataFrame:
+    return _rounded(run(t, "lineitem", [stage("pearsonCorr", colSet1=_CORRELATED, output="matrix")]))
+
+
+@query(
+    "cmd_pearson_best_imputed",
+    """WITH e AS (SELECT CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_quantity END AS sold, l_extendedprice, l_tax FROM lineitem),
+       m AS (SELECT sum(sold) / count(*) AS ms, avg(l_extendedprice) AS me, avg(l_tax) AS mt FROM e),
+       d AS (SELECT sold - ms AS s, l_extendedprice - me AS e, l_tax - mt AS t, ms, me, mt FROM e, m WHERE sold IS NOT NULL)
+       SELECT 'sold' AS x, 'l_extendedprice' AS y, round(sum(s * e) / sqrt(sum(s * s) * sum(e * e)), 6) AS r, round(sum(s * e) / sum(s * s), 6) AS slope, round(any_value(me) - sum(s * e) / sum(s * s) * any_value(ms), 4) AS intercept, count(*) AS n FROM d
+       UNION ALL SELECT 'sold', 'l_tax', round(sum(s * t) / sqrt(sum(s * s) * sum(t * t)), 6), round(sum(s * t) / sum(s * s), 6), round(any_value(mt) - sum(s * t) / sum(s * s) * any_value(ms), 4), count(*) FROM d""",
+)
+def _(t: Sources) -> DataFrame:
+    sold = t["lineitem"].select("l_extendedprice", "l_tax", F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("sold"))
+    out = commands.pearson(Table.of(sold), {"colSet1": ["sold"], "colSet2": ["l_extendedprice", "l_tax"], "imputeZeroForEmptyCellColSet1": True, "output": "best"}).result()
+    return out.select("x", "y", F.round("r", 6).alias("r"), F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
+
+
 register(
     "cmd_fold_change",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax, CASE WHEN l_quantity = 0 AND l_tax = 0 THEN 1.0 WHEN l_quantity = 0 OR l_tax = 0 THEN NULL WHEN l_quantity > l_tax THEN l_quantity / l_tax ELSE -l_tax / l_quantity END AS fold_change,
@@ -212,6 +237,17 @@ def _(t: Sources) -> DataFrame:
     return _rounded(commands.data_calib(Table.of(by), {"normalize": 1, "normalizeCols": ["share"]}).result())
 
 
+@query(
+    "cmd_calibrate_category",
+    """WITH c AS (SELECT l_returnflag, avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS me, stddev_pop(l_extendedprice) AS se FROM lineitem GROUP BY 1)
+       SELECT l_orderkey, l_linenumber, l_returnflag, round(CASE WHEN l_quantity IS NULL OR abs(l_quantity - mq) > 2 * sq THEN mq ELSE l_quantity END, 6) AS l_quantity,
+       round(CASE WHEN l_extendedprice IS NULL OR abs(l_extendedprice - me) > 2 * se THEN me ELSE l_extendedprice END, 6) AS l_extendedprice FROM lineitem JOIN c USING (l_returnflag)""",
+)
+def _(t: Sources) -> DataFrame:
+    keep = stage("hidecol", cols=["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice"], negate=True)
+    return _rounded(run(t, "lineitem", [keep, stage("dataCalib", categoryCols=["l_returnflag"], calibrationCols=["l_quantity", "l_extendedprice"])]))
+
+
 @query("cmd_generic", "SELECT n_nationkey, n_name, n_regionkey, (n_nationkey + n_regionkey)::DOUBLE AS \"Sum\" FROM nation")
 def _(t: Sources) -> DataFrame:
     return run(t, "nation", [stage("generic-cmd-test", cols=["n_nationkey", "n_name", "n_regionkey"])])

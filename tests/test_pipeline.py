@@ -126,6 +126,53 @@ def test_calibration_modes(spark):
     assert carried[0][1] == pytest.approx(10 / 44)
 
 
+def test_correlation_matrix_best_and_impute(spark):
+    data = [(1.0, 2.0, 9.0), (2.0, 4.5, None), (None, 5.0, 3.0), (4.0, 7.0, 4.0)]
+    df = spark.createDataFrame(data, "a double, b double, c double").coalesce(1)
+    matrix = run(spark, df, [stage("pearsonCorr", output="matrix")])
+    assert [r[0] for r in matrix] == ["a", "b", "c"] and [matrix[k][k + 1] for k in range(3)] == [1, 1, 1]
+
+    def plain(x, y, impute=False):
+        mx = sum(v for v in x if v is not None) / (len(x) if impute else sum(v is not None for v in x))
+        my = sum(v for v in y if v is not None) / sum(v is not None for v in y)
+        both = [(p - mx, q - my) for p, q in zip(x, y) if p is not None and q is not None]
+        ab, aa, bb = (sum(f(p, q) for p, q in both) for f in (lambda p, q: p * q, lambda p, q: p * p, lambda p, q: q * q))
+        return ab / (aa * bb) ** 0.5, ab / aa, my - ab / aa * mx
+
+    cols = list(zip(*data))
+    assert all(matrix[i][j + 1] == pytest.approx(plain(cols[i], cols[j])[0]) for i in range(3) for j in range(3) if i != j)
+    best = run(spark, df, [stage("pearsonCorr", output="best")])
+    assert {r[:2] for r in best} == {("b", "a"), ("c", "a"), ("c", "b")}
+    assert [abs(r[2]) for r in best] == sorted((abs(r[2]) for r in best), reverse=True)
+    one = run(spark, df, [stage("pearsonCorr", colSet1=["a"], colSet2=["b"], imputeZeroForEmptyCellColSet1=True)])[0]
+    assert one[2:5] == pytest.approx(plain(cols[0], cols[1], True)) and one[5] == 3
+    empty = run(spark, df.limit(0), [stage("pearsonCorr", output="matrix")])
+    assert empty[0] == ("a", 1.0, 0.0, 0.0)
+
+
+def test_correlation_of_rows_and_of_readings(spark):
+    df = spark.createDataFrame([("p", 1.0, 2.0, 4.0), ("q", 2.0, 4.0, 8.0), ("r", 3.0, 2.0, 0.0)], "n string, a double, b double, c double").coalesce(1)
+    got = run(spark, df, [stage("pearsonCorr", doTranspose=True, output="matrix")])
+    assert [r[0] for r in got] == ["p", "q", "r"] and got[0][2] == pytest.approx(1) and got[0][3] == pytest.approx(-1)
+    cells = spark.createDataFrame([("1", "2 +/- 0.5"), ("3", "6 +/- 0.3"), ("2", "4"), (None, "9 +/- 1"), ("x", None)], "x string, y string").coalesce(1)
+    got = run(spark, cells, [stage("pearsonCorr", colSet1=["x"], colSet2=["y"], cellHasStdev=True)])[0]
+    my = (2 + 6 + 4 + 9) / 4
+    slope = sum((x - 2) * (y - my) for x, y in ((1, 2), (3, 6), (2, 4))) / 2
+    assert got[3] == pytest.approx(slope) and got[6] == pytest.approx(slope * 2 / (2 * 0.8)) and got[5] == 3
+
+
+def test_calibration_by_category_and_turned(spark):
+    data = [("a", 1.0), ("a", 1.0), ("a", 1.0), ("a", 1.0), ("a", 1.0), ("a", 50.0), ("a", None), (None, 3.0), (None, None)]
+    df = spark.createDataFrame(data, "k string, v double").coalesce(1)
+    got = run(spark, df, [stage("dataCalib", categoryCols=["k"])])
+    assert [r[1] for r in got] == pytest.approx([1, 1, 1, 1, 1, 55 / 6, 55 / 6, 3, 3]) and got[7][0] is None
+    strict = run(spark, df, [stage("dataCalib", categoryCols=["k"], strict_reference=True)])
+    assert strict[7][1] == 3 and strict[0][1] == 1
+    wide = spark.createDataFrame([("s", 1.0, 2.0), ("t", 5.0, 6.0), ("s", 3.0, 8.0)], "n string, a double, b double").coalesce(1)
+    table = Pipeline(spark, {"t": wide}).run([stage("dataCalib", translate=1, redundencyWay=1)], "t")
+    assert table.names == ("n", "s", "t") and rows(table) == [("a", 2.0, 5.0), ("b", 5.0, 6.0)]
+
+
 def test_numeric_commands(spark):
     df = spark.createDataFrame([(float(i), float(i % 3), f"n{i}") for i in range(9)], "a double, b double, s string").coalesce(1)
     assert run(spark, df, [stage("tree", colSet=["a", "b"], labelCol="s", method="single")])[0][0].count("n") == 9
