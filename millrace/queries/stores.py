@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import annotations, graph, keyed, ranges, sequences
+from ..operators import annotations, clustering, graph, keyed, ranges, sequences
 from ..plans import procedures
 from ..plans.objects import Catalog, object_search, permission_sum
 from ..plans.relations import Traversal
@@ -507,3 +507,28 @@ def _(t: Sources) -> DataFrame:
 
     stages = [{"op": "appendcol", "arg": {"name": "j", "formula": "jsonprint([$p_brand, $p_type])"}}, {"op": "appendcol", "arg": {"name": "second", "formula": "jsonlist($j)[1]"}}]
     return Pipeline(t.spark, {"part": t["part"].select("p_partkey", "p_brand", "p_type")}).run(stages, "part").result().select("p_partkey", "j", "second")
+
+
+def _trade(t: Sources) -> DataFrame:
+    """Parts (even ids) and suppliers (odd ids), joined by the least price of their lines."""
+    ends = t["lineitem"].select((F.col("l_partkey") * 2).alias("u"), (F.col("l_suppkey") * 2 + 1).alias("v"), F.col("l_extendedprice").alias("weight"))
+    return ends.groupBy("u", "v").agg(F.min("weight").alias("weight"))
+
+
+@query("dom_spanning_forest")
+def _(t: Sources) -> DataFrame:
+    return clustering.spanning_forest(_trade(t))
+
+
+@query(
+    "dom_single_linkage",
+    """WITH RECURSIVE e AS (SELECT l_partkey * 2 AS u, l_suppkey * 2 + 1 AS v FROM lineitem GROUP BY ALL HAVING min(l_extendedprice) <= 2000),
+       b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+       reach(id, node) AS (SELECT DISTINCT u, u FROM b UNION SELECT r.id, b.v FROM reach r JOIN b ON b.u = r.node),
+       n AS (SELECT l_partkey * 2 AS id FROM lineitem UNION SELECT l_suppkey * 2 + 1 FROM lineitem)
+       SELECT n.id, coalesce(min(r.node), n.id) AS cluster FROM n LEFT JOIN reach r ON r.id = n.id GROUP BY n.id""",
+)
+def _(t: Sources) -> DataFrame:
+    edges = _trade(t)
+    nodes = t["lineitem"].select(F.explode(F.array(F.col("l_partkey") * 2, F.col("l_suppkey") * 2 + 1)).alias("id"))
+    return clustering.cut(nodes, clustering.spanning_forest(edges), 2000.0)
