@@ -9,7 +9,7 @@ from ..storage import drop, materialize
 
 
 def _roots(choice: DataFrame) -> DataFrame:
-    """label, root for each label of ``choice`` (label, other: the label across its lightest edge).
+    """label, root (written; the caller drops it) for each label of ``choice`` (label, other: the label across its lightest edge).
 
     Each label points across its edge; of two that point at each other the smaller stays.  Pointers then double until
     none moves, so the number of steps grows with the logarithm of the longest chain.
@@ -20,11 +20,11 @@ def _roots(choice: DataFrame) -> DataFrame:
     while True:
         beyond = at.select(F.col("label").alias("root"), F.col("root").alias("next"))
         step = materialize(at.join(beyond, "root").select("label", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        moved = step.where("moved").isEmpty()
+        done = step.where("moved").isEmpty()
         drop(at)
         at = step
-        if moved:
-            return at.select("label", "root")
+        if done:
+            return at
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         moved = left.join(ra, "a").join(rb, "b").where("ra <> rb")
         merged = moved.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("e").alias("e"))
         after = materialize(merged)
-        drop(left, choice)
+        drop(left, choice, roots)
         left = after
     drop(left)
     if not taken:
@@ -68,14 +68,14 @@ def cut(nodes: DataFrame, forest: DataFrame, height: float) -> DataFrame:
     """
     near = forest.where(F.col("weight") <= height)
     label = materialize(near.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("label", F.col("id")))
-    first, left = label, materialize(near.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    left = materialize(near.select(F.col("u").alias("a"), F.col("v").alias("b")))
     while not left.isEmpty():
         ends = left.select(F.inline(F.array(F.struct(F.col("a").alias("label"), F.col("b").alias("other")), F.struct(F.col("b").alias("label"), F.col("a").alias("other")))))
         roots = _roots(ends.groupBy("label").agg(F.min("other").alias("other")))
         ra, rb = (roots.select(F.col("label").alias(n), F.col("root").alias(f"r{n}")) for n in ("a", "b"))
         after = materialize(left.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         moved = materialize(label.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
-        drop(left, *([] if label is first else [label]))
+        drop(left, label, roots)
         left, label = after, moved
     least = label.groupBy("label").agg(F.min("id").alias("cluster"))
     found = label.join(least, "label").select("id", "cluster")
