@@ -73,3 +73,17 @@ def test_branches_that_set_names_and_loops_in_stages(spark):
         {"op": "appendcol", "arg": {"name": "c", "type": "int", "formula": "n = 0; for (i = 0; i <= $a; i++) { n += i * top; } n"}},
     ]
     assert [tuple(r) for r in p.run(stages, "t").result().orderBy("a").collect()] == [(1, 10, 2), (3, 60, 12)]
+
+
+@pytest.mark.parametrize("source", ["range(0,9).histogram(3)", "range(0,9).histogram(3,1,7)", "range(0,9).counts()", "range(0,9).sigma()", "range(0,9).mean()"])
+def test_the_list_of_a_statistic_is_computed_once(source):
+    """Else it is made again for each of its elements, and the work grows with a power of the list."""
+    assert str(compile_formula(source).col).count("sequence(") == (2 if "histogram" in source else 1)
+
+
+def test_statistics_of_long_and_empty_lists(spark):
+    assert value(spark, "range(0,3000).histogram(100)") == [30] * 100
+    assert value(spark, "range(0,0).histogram(3)") == [0, 0, 0]
+    assert value(spark, "range(0,600).counts().dim()") == 600
+    assert value(spark, '[["a",1],["b",2],["a",3]].dic().kv()') == [["a", "3"], ["b", "2"]]
+    assert value(spark, '["x"].sigma()') is None
