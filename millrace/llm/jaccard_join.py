@@ -222,14 +222,75 @@ def _measured(share: int):
     return run
 
 
+def _linked(share: int):
+    """u, v: a spanning forest of the links between a slice of a region and a block of its members, by an inverted index."""
+
+    @base.tidy
+    def run(key: tuple, slice_: pa.Table, block: pa.Table) -> pa.Table:
+        ids, theirs = slice_["id"].to_numpy(), block["id"].to_numpy()
+        if not len(ids) or not len(theirs):
+            return pa.table({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
+        sets = _read(slice_["shingles"].to_pylist())
+        sizes = np.array([len(s) for s in sets])
+        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        members = np.repeat(np.arange(len(sets)), sizes)[np.argsort(flat, kind="stable")]
+        counts = np.bincount(flat, minlength=len(vocabulary))
+        starts = np.cumsum(counts) - counts
+        names = np.unique(np.concatenate([ids, theirs]))
+        at, parent = np.searchsorted(names, ids), np.arange(len(names))
+
+        def roots(m: np.ndarray) -> np.ndarray:
+            up = parent[m]
+            while (parent[up] != up).any():
+                up = parent[up]
+            parent[m] = up
+            return up
+
+        for p, s in zip(np.searchsorted(names, theirs), _read(block["shingles"].to_pylist())):
+            own = np.searchsorted(vocabulary, s)
+            own = own[vocabulary[np.minimum(own, len(vocabulary) - 1)] == s]
+            n = counts[own]
+            places = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(members[places], minlength=len(sets))
+            hit = np.append(at[100 * both >= share * (sizes + len(s) - both)], p)
+            hit = roots(hit)
+            parent[hit] = hit.min()
+        top = roots(np.arange(len(names)))
+        own = top != np.arange(len(names))
+        return pa.table({"u": names[own], "v": names[top[own]]})
+
+    return run
+
+
+def _all_links(regions: DataFrame, parts: DataFrame, met: DataFrame, share: int, shingles: int) -> DataFrame:
+    """Links u, v between the members of regions (label, id, n, shingles, slices) that ``parts`` doesn't connect yet.
+
+    Who is outside the largest part of a region meets all its members (but for ``met``: label, id, who have): a grid of
+    slices and blocks of like size, so a task's memory is bounded and the whole is one round.  A task gives a row a member.
+    """
+    named = regions.select("label", "id").join(parts, "id")
+    main = named.groupBy("label", "component").agg(F.count("*").alias("c")).groupBy("label").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    outside = base.save(named.join(main, "label").where("component <> main").select("label", "id").join(met, ["label", "id"], "left_anti"))
+    rest = base.save(regions.join(outside, ["label", "id"]))  # written: both sides of the cogroup come from regions
+    grid = base.save(rest.groupBy("label").agg(F.ceil(F.sum("n") * 4 / shingles).cast("int").alias("blocks"), F.first("slices").alias("n_slices")))
+    tasks = min(int(grid.agg(F.coalesce(F.sum(F.col("blocks") * F.col("n_slices")), F.lit(0))).first()[0]), 10_000)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+    cut = regions.join(grid.select("label", "blocks"), "label").select("label", "id", "shingles", part("slices", 0).alias("slice"), each("blocks").alias("block"))
+    other = rest.join(grid.select("label", "blocks"), "label").select("label", "id", "shingles", each("slices").alias("slice"), part("blocks", 1).alias("block"))
+    by = ["label", "slice", "block"]
+    dealt = [x.repartition(max(1, tasks), *by).groupBy(*by) for x in (cut, other)]
+    return base.save(dealt[0].cogroup(dealt[1]).applyInArrow(_linked(share), "u long, v long"))
+
+
 def _large(regions: DataFrame, share: int, members: int, shingles: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Cuts regions (label, id, n, shingles) too large for one task into ones that aren't; also the links u, v met on the way.
 
     A round takes a block of pivots of each region from outside its largest connected part, and measures them against all
     members, slice by slice.  Members that link with a pivot belong to the nearest one's cell; a member is replicated into
     another cell as far as the cell's radius and the triangle inequality demand and nothing connects it yet.  Cells and
-    what is in none go on as regions of their own, without the pivots, which have met all.  Where cells wouldn't be
-    smaller, only the pivots leave.
+    what is in none go on as regions of their own, without the pivots, which have met all.  Where these wouldn't be smaller
+    by a share (near copies that hardly link, or few that link at all), whoever is left is measured in one round.
     """
     eps, small, links = 1 - share / 100, [], []
     active = base.save(regions)
@@ -267,9 +328,13 @@ def _large(regions: DataFrame, share: int, members: int, shingles: int) -> tuple
         inner = homes.select("label", "id", F.col("home").alias("pivot")).where("id <> pivot").join(met_windows, ["label", "pivot"], "left_semi")
         cells = base.save(inner.unionAll(window))
         by = cells.groupBy("label", "pivot").agg(F.count("*").alias("c")).groupBy("label").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
-        split = stats.join(by, "label", "left").where((F.coalesce("all", F.lit(0)) <= 2 * F.col("k")) & (F.coalesce("most", F.lit(0)) <= SHRINK * F.col("k"))).select("label")
-        split = base.save(split)
-        mine = active.join(stats.select("label"), "label", "left_semi")
+        stats = stats.join(homes.groupBy("label").agg(F.count("*").alias("inside")), "label").join(by, "label", "left")
+        smaller = (F.coalesce("most", F.lit(0)) <= SHRINK * F.col("k")) & (F.col("k") - F.col("inside") <= SHRINK * F.col("k"))
+        stats = base.save(stats.select("label", "slices", ((F.coalesce("all", F.lit(0)) <= 2 * F.col("k")) & smaller).alias("split")))
+        split, stuck = stats.where("split").select("label"), stats.where("not split").select("label", "slices")
+        if not stuck.isEmpty():
+            links.append(_all_links(active.join(stuck, "label"), parts, pivots.select("label", "id"), share, shingles))
+        mine = active.join(split, "label", "left_semi")
         parts_of = cells.join(split, "label", "left_semi").select("label", "id", F.xxhash64("label", "pivot").alias("to"))
         in_cells = active.join(parts_of, ["label", "id"]).select(F.col("to").alias("label"), "id", "n", "shingles")
         out = homes.select("label", "id").join(split, "label", "left_semi").unionAll(pivots.select("label", "id"))

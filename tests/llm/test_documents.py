@@ -423,6 +423,20 @@ def test_large_regions_are_cut_into_cells(spark):
         assert {(r.doc_id, r.component_id) for r in got} == set(best.items())
 
 
+@pytest.mark.parametrize("changed", [0.02, 0.07])
+def test_regions_that_pivots_cannot_cut_take_one_round(spark, monkeypatch, changed):
+    """Near copies of one text of which many link with none: measured in a round, not a block of pivots a round."""
+    rng, rounds, real = np.random.default_rng(5), [], jaccard_join._measured
+    monkeypatch.setattr(jaccard_join, "_measured", lambda share: rounds.append(1) or real(share))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    core = rng.integers(0, 10**9, 70)
+    rows = [(i, " ".join(f"s{x}" for x in np.where(rng.random(70) < changed, rng.integers(0, 10**9, 70), core))) for i in range(90)]
+    best, _ = brute_components(rows)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), members=10, shingles=1500).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(best.items())
+    assert len(set(best.values())) > 20 and len(rounds) <= 2
+
+
 def test_exchange_rows_are_linear():
     from millrace.llm import exchange
 
