@@ -15,6 +15,7 @@ from .. import prefix
 from .. import values as V
 from ..functions.expr import Compiler
 from ..plans.pipeline import command, renumbered, row_set, sort_table, transpose
+from ..storage import materialize
 from ..table import ROW, PlanError, Table
 
 #: Values a pivot spreads into columns at most.
@@ -470,16 +471,27 @@ def pearson(t: Table, arg: dict) -> Table:
     return _shown(sums.select(F.inline(F.array(*lines))), [F.desc(F.abs("c3")), F.col("c0")], names)
 
 
+#: Categories that are broadcast at most; rows from which on one is broadcast among more.
+CATEGORIES, HEAVY = 100_000, 100_000
+
+
 def _category_means(t: Table, cats: list[int], used: list[int], strict: bool) -> Table:
     """Cells of ``used`` that are missing or over two deviations from the mean of their row's category become that mean.
 
-    Rows meet an aggregate of their category, so one that holds most rows is no group of rows anywhere.
+    Rows meet an aggregate of their category without being shuffled: up to CATEGORIES of them are broadcast.  Beyond, those of
+    more than HEAVY rows are, and rows of the others meet theirs by key, so no task holds a large category.
     """
     keys = [F.coalesce(V.text(t.col(i), t.types[i]), F.lit("")).alias(f"_k{i}") for i in cats]
     x = {i: _number(t, i) for i in used}
     aggs = [a for i in used for a in (F.avg(x[i]).alias(f"_m{i}"), (F.sqrt(F.sum(x[i] * x[i])) if strict else F.stddev_pop(x[i])).alias(f"_s{i}"))]
-    by = t.df.groupBy(*keys).agg(*aggs)
-    both = Table(t.df.select("*", *keys).join(by, [f"_k{i}" for i in cats]), t.names)
+    by = materialize(t.df.groupBy(*keys).agg(*aggs, F.count("*").alias("_n")))
+    names, rows = [f"_k{i}" for i in cats], t.df.select("*", *keys)
+    if by.count() <= CATEGORIES:
+        met = rows.join(F.broadcast(by), names)
+    else:
+        heavy = F.broadcast(by.where(F.col("_n") > HEAVY))
+        met = rows.join(heavy, names).unionByName(rows.join(heavy.select(*names), names, "left_anti").join(by, names))
+    both = Table(met, t.names)
     cols = both.columns()
     for i in used:
         v, m, s = _number(both, i), F.col(f"_m{i}"), F.col(f"_s{i}")

@@ -203,3 +203,20 @@ def test_row_numbers_are_dense_at_size(spark, aqe, partitions):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("categories,heavy", [(100_000, 100_000), (1, 3), (1, 100)])
+def test_rows_of_large_categories_are_not_shuffled(spark, monkeypatch, categories, heavy):
+    from millrace.operators import commands
+
+    monkeypatch.setattr(commands, "CATEGORIES", categories, raising=False)
+    monkeypatch.setattr(commands, "HEAVY", heavy, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, "abc"[(i > 5) + (i > 7)], float(i) if i % 4 else None) for i in range(9)], "i long, c string, x double")
+        out = commands.data_calib(Table.of(df), {"categoryCols": ["c"], "calibrationCols": ["x"]}).result()
+        assert ("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()) == (categories == 1)
+        assert sorted(map(tuple, out.select("i", "c", "x").collect())) == [(i, "aaaaaabbc"[i], [2.75, 1, 2, 3, 2.75, 5, 6, 7, None][i]) for i in range(9)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
