@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import prefix
 from ..storage import drop, materialize
 
 
@@ -27,9 +28,12 @@ def _roots(choice: DataFrame) -> DataFrame:
             return at
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
+def spanning_forest(edges: DataFrame, height: float | None = None) -> DataFrame:
     """u, v, weight of the minimum spanning forest of the undirected graph ``edges`` (u, v long, weight double).
 
+    ``height``: only its edges up to this weight.  They are the forest of the graph's edges up to it, so heavier ones take
+    part in no round.
+
     Boruvka's rounds: each component takes its lightest edge, components joined so become one, edges inside one go, and of
     parallel edges between two components the lightest stays, so the table shrinks and the rounds are a logarithm of the
     nodes.  Every round is written.  A hub is pre-aggregated, never a group of rows.  Ties go by weight, u, v, which makes
@@ -38,12 +42,18 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     usable = F.col("u").isNotNull() & F.col("v").isNotNull() & F.col("weight").isNotNull() & ~F.isnan(F.col("weight").cast("double")) & (F.col("u") != F.col("v"))
     a, b = F.least("u", "v"), F.greatest("u", "v")
     lightest = edges.where(usable).groupBy(a.alias("a"), b.alias("b")).agg(F.min(F.col("weight").cast("double")).alias("w"))
-    left = materialize(lightest.select("a", "b", F.struct("w", F.col("a").alias("u"), F.col("b").alias("v")).alias("e")))
+    lightest = lightest if height is None else lightest.where(F.col("w") <= height)
+    # an edge's place in order of weight, u, v: one long, so that aggregates hash and don't sort
+    lightest = materialize(lightest)
+    ranked = prefix.ranged(lightest, [F.col("w"), F.col("a"), F.col("b")])
+    drop(lightest)
+    ranked = ranked.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("w").alias("weight"), (F.shiftleft(F.col(prefix.PART).cast("long"), 33) + F.col(prefix.AT)).alias("e"))
+    left = materialize(ranked.select(F.col("u").alias("a"), F.col("v").alias("b"), "e"))
     taken: list[DataFrame] = []
     while not left.isEmpty():
         ends = left.select(F.inline(F.array(F.struct(F.col("a").alias("label"), F.col("b").alias("other"), "e"), F.struct(F.col("b").alias("label"), F.col("a").alias("other"), "e"))))
-        choice = materialize(ends.groupBy("label").agg(F.min(F.struct("e", "other")).alias("c")).select("label", F.col("c.other").alias("other"), F.col("c.e").alias("e")))
-        taken.append(materialize(choice.select("e.u", "e.v", F.col("e.w").alias("weight")).distinct()))
+        choice = materialize(ends.groupBy("label").agg(F.min_by("other", "e").alias("other"), F.min("e").alias("e")))
+        taken.append(materialize(choice.select("e").distinct()))
         roots = _roots(choice.select("label", "other"))
         ra, rb = (roots.select(F.col("label").alias(n), F.col("root").alias(f"r{n}")) for n in ("a", "b"))
         moved = left.join(ra, "a").join(rb, "b").where("ra <> rb")
@@ -54,10 +64,10 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     drop(left)
     if not taken:
         return edges.where(F.lit(False)).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("weight").cast("double").alias("weight"))
-    forest = taken[0]
+    chosen = taken[0]
     for t in taken[1:]:
-        forest = forest.unionAll(t)
-    return forest
+        chosen = chosen.unionAll(t)
+    return ranked.join(chosen, "e", "left_semi").select("u", "v", "weight")
 
 
 def cut(nodes: DataFrame, forest: DataFrame, height: float) -> DataFrame:

@@ -531,4 +531,4 @@ def _(t: Sources) -> DataFrame:
 def _(t: Sources) -> DataFrame:
     edges = _trade(t)
     nodes = t["lineitem"].select(F.explode(F.array(F.col("l_partkey") * 2, F.col("l_suppkey") * 2 + 1)).alias("id"))
-    return clustering.cut(nodes, clustering.spanning_forest(edges), 2000.0)
+    return clustering.cut(nodes, clustering.spanning_forest(edges, 2000.0), 2000.0)

@@ -71,3 +71,17 @@ def test_no_edges_and_repeated_nodes(spark):
     assert forest.count() == 0
     nodes = spark.createDataFrame([(3,), (3,), (None,)], "id long")
     assert {tuple(r) for r in clustering.cut(nodes, forest, 5.0).collect()} == {(3, 3), (None, None)}
+
+
+def test_a_forest_up_to_a_height(spark):
+    edges = random_graph(3)
+    df = spark.createDataFrame(edges, "u long, v long, weight double")
+    height = sorted(w for _, _, w in kruskal(edges))[5]
+    assert sorted(map(tuple, clustering.spanning_forest(df, height).collect())) == [e for e in kruskal(edges) if e[2] <= height]
+
+
+def test_rounds_of_a_forest_aggregate_without_sorting(spark, monkeypatch):
+    plans, real = [], clustering.materialize
+    monkeypatch.setattr(clustering, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    clustering.spanning_forest(spark.createDataFrame([e for e in HUB if e[0] < 40], "u long, v long, weight double")).count()
+    assert plans and not any("SortAggregate" in p for p in plans)
