@@ -179,3 +179,12 @@ def test_adapters_against_edit_distances(spark):
     assert [(r.seq, r.qual) for r in alignments.trim_adapters(df, [adapter], 1).orderBy("id").collect()] == [("GGG", [0, 1, 2]), (None, None)]
     masked = alignments.mask(df, min_quality=2, positions=[(4, 5)]).orderBy("id").first()
     assert masked.seq == "NNGNNGTAGCATT"
+
+
+def test_reads_of_one_sequence_are_looked_up_once(spark, monkeypatch):
+    looked, real = [], alignments.kmers
+    monkeypatch.setattr(alignments, "kmers", lambda df, *a: looked.append(df.count()) or real(df, *a))
+    reads = spark.createDataFrame([(f"r{i}", "ACGTACC" if i % 3 else "GGGACGT") for i in range(40)] + [("r1", "ACGT"), ("none", None)], "id string, seq string")
+    got = {tuple(r) for r in alignments.seed_hits(reads, reads.where("id in ('r1', 'r2')"), 4).where("id in ('r3', 'r4', 'r1') and sub = 'r1'").collect()}
+    assert max(looked) == 3
+    assert got == {("r3", "r1", -3, 2), ("r4", "r1", 0, 5), ("r1", "r1", 0, 7)}
