@@ -188,3 +188,18 @@ def test_reads_of_one_sequence_are_looked_up_once(spark, monkeypatch):
     got = {tuple(r) for r in alignments.seed_hits(reads, reads.where("id in ('r1', 'r2')"), 4).where("id in ('r3', 'r4', 'r1') and sub = 'r1'").collect()}
     assert max(looked) == 3
     assert got == {("r3", "r1", -3, 2), ("r4", "r1", 0, 5), ("r1", "r1", 0, 7)}
+
+
+def test_stacked_reads_are_joined_once_and_not_shuffled(spark):
+    rows = [(0, None, 3, "AgC"), (1, None, 3, "AC"), (2, None, 9, "acgTT"), (3, "s", 7, ""), (4, "s", 8, "tt"), (5, "s", 5, "A" + "Cg" * 3), (6, "s", -40, "ACGTT" * 60), (7, "s", 1, "A" * 9 + "gg")]
+    for i in range(8, 90):
+        seq = "".join(RND.choice("ACGT-") + (dna(2).lower() if RND.random() < 0.2 else "") for _ in range(RND.choice([1, 2, 3, 8, 40, 300])))
+        rows.append((i, RND.choice(["s", "t", None]), RND.randrange(-20, 500), seq))
+    df = spark.createDataFrame(rows, "read long, sub string, sub_start int, seq string")
+    want, _ = plain_stack(rows)
+    for width in (1, 4, 1000):
+        got = alignments.stack(df, width)
+        assert {r.read: (r.column, r.row) for r in got.collect()} == want
+    assert "hashpartitioning" not in got._jdf.queryExecution().toString()
+    odd = spark.createDataFrame([(1, "s", None, "AcC"), (2, "s", 4, None), (3, "s", 2, "AcC"), (4, "s", 3, "GG")], df.schema)
+    assert {r.read: (r.column, r.row) for r in alignments.stack(odd).collect()} == {1: (None, "ACC"), 2: (5, ""), 3: (2, "ACC"), 4: (4, "GG")}
