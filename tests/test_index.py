@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.index import RangeIndex, SortedRelation
+from millrace.operators.index import RangeIndex, SortedRelation, _counts
 from millrace.plans.relations import Traversal
 from millrace.table import PlanError
 
@@ -57,3 +57,22 @@ def test_inequalities_alone_are_refused(spark):
     df = spark.range(5).select(F.col("id").alias("x"))
     with pytest.raises(PlanError, match="inequalities"):
         Traversal(spark, {"r": df, "s": df}).run("a = foreach.r(''); b = find.s(x<a.x); printCSV(a.x, b.x);")
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "double"])
+def test_files_are_told_apart_without_sorting_rows(spark, tmp_path, kind):
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, *range(1, 30)]), s, s + rnd.randrange(9), i) for i, s in enumerate(rnd.randrange(1000) for _ in range(900))]
+    df = spark.createDataFrame(rows, "k long, s long, e long, id long").withColumn("k", F.col("k").cast(kind))
+    index = RangeIndex.build(df, str(tmp_path / "v"), ["k"], "s", "e", rows=50)
+    written = spark.read.parquet(str(tmp_path / "v/rows"))
+    assert "SortAggregate" not in _counts(written, "k", [F.min("s").alias("_start")])._jdf.queryExecution().toString()
+    about = written.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("_n"), F.min("k").alias("_low"), F.max("k").alias("_high"), F.min("s").alias("_start"), F.max("e").alias("_end"))
+    cols = ["_file", "_n", "_low", "_high", "_start", "_end"]
+    assert sorted(map(tuple, about.select(cols).collect())) == sorted(map(tuple, spark.read.parquet(str(tmp_path / "v/files")).select(cols).collect()))
+    for key in (5, 12.0, "12.0" if kind == "double" else "12"):  # as the comparison with the column takes it
+        assert {r.id for r in index.search(100, 700, key).collect()} == {r[3] for r in rows if r[0] == float(key) and r[1] <= 700 and r[2] >= 100}
+    for reverse in (False, True):
+        SortedRelation.build(df, str(tmp_path / f"s{reverse}"), ["k", "id"], reverse, rows=50)
+        about = spark.read.parquet(str(tmp_path / f"s{reverse}/rows")).groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.min("_k0").alias("_low"), F.max("_k0").alias("_high"), F.count_if(F.col("_k0").isNull()).alias("_nulls"))
+        assert sorted(map(repr, about.collect())) == sorted(map(repr, spark.read.parquet(str(tmp_path / f"s{reverse}/files")).select("_file", "_low", "_high", "_nulls").collect()))
