@@ -27,19 +27,22 @@ BLAST = "query string, subject string, identity double, length long, mismatches
 
 def read_csv(
     spark: SparkSession, path: str | list[str], header: bool = True, sep: str = ",", quote: str = '"', comment: str | None = None,
-    schema: str | None = None, sample: int = 0, parse_start: int = 0, parse_count: int = 0,
+    schema: str | None = None, sample: int = 0, parse_start: int = 0, parse_count: int = 0, null: str = "",
 ) -> DataFrame:
     """A delimited file, folder or list of them (.tsv and .tab: tabs), read by many tasks; a row window may be set.
 
     A quoted field may hold newlines, wherever the file's blocks are cut.  Types come from all values (see ``lattice``), or
     from ``schema``; with ``sample``, from that many rows, and a value that doesn't fit raises.  Every file has a header, or
     none.  Rows keep the order of files and lines.  Cells that a row lacks are null, cells beyond the columns are left out.
+    A cell that reads ``null`` is null; with one that isn't empty, a quoted empty cell of a text column is an empty text.
     """
     sep = "\t" if isinstance(path, str) and path.endswith((".tsv", ".tab")) else sep
-    options = {"header": str(header).lower(), "sep": sep, "quote": quote, "escape": quote, "multiLine": "false"} | ({"comment": comment} if comment else {})
+    options = {"header": str(header).lower(), "sep": sep, "quote": quote, "escape": quote, "multiLine": "false", "nullValue": null} | ({"comment": comment} if comment else {})
+    options["charToEscapeQuoteEscaping"] = quote  # Spark's default is the character 0, which texts would lose
     lines, rule = records.blocks(spark, path), records.Quoted(sep, quote, comment)
-    known, continued = records.chained(records.passed(lines, rule).collect())  # two rows a block
-    if not continued:  # every record is a line: Spark's own reader
+    states = records.passed(lines, rule).collect()  # two rows a block
+    known, continued = records.chained(states)
+    if not continued and not any(r["returns"] for r in states):  # every record is a line: Spark's own reader
         names = spark.read.options(**options).csv(path).columns
         text = spark.read.options(**options, enforceSchema="true").schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
     else:
@@ -240,6 +243,9 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
 
 # sinks
 
+#: Options of Spark's CSV writer under which ``read_csv`` reads all texts back, with their outer blanks, quotes and backslashes.
+CSV = {"header": "true", "escape": '"', "quoteAll": "true", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def metadata(t: Table, categories: dict[str, object] | None = None) -> str:
     """Column names and types, and named categories, as JSON."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 SKIP, BEGINS, GOES_ON = 0, 1, 2
-_PASSED = "file string, block long, state int, ends int, begun long, continued long"
+_PASSED = "file string, block long, state int, ends int, begun long, continued long, returns long"
 _CUT = "file string, block long, k long, at long, text string, whole boolean"
 _CUT_ARROW = pa.schema([("file", pa.string()), ("block", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("text", pa.string()), ("whole", pa.bool_())])
 
@@ -77,6 +77,16 @@ class Quoted:
         """Whether a record may go on in the next block."""
         return state == 1
 
+    def returns(self, lines: pa.Array) -> int:
+        """How many lines hold carriage returns inside quoted fields only, if each is a record: Spark would end a line there."""
+
+        def inside(line: str) -> bool:
+            state = False
+            return all(state := self.after(part, state) for part in line.removesuffix("\r").split("\r")[:-1])
+
+        held = pc.and_(pc.match_substring_regex(lines, "\r(?s:.)"), pc.match_substring(lines, self.quote))
+        return sum(map(inside, lines.filter(held).to_pylist()))
+
 
 class FourLines:
     """Records of four lines; the state is how many of them have passed.  Blank lines between records are skipped."""
@@ -133,21 +143,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int],
 
 
 def passed(lines: DataFrame, rule: Quoted | FourLines | Headed) -> DataFrame:
-    """For each block and state it may begin in: the state it ends in, records begun, lines that continue one."""
+    """For each block and state it may begin in: the state it ends in, records begun, lines that continue one; and its lines with
+    quoted carriage returns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where: tuple | None = None
         sums: list[list[int]] = []
+        returns = 0
 
         def done() -> pa.RecordBatch:
-            rows = [(*where, s, *x) for s, x in enumerate(sums)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["file", "block", "state", "ends", "begun", "continued"])
+            rows = [(*where, s, *x, returns) for s, x in enumerate(sums)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["file", "block", "state", "ends", "begun", "continued", "returns"])
 
         for key, part in _runs(batches):
             if key != where:
                 if where:
                     yield done()
-                where, sums = key, [[s, 0, 0] for s in range(rule.states)]
+                where, sums, returns = key, [[s, 0, 0] for s in range(rule.states)], 0
+            returns += rule.returns(part) if isinstance(rule, Quoted) else 0
             for x in sums:
                 kinds, x[0] = rule.kinds(part, x[0])
                 x[1] += int((kinds == BEGINS).sum())

@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from millrace.queries.catalog import QUERIES
 from millrace.sources import formats, lattice, records
 
 TRICKY = 'id,note,n\r\n1,"two\nlines, and ""quotes""",5\n2,5" pipe,6\n\n3,"",7\n4,a"b"c,8\n5,"x\r\n\n\ny",9\n6,"tail",10\n'
@@ -73,6 +74,26 @@ def test_csv_keeps_rows_and_their_order(spark, tmp_path, small_blocks):
     assert [r.id for r in window.collect()] == [398, 399, 400, 401]
 
 
+def test_csv_round_trip_keeps_odd_texts(spark, tmp_path, small_blocks):
+    """Nulls, empty texts, outer blanks, lone carriage returns and the character 0 come back, with and without newlines in the table."""
+    odd = [None, "", " ", " x ", "\tx\t", "\r", "a\rb", "x\r", "\0", "a\0", '"', '",\r"', "\\", "null", "\ufeffx\x85"]
+    for name, texts in (("lines", odd), ("newlines", [*odd, "\n", "x\n", "\r\n", "a\r\n\nb", '"\n,"'])):
+        rows = [(None if i == 3 else i, x, texts[(i * 7 + 3) % len(texts)], texts[-i], None if i == 5 else -i) for i, x in enumerate(texts)]
+        sf = tmp_path / name
+        spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(str(sf / "documents.parquet"))
+        for size in (40, 100000):
+            small_blocks(size)
+            assert sorted(map(tuple, QUERIES["src_csv_round_trip"](spark, str(sf)).collect()), key=repr) == sorted(rows, key=repr), (name, size)
+
+
+def test_carriage_returns_outside_quotes_end_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'a,b\r1,"x"\r2,y\r')
+    (tmp_path / "b.csv").write_bytes(b'a,b\r\n1,"x\ry"\r\n2,""\r\n')
+    assert [tuple(r) for r in formats.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [(1, "x"), (2, "y")]
+    assert [tuple(r) for r in formats.read_csv(spark, str(tmp_path / "b.csv")).collect()] == [(1, "x\ry"), (2, None)]
+    assert [tuple(r) for r in formats.read_csv(spark, str(tmp_path / "b.csv"), null="-").collect()] == [(1, "x\ry"), (2, "")]
+
+
 def test_a_late_value_widens_its_column(spark, tmp_path):
     lines = ["a,b,c,d,e"] + [f"{i},{i},2020-01-0{i % 9 + 1},{i},true" for i in range(2500)]
     path = tmp_path / "late.csv"
