@@ -33,6 +33,17 @@ def test_value(spark, source, expected):
     assert value(spark, source) == expected
 
 
+def test_whole_numbers_divide_exactly(spark):
+    """Beyond 2^53 too, where a quotient of doubles rounds up, as columns and in scripts."""
+    from millrace.functions.script import script
+
+    t = Table.of(spark.createDataFrame([(999999999999999999, 10**17), (-999999999999999999, 10**17), (9007199254740995, 2), (-1, 2), (0, -1), (-(2**63), -1), (7, 0)], "x long, y long").coalesce(1))
+    want = [9.0, -9.0, 4503599627370497.0, 0.0, 0.0, 2.0**63, math.inf]
+    for made in (compile_formula("$x/$y", t).col, script("q=0; for(i=0;i<1;i++){ q=$x/$y; } return q;", t, "double")):
+        got = [r[0] for r in t.df.orderBy("_row").select(made).collect()]
+        assert got == want and not any(math.copysign(1, v) < 0 for v in got if v == 0)
+
+
 @pytest.mark.parametrize("source", ["1 +", "for(;;){}", "nothing", "f(1)", "$0", "[1", "~"])
 def test_refused(spark, source):
     with pytest.raises(PlanError):

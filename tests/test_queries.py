@@ -34,3 +34,15 @@ def test_query_matches_oracle(spark, duck, name):
         at = [made.columns.index(c) for c in cols]
         norm = lambda rows: [tuple(str(x) for x in r) for r in rows]
         assert norm(got) == norm(sorted((tuple(plain(r[i]) for i in at) for r in made.fetchall()), key=repr))
+
+
+def test_arithmetic_of_missing_and_odd_cells(spark, tmp_path):
+    """Missing cells stay missing, large and negative whole numbers divide exactly, as in SQL."""
+    rows = [(i, n, q) for i, (n, q) in enumerate((n, q) for n in (None, 0, 1, 2, -1, -7, 8, 9007199254740995, -999999999999999999) for q in (None, 0.0, 1.0, 0.7, math.inf))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["qlang_arithmetic"](spark, str(tmp_path))
+    odd = duckdb.connect()
+    odd.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    made = odd.sql(ORACLES["qlang_arithmetic"])
+    assert got.columns == made.columns
+    assert sorted(map(tuple, got.collect())) == sorted(made.fetchall())
