@@ -27,7 +27,7 @@ BLAST = "query string, subject string, identity double, length long, mismatches
 
 def read_csv(
     spark: SparkSession, path: str | list[str], header: bool = True, sep: str = ",", quote: str = '"', comment: str | None = None,
-    schema: str | None = None, sample: int = 0, parse_start: int = 0, parse_count: int = 0, null: str = "",
+    schema: str | None = None, sample: int = 0, parse_start: int = 0, parse_count: int = 0, null: str = "", texts: tuple[str, ...] = (),
 ) -> DataFrame:
     """A delimited file, folder or list of them (.tsv and .tab: tabs), read by many tasks; a row window may be set.
 
@@ -35,6 +35,7 @@ def read_csv(
     from ``schema``; with ``sample``, from that many rows, and a value that doesn't fit raises.  Every file has a header, or
     none.  Rows keep the order of files and lines.  Cells that a row lacks are null, cells beyond the columns are left out.
     A cell that reads ``null`` is null; with one that isn't empty, a quoted empty cell of a text column is an empty text.
+    Columns named in ``texts`` are texts, whatever they hold.
     """
     sep = "\t" if isinstance(path, str) and path.endswith((".tsv", ".tab")) else sep
     options = {"header": str(header).lower(), "sep": sep, "quote": quote, "escape": quote, "multiLine": "false", "nullValue": null} | ({"comment": comment} if comment else {})
@@ -58,7 +59,7 @@ def read_csv(
         kinds = [(f.name, f.dataType.simpleString()) for f in T._parse_datatype_string(schema).fields]
         df = text.toDF(*[n for n, _ in kinds]).select(*[F.col(f"`{n}`").try_cast(k).alias(n) for n, k in kinds])
     else:
-        df = lattice.widened(text, text.limit(sample) if sample else None)
+        df = lattice.widened(text, text.limit(sample) if sample else None, texts)
     if parse_start or parse_count:
         t = Table.of(df).numbered()
         inside = F.col(ROW) >= parse_start

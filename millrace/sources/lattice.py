@@ -66,7 +66,12 @@ def strict(name: str, c: Column, to: str) -> Column:
     return F.when(c.isNotNull() & (c != "") & out.isNull(), F.raise_error(F.concat(F.lit(f"column {name}: not {to}: "), c)).cast(to)).otherwise(out)
 
 
-def widened(df: DataFrame, sample: DataFrame | None = None) -> DataFrame:
-    """``df`` (text columns) with the types of all its values; with ``sample``, of its values, and a later misfit raises."""
-    cells = [(c, F.col(f"`{c}`"), k) for c, k in zip(df.columns, types(df if sample is None else sample))]
+def widened(df: DataFrame, sample: DataFrame | None = None, texts: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` (text columns) with the types of all its values; with ``sample``, of its values, and a later misfit raises.
+
+    Columns named in ``texts`` stay as they are.
+    """
+    open_ = [c for c in df.columns if c not in texts]
+    kinds = dict(zip(open_, types((df if sample is None else sample).select(*[f"`{c}`" for c in open_]))))
+    cells = [(c, F.col(f"`{c}`"), kinds.get(c, "string")) for c in df.columns]
     return df.select(*[(typed(x, k) if sample is None else strict(c, x, k)).alias(c) for c, x, k in cells])

@@ -86,6 +86,12 @@ def test_csv_round_trip_keeps_odd_texts(spark, tmp_path, small_blocks):
             assert sorted(map(tuple, QUERIES["src_csv_round_trip"](spark, str(sf)).collect()), key=repr) == sorted(rows, key=repr), (name, size)
 
 
+def test_csv_round_trip_keeps_texts_that_look_like_numbers(spark, tmp_path):
+    rows = [(1, "007", "true", "1.50", 3), (2, "+8", "TRUE", "2020-01-01", 2), (3, "9", "false", "2020-01-02 10:00", 10**12)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, QUERIES["src_csv_round_trip"](spark, str(tmp_path)).collect())) == rows
+
+
 def test_carriage_returns_outside_quotes_end_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b'a,b\r1,"x"\r2,y\r')
     (tmp_path / "b.csv").write_bytes(b'a,b\r\n1,"x\ry"\r\n2,""\r\n')
